@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def hash_parts(*parts: Column) -> Column:
@@ -30,7 +31,7 @@ def accepted_hashes(text: Column) -> Column:
     return F.array(hash_text(text), hash_parts(text))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json(value: pd.Series) -> pd.Series:
     """A JSON text with sorted keys, no blanks and characters kept; null for what is no JSON."""
 

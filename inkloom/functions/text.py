@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word: a run of word characters, apostrophes and hyphens that holds at
 #: least one word character. Counts the same as ``\b[\w'’-]+\b``, without backtracking.
@@ -46,13 +47,13 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, BLANK_LINE, -1), strip), lambda p: p != "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode NFKC; plain ASCII passes as it is."""
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def casefold(text: pd.Series) -> pd.Series:
     """Full Unicode case folding."""
     return text.map(lambda t: None if t is None else t.casefold())
