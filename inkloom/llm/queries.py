@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkloom.llm import copies, lookalikes, mixing, splitting, tokens, truncation
+from inkloom.llm import copies, garbling, lookalikes, mixing, scans, splitting, tokens, truncation
 from inkloom.session import read_table as table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,36 @@ def p4_counts(spark: SparkSession, folder: str) -> DataFrame:
     return copies.ledger_of(spark, _copy_rows(spark, folder)).read().select("table_name", "first_id", "copies")
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    pages = garbling.garbled_keys(table(spark, folder, "pages"), "page_key", "text", "pages")
+    return pages.unionByName(garbling.garbled_keys(table(spark, folder, "chunks"), "chunk_key", "source", "chunks"))
+
+
+def p5_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """The garbled rows with their text restored as far as possible."""
+    pages = garbling.repair_encoding(table(spark, folder, "pages"), "page_key", "text").withColumnRenamed("page_key", "row_key")
+    chunks = garbling.repair_encoding(table(spark, folder, "chunks"), "chunk_key", "source").withColumnRenamed("chunk_key", "row_key")
+    named = pages.withColumn("table_name", F.lit("pages")).unionByName(chunks.withColumn("table_name", F.lit("chunks")))
+    return named.filter("garbled").select("table_name", "row_key", "restored", "layers", "damaged")
+
+
+def _scanned(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts of pages and chunks with the names that running headers may hold."""
+    pages = table(spark, folder, "pages").select(F.lit("pages").alias("table_name"), F.col("page_key").alias("key"), F.col("book_id").alias("book"), "text")
+    chunks = table(spark, folder, "chunks").select(F.lit("chunks").alias("table_name"), F.col("chunk_key").alias("key"), F.col("book_id").alias("book"), F.col("source").alias("text"))
+    books = table(spark, folder, "project").select(F.col("book_id").alias("book"), "book_name", "author")
+    return pages.unionByName(chunks).join(books, "book", "left")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.fault_kinds(_scanned(spark, folder))
+
+
+def p7_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page and chunk as continuous paragraphs."""
+    return scans.repair_scans(_scanned(spark, folder))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -103,6 +133,10 @@ QUERIES: dict[str, Query] = {
     "p2_pieces": p2_pieces,
     "p4_found": p4_found,
     "p4_counts": p4_counts,
+    "p5_found": p5_found,
+    "p5_restored": p5_restored,
+    "p7_found": p7_found,
+    "p7_repaired": p7_repaired,
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,
     "p9_report": p9_report,
