@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkloom.llm import copies, garbling, lookalikes, mixing, scans, splitting, tokens, truncation
+from inkloom.llm import copies, garbling, lookalikes, mixing, names, scans, splitting, tokens, truncation
 from inkloom.session import read_table as table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,20 @@ def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_oversized(table(spark, folder, "chunks"), *_SPLIT, table(spark, folder, "project"), *_LIMITS)
 
 
+def _people(spark: SparkSession, folder: str) -> DataFrame:
+    return names.same_names(table(spark, folder, "characters"), "entry_id", "book_id", "source_name", "aliases", "role", "pronouns_or_gender", "target_name")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = names.same_name_pairs(_people(spark, folder), "entry_id")
+    return pairs.select(F.col("first").alias("first_entry_id"), F.col("second").alias("second_entry_id"))
+
+
+def p3_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row of characters with the entity it means."""
+    return _people(spark, folder)
+
+
 def _copy_rows(spark: SparkSession, folder: str) -> list[DataFrame]:
     """The three tables as batches of keyed rows."""
     key = copies.letters_and_digits
@@ -131,6 +145,8 @@ QUERIES: dict[str, Query] = {
     "p1_forms": p1_forms,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p3_found": p3_found,
+    "p3_entities": p3_entities,
     "p4_found": p4_found,
     "p4_counts": p4_counts,
     "p5_found": p5_found,
