@@ -90,7 +90,7 @@ def join_wrapped(lines: Column) -> Column:
 
 def slug(text: Column, default: str = "book") -> Column:
     """Lower-case ASCII letters and digits joined by hyphens."""
-    return F.coalesce(F.nullif(F.trim(F.lit("-"), F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-")), F.lit("")), F.lit(default))
+    return F.coalesce(F.nullif(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), F.lit("-")), F.lit("")), F.lit(default))
 
 
 def han_count(text: Column) -> Column:

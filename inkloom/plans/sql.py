@@ -2,4 +2,172 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+from inkloom.operators.quality import COMMON_ENGLISH
+from inkloom.operators.segment import CHAPTER_TITLES, STOP_TITLES
+
+_W = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200c}\x{200d}"
+_SPACE = r"[\s\p{Z}\x{0085}\x{000b}]"
+
+
+def _strip(x: str) -> str:
+    return rf"regexp_replace({x}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+
+
+def _words(x: str) -> str:
+    return rf"len(regexp_extract_all({x}, '[{_W}][{_W}''’-]*'))"
+
+
+def _paragraphs(x: str) -> str:
+    return rf"list_filter(list_transform(string_split_regex({x}, '\n\s*\n'), lambda p: {_strip('p')}), lambda p: p <> '')"
+
+
+def _listed(values: list[str]) -> str:
+    return "(" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + ")"
+
+
+def _heading(x: str) -> str:
+    return rf"(lower({x}) IN {_listed(CHAPTER_TITLES)} OR regexp_matches({x}, '^(?:(?i:chapter|part|book)\s+(?i:\d+|[ivxlcdm]+|[a-z][a-z -]{{0,30}})|\d{{1,3}}|[IVXLCDM]{{1,10}})$'))"
+
+
+def _stop(x: str) -> str:
+    return rf"(lower({x}) IN {_listed(STOP_TITLES)} OR regexp_matches({x}, '(?i)^about\s+the\s*authors?$'))"
+
+
+def _fold(x: str) -> str:
+    return f"lower(replace({x}, '’', ''''))"
+
+
+_UNIFIED = r"regexp_replace(replace(text, chr(0), ''), '\r\n?', chr(10), 'g')"
+_JOINED = rf"regexp_replace({_UNIFIED}, '([{_W}])-\n([{_W}])', '\1\2', 'g')"
+_LATEST_CHUNKS = "SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY book_id, chunk_id ORDER BY loaded_at DESC NULLS LAST, chunk_key DESC NULLS LAST) = 1"
+_LATEST_PAGES = "SELECT * FROM pages QUALIFY row_number() OVER (PARTITION BY book_id, page ORDER BY loaded_at DESC NULLS LAST, page_key DESC NULLS LAST) = 1"
+_MARKER = "format('<!-- {}; source pages {}-{} -->', chunk_id, page_start, page_end)"
+_BOOKS = f"""SELECT book_id, string_agg({_MARKER} || chr(10) || chr(10) || trim(source), chr(10) || chr(10) ORDER BY chunk_index) || chr(10) AS book_text, count(*) AS pieces
+    FROM ({_LATEST_CHUNKS}) WHERE source IS NOT NULL GROUP BY book_id"""
+_BLOCKS = rf"""SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY p) AS pos, type,
+        CASE type WHEN 'divider' THEN '' WHEN 'heading' THEN regexp_replace(content, '^#{{1,6}}\s+', '') ELSE content END AS content
+    FROM (SELECT book_id, p, content, CASE WHEN content = '* * *' THEN 'divider' WHEN regexp_matches(content, '^#{{1,6}}\s+.+$') THEN 'heading' ELSE 'paragraph' END AS type
+        FROM (SELECT book_id, unnest(range(1, len(l) + 1)) AS p, unnest(l) AS content FROM (SELECT book_id, {_paragraphs("book_text")} AS l FROM ({_BOOKS})))
+        WHERE NOT regexp_matches(content, '^<!--\s*chunk-\d{{4}};'))"""
+_BATCHES = f"""SELECT book_id, CAST((pos - 1) // 100 + 1 AS BIGINT) AS batch_no, count(*) AS block_count, sha256(string_agg(sha256(type || chr(1) || content), '' ORDER BY pos)) AS batch_hash
+    FROM ({_BLOCKS}) GROUP BY ALL"""
+_APPROVED = f"SELECT * FROM glossary WHERE lower({_strip('status')}) = 'approved'"
+_STATE = """CASE WHEN {t} IS NULL THEN 'no_text' WHEN {h} IS NULL THEN 'unrecorded' WHEN {h} IN (sha256({t}), sha256({t} || chr(0))) THEN 'same' ELSE 'changed' END"""
+_CHUNK_STATE, _PAGE_STATE = _STATE.format(t="source", h="source_sha256"), _STATE.format(t="text", h="sha256")
+_CONTIGUITY = """SELECT chunk_key, chunk_id, expected FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY chunk_index, chunk_id) AS expected FROM {})
+    WHERE chunk_index <> expected OR chunk_id <> format('chunk-{{:04d}}', expected)"""
+_CLEAN = r"regexp_replace(regexp_replace(text, '(?m)^\s*\*\s+\*\s+\*\s*$', '', 'g'), '(?s)<!--.*?-->', '', 'g')"
+_COMMON = "[" + ", ".join(f"'{w}'" for w in COMMON_ENGLISH) + "]"
+_RUNS = rf"""list_filter(regexp_extract_all(text, '[A-Za-z][A-Za-z''’-]*(?:[ \t]+[A-Za-z][A-Za-z''’-]*){{4,}}'),
+    lambda r: len(list_filter(regexp_extract_all(lower(r), '[a-z]+'), lambda w: list_contains({_COMMON}, w))) >= 2)"""
+_SCANS = f"SELECT *, {_fold(_strip('source_term'))} AS term_key FROM term_scans"
+
+
+def _counted(value: str) -> str:
+    """Values of a merged term with their counts, most frequent and then earliest first."""
+    return f"""SELECT book_id, term_key, string_agg(v || '=' || n, '|' ORDER BY n DESC, seen, v) AS listed, arg_min(v, (-n, seen, v)) AS top
+        FROM (SELECT book_id, term_key, {value} AS v, count(*) AS n, min((coalesce(scanned_at, TIMESTAMP '0001-01-01'), scan_id)) AS seen FROM scans WHERE {value} <> '' GROUP BY ALL) GROUP BY ALL"""
+
+
+SQL: dict[str, str] = {
+    "word_stats": f"SELECT chunk_key, {_words('source')} AS words, length(source) AS chars FROM chunks",
+    "source_inspection": """
+        SELECT book_id, count(*) AS pages, CAST(sum(c) AS BIGINT) AS characters, list_sort(list(c))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS median_characters,
+            count(*) FILTER (c < 80) AS low_pages, count(*) FILTER (c < 80) / count(*) > 0.5 AS likely_scanned
+        FROM (SELECT book_id, coalesce(length(text), 0) AS c FROM pages) GROUP BY book_id""",
+    "normalized_pages": rf"""
+        SELECT page_key, array_to_string(list_filter(list_transform(string_split_regex({_JOINED}, '\n\s*\n'), lambda b:
+            array_to_string(list_filter(list_transform(string_split(regexp_replace(b, '[ \t]+', ' ', 'g'), chr(10)), lambda x: {_strip("x")}), lambda x: x <> ''), ' ')), lambda b: b <> ''), chr(10) || chr(10)) AS normalized
+        FROM pages""",
+    "document_paragraphs": f"SELECT doc_id, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS paragraph FROM (SELECT doc_id, {_paragraphs('text')} AS l FROM documents)",
+    "greedy_chunks": f"""
+        WITH p AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS t FROM (SELECT doc_id, {_paragraphs("text")} AS l FROM documents)),
+        u AS (SELECT doc_id, list({{'w': {_words("t")}, 'h': {_heading("t")}, 'c': 0::BIGINT, 'n': 0::BIGINT, 'out': []::BIGINT[]}} ORDER BY pos) AS l, list({_words("t")} ORDER BY pos) AS ws FROM p GROUP BY doc_id),
+        f AS (SELECT doc_id, ws, list_reduce(list_prepend({{'w': 0::BIGINT, 'h': false, 'c': 0::BIGINT, 'n': 0::BIGINT, 'out': []::BIGINT[]}}, l), lambda s, x: {{
+            'w': x.w, 'h': x.h,
+            'c': s.c + CASE WHEN s.c = 0 OR x.h OR s.n + x.w > 230 OR s.n >= 180 THEN 1 ELSE 0 END,
+            'n': x.w + CASE WHEN s.c = 0 OR x.h OR s.n + x.w > 230 OR s.n >= 180 THEN 0 ELSE s.n END,
+            'out': list_append(s.out, s.c + CASE WHEN s.c = 0 OR x.h OR s.n + x.w > 230 OR s.n >= 180 THEN 1 ELSE 0 END)}}) AS r FROM u)
+        SELECT doc_id, c AS chunk_index, count(*) AS paragraphs, CAST(sum(w) AS BIGINT) AS words FROM (SELECT doc_id, unnest(r.out) AS c, unnest(ws) AS w FROM f) GROUP BY ALL""",
+    "page_continuation": rf"""
+        WITH p AS (SELECT *, {_paragraphs("text")} AS l FROM ({_LATEST_PAGES})),
+        q AS (SELECT *, lag(text) OVER w AS bt, lag(CASE WHEN len(l) > 0 THEN l[-1] END) OVER w AS bl FROM p WINDOW w AS (PARTITION BY book_id ORDER BY page))
+        SELECT page_key, book_id, page, coalesce(bt IS NOT NULL AND NOT regexp_matches(bt, '\n[ \t\f\r]*\n\s*$') AND len(l) > 0 AND bl IS NOT NULL AND NOT {_heading("l[1]")} AND NOT {_heading("bl")}, false) AS continues
+        FROM q""",
+    "heading_flags": f"""
+        SELECT page_key, pos, h AS heading FROM (SELECT page_key, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS h FROM (SELECT page_key, {_paragraphs("text")} AS l FROM pages))
+        WHERE {_heading("h")} OR {_stop("h")}""",
+    "emphasis_parity": rf"""
+        SELECT doc_id, error FROM (SELECT doc_id, CASE WHEN b % 2 = 1 THEN 'odd bold marks' WHEN i % 2 = 1 THEN 'odd italic marks' END AS error FROM (
+            SELECT doc_id, len(regexp_extract_all(c, '\*\*')) AS b, len(regexp_extract_all(regexp_replace(c, '\*\*', '', 'g'), '\*')) AS i
+            FROM (SELECT doc_id, replace({_CLEAN}, '\*', '') AS c FROM documents))) WHERE error IS NOT NULL""",
+    "english_residue": f"SELECT doc_id, n AS runs FROM (SELECT doc_id, least(10, coalesce(len({_RUNS}), 0)) AS n FROM documents) WHERE n > 0",
+    "script_ratio": f"SELECT doc_id, len(regexp_extract_all(text, '[㐀-鿿]')) AS han, round_even(len(regexp_extract_all(text, '[㐀-鿿]')) / greatest(1, {_words('text')}), 3) AS ratio FROM documents",
+    "term_hits": rf"""
+        WITH t AS (SELECT DISTINCT book_id, {_strip("source_term")} AS source_term FROM ({_APPROVED}) WHERE {_strip("source_term")} <> '')
+        SELECT chunk_key, source_term FROM chunks JOIN t USING (book_id)
+        WHERE contains(lower(source), lower(source_term)) AND regexp_matches(source, '(?i)(^|[^A-Za-z0-9])' || regexp_escape(source_term) || '([^A-Za-z0-9]|$)')""",
+    "proposal_conflicts": f"""
+        WITH g AS (SELECT DISTINCT book_id, {_fold(_strip("source_term"))} AS k, target_term AS wanted FROM ({_APPROVED}) WHERE {_strip("source_term")} <> '' AND target_term <> '')
+        SELECT scan_id, wanted FROM term_scans s JOIN g ON s.book_id = g.book_id AND {_fold(_strip("s.source_term"))} = g.k WHERE proposed_target <> '' AND NOT contains(proposed_target, wanted)""",
+    "glossary_conflicts": f"""
+        SELECT book_id, {_fold(_strip("source_term"))} AS term, count(DISTINCT {_strip("target_term")}) AS n_targets, array_to_string(list_sort(list_distinct(list({_strip("target_term")}))), '|') AS targets
+        FROM glossary WHERE {_strip("source_term")} <> '' AND {_strip("target_term")} <> '' GROUP BY 1, 2 HAVING n_targets > 1""",
+    "glossary_conflicts_exact": f"""
+        SELECT book_id, source_term AS term, count(DISTINCT {_strip("target_term")}) AS n_targets
+        FROM glossary WHERE {_strip("source_term")} <> '' AND {_strip("target_term")} <> '' GROUP BY 1, 2 HAVING n_targets > 1""",
+    "term_candidates": f"""
+        WITH scans AS (SELECT book_id, {_fold(_strip("source_term"))} AS term_key, {_strip("source_term")} AS form, {_strip("proposed_target")} AS target, {_strip("notes")} AS note, chunk_id, scanned_at, scan_id FROM term_scans WHERE {_strip("source_term")} <> ''),
+        b AS (SELECT book_id, term_key, count(*) AS mentions, min(chunk_id) AS first_chunk FROM scans GROUP BY ALL),
+        f AS ({_counted("form")}), t AS ({_counted("target")}),
+        n AS (SELECT book_id, term_key, string_agg(note, '|' ORDER BY seen) AS notes FROM (SELECT book_id, term_key, note, min((coalesce(scanned_at, TIMESTAMP '0001-01-01'), scan_id)) AS seen FROM scans WHERE note <> '' GROUP BY book_id, term_key, note
+            QUALIFY row_number() OVER (PARTITION BY book_id, term_key ORDER BY seen) <= 3) GROUP BY book_id, term_key)
+        SELECT b.book_id, b.term_key, f.top AS source_term, mentions, first_chunk, f.listed AS forms, coalesce(t.listed, '') AS targets, coalesce(notes, '') AS notes
+        FROM b LEFT JOIN f USING (book_id, term_key) LEFT JOIN t USING (book_id, term_key) LEFT JOIN n USING (book_id, term_key)""",
+    "new_terms": f"""
+        SELECT scan_id, book_id, term_key FROM ({_SCANS}) s
+        WHERE term_key <> '' AND NOT EXISTS (SELECT 1 FROM glossary g WHERE g.book_id = s.book_id AND {_fold(_strip("g.source_term"))} = s.term_key)
+        QUALIFY row_number() OVER (PARTITION BY book_id, term_key ORDER BY scanned_at NULLS FIRST, scan_id) = 1""",
+    "neighbor_context": f"""
+        SELECT chunk_key, coalesce(right(lag(coalesce(source, '')) OVER w, 120), '(Beginning of book.)') AS before_text, coalesce(left(lead(coalesce(source, '')) OVER w, 90), '(End of book.)') AS after_text
+        FROM ({_LATEST_CHUNKS}) WINDOW w AS (PARTITION BY book_id ORDER BY chunk_index)""",
+    "transitions": f"""
+        SELECT chunk_key, previous_end, opening FROM (SELECT chunk_key, right(lag(source) OVER w, 600) AS previous_end, left(source, 900) AS opening, row_number() OVER w AS n, {_paragraphs("source")} AS l
+            FROM ({_LATEST_CHUNKS}) WINDOW w AS (PARTITION BY book_id ORDER BY chunk_index)) WHERE n = 1 OR {_heading("l[1]")}""",
+    "assemble": f"SELECT book_id, pieces, length(book_text) AS chars, sha256(book_text) AS sha256 FROM ({_BOOKS})",
+    "marker_roundtrip": f"""
+        SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY chunk_index) AS pos, chunk_id, page_start, page_end FROM ({_LATEST_CHUNKS}) WHERE source IS NOT NULL""",
+    "contiguity": f"SELECT chunk_key, expected FROM ({_CONTIGUITY.format('chunks')})",
+    "latest_pages": f"SELECT page_key, book_id, page FROM ({_LATEST_PAGES})",
+    "chosen_target": f"""
+        SELECT book_id, term_key, target_term, entry_id FROM (SELECT book_id, {_fold(_strip("source_term"))} AS term_key, target_term, entry_id,
+            CASE lower({_strip("status")}) WHEN 'approved' THEN 1 WHEN 'provisional' THEN 2 ELSE 3 END AS rank FROM glossary WHERE target_term <> '')
+        QUALIFY row_number() OVER (PARTITION BY book_id, term_key ORDER BY rank, entry_id) = 1""",
+    "hash_drift": f"SELECT page_key, {_PAGE_STATE} AS state FROM pages WHERE state <> 'same'",
+    "chunk_drift": f"SELECT chunk_key, {_CHUNK_STATE} AS state FROM chunks WHERE state <> 'same'",
+    "content_hashes": "SELECT sha256(text) AS plain, sha256(text || chr(0)) AS parts, count(*) AS copies, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1, 2 HAVING copies > 1",
+    "cache_misses": f"""
+        WITH l AS ({_LATEST_CHUNKS})
+        SELECT chunk_key FROM l WHERE NOT EXISTS (SELECT 1 FROM chunks c WHERE c.book_id = l.book_id AND c.chunk_id = l.chunk_id AND c.source_sha256 = l.source_sha256 AND c.chunk_key NOT IN (SELECT chunk_key FROM l))""",
+    "status_counts": f"""
+        SELECT s AS status, count(g.entry_id) AS n FROM (VALUES ('approved'), ('provisional'), ('rejected'), ('stale')) v(s) LEFT JOIN glossary g ON lower({_strip("g.status")}) = v.s GROUP BY s""",
+    "usage_totals": """
+        SELECT name, round(sum(v), 3) AS total, count(*) AS n FROM (SELECT k AS name, try_cast(json_extract_string(props, '$."' || k || '"') AS DOUBLE) AS v
+            FROM (SELECT props, unnest(json_keys(props)) AS k FROM events)) WHERE v IS NOT NULL GROUP BY name""",
+    "claim_order": "SELECT event_id, value FROM events ORDER BY value DESC NULLS LAST, ts NULLS FIRST, event_id LIMIT 20",
+    "ready_tasks": "SELECT o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_linestatus <> 'F')",
+    "downstream_closure": """
+        WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS s, 'n' || n_nationkey AS t FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer),
+        d(node) AS (SELECT t FROM e WHERE s = 'r1' UNION SELECT t FROM e JOIN d ON e.s = d.node) SELECT node FROM d""",
+    "plan_tasks": f"SELECT book_id, 4 * n + 6 AS tasks, 6 * n + n - 1 + 3 AS edges FROM (SELECT book_id, count(*) AS n FROM ({_LATEST_CHUNKS}) GROUP BY book_id)",
+    "invalidation_plan": """
+        SELECT CAST(i AS INTEGER) AS stage_no, s AS stage, i >= 4 AS stale FROM (VALUES (1, 'metadata'), (2, 'extract'), (3, 'chunk'), (4, 'terms'), (5, 'draft'), (6, 'review'), (7, 'finalize'), (8, 'qa'), (9, 'assemble'), (10, 'publish')) v(i, s)""",
+    "publication_blocks": f"SELECT book_id, type, count(*) AS blocks, CAST(sum(length(content)) AS BIGINT) AS chars FROM ({_BLOCKS}) GROUP BY ALL",
+    "block_batches": _BATCHES,
+    "batch_merge": f"SELECT book_id, batch_no, CASE WHEN batch_no % 3 = 0 THEN 'upload' WHEN batch_no = 1 OR batch_no % 2 = 0 THEN 'done' ELSE 'changed' END AS state FROM ({_BATCHES})",
+    "run_pieces": """
+        SELECT doc_id, i + 1 AS pos, substring(text, i * 2000 + 1, 2000) AS piece FROM (SELECT doc_id, text, unnest(range(0, greatest(1, CAST(ceil(length(text) / 2000) AS BIGINT)))) AS i FROM documents WHERE text IS NOT NULL)""",
+    "slugs": "SELECT book_id, coalesce(nullif(trim(regexp_replace(lower(book_name), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'book') AS name_slug FROM project",
+    "registry_dump": f"""
+        SELECT book_id, count(*) AS entries, sha256(string_agg(concat_ws(chr(9), source_term, coalesce(target_term, ''), coalesce(category, '')), chr(10) ORDER BY entry_id)) AS snapshot FROM ({_APPROVED}) GROUP BY book_id""",
+}
