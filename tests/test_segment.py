@@ -80,7 +80,7 @@ def test_greedy_filling_equals_a_plain_loop(spark):
 
 
 def test_sentence_units(spark):
-    text = "One two three. Four five six. " + " ".join(["w"] * 12) + ". Last one here."
+    text = "One two three. Four five six. " + " ".join(["W"] * 12) + ". Last one here."
     got = spark.createDataFrame([(text,)], "t string").select(segment.sentence_units(F.col("t"), 6)).first()[0]
     assert got[0] == "One two three. Four five six." and " ".join(got).split() == text.split()
     assert all(len(u.split()) <= 6 for u in got)
