@@ -85,8 +85,10 @@ def cost(text: str) -> float:
                 total += 1.5
             elif c in "®©™" and after.isalpha():
                 total += 2
+        elif "\u3000" <= c <= "\u303f" or "\uff00" <= c <= "\uffef":
+            pass
         elif unicodedata.category(c) in ("Mn", "Zs", "Pd", "Ps", "Pe"):
-            total += 0.3 if c != "　" else 0
+            total += 0.3
         else:
             total += 2
     return total
@@ -175,7 +177,9 @@ def _undo_utf8(text: str, codec: str) -> str:
         left, right = text[max(0, found.start() - 3) : found.start()], text[found.end() : found.end() + 3]
         drop = cost(left + run + right) - cost(left + plain + right)
         # A sequence of three bytes, or a letter with a symbol after it, is a sign by itself.
-        return plain if drop > 0.5 or (drop >= 0 and (len(run) > 2 * len(plain) or not run[1].isalpha())) else run
+        sign = len(run) > 2 * len(plain) or not run[1].isalpha()
+        usual = all(c < "ɐ" or "\u2000" <= c <= "\u20cf" for c in plain)
+        return plain if drop > 0.5 or (drop >= 0 and sign and (usual or not run.isalpha())) else run
 
     return _UTF8[codec].sub(decoded, text)
 

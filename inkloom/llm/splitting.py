@@ -152,7 +152,7 @@ def split_oversized(df: DataFrame, key: str, text: str, limits: DataFrame, by: s
     rows = rows.withColumn("total_words", F.coalesce(word_count(F.col("text")), F.lit(0)))
     sizes = limits.select(F.col(by).alias("by"), F.col(target).cast("int").alias("target"), F.col(limit).cast("int").alias("limit"), F.col(overlap).cast("int").alias("overlap"))
     rows = rows.join(sizes, "by", "left")
-    over = F.coalesce(F.col("total_words") > F.greatest("limit", F.lit(1)), F.lit(False))
+    over = F.col("limit").isNotNull() & (F.col("total_words") > F.greatest("limit", F.lit(1)))
     length = F.coalesce(F.length("text"), F.lit(0))
     whole = rows.filter(~over).select(
         "key", F.lit(1).alias("piece_no"), F.lit(1).alias("n_pieces"), "total_words", F.lit(0).alias("start_char"), length.alias("end_char"), F.lit(0).alias("overlap_chars"), F.col("total_words").alias("words"), "text"
