@@ -24,7 +24,7 @@ def shared_folder(spark: SparkSession) -> str:
     in local tests, a temporary folder of this machine is set and used.
     """
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir", "") or os.environ.get("INKLOOM_SHARED_DIR", "")
+    named = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "") or os.environ.get("INKLOOM_SHARED_DIR", "")
     if not named:
         current = context._jsc.sc().getCheckpointDir()
         named = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="inkloom-shared-")
@@ -39,6 +39,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system that is no longer needed."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows.
 
