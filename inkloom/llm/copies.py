@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkloom.session import shared_folder
+from inkloom.session import remove_folder, shared_folder
 
 _MARK = r"\p{M}"
 #: Between two fields of a record: a separator that a field name follows.
@@ -131,6 +131,7 @@ class Ledger:
         )
         merged.withColumn("bucket", self._bucket()).repartition(self.buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
         self.paths |= {b: f"{target}/bucket={b}" for b in touched}
+        remove_folder(self.spark, staged)
 
 
 def ledger_of(spark: SparkSession, batches: list[DataFrame], folder: str | None = None, buckets: int = 16) -> Ledger:

@@ -55,7 +55,7 @@ _UTF8 = {codec: _utf8_pattern(codec) for codec in LEGACY}
 #: Texts that may be garbled: two foreign characters side by side, a control or replacement character, a
 #: symbol, a capital after a small letter, or a letter that a quotation mark or dash may have become.
 SUSPECT = (
-    r"[^\x00-\x7f]{2}|[\x80-\x9f�]|\p{Ll}[\p{Lu}&&[^\x00-\x7f]]|[[\p{S}\p{C}]&&[^\x00-\x7f€\xad]]|[ìîíëÒÓÕÐ†‡•‹›»«¿¡]"
+    r"[^\x00-\x7f]{2}|[\x80-\x9f�]|\p{Ll}[\p{Lu}&&[^\x00-\x7f]]|\p{Lu}[\p{Lu}&&[^\x00-\x7f]]\p{Ll}|[[\p{S}\p{C}]&&[^\x00-\x7f€\xad]]|[ìîíëÒÓÕÐ†‡•‹›»«¿¡]"
     r"|[\p{L}&&[^\x00-\x7f]][“„]|\p{L}[–]\p{L}|(?<![\p{L}\p{N}])[\p{L}&&[^\x00-\x7f]](?![\p{L}\p{N}])|[.,!?][\p{L}&&[^\x00-\x7f]]"
 )
 

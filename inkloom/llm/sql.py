@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
-_WORDS = r"""len(regexp_extract_all(c.source, '[''’-]*[\p{L}\p{N}\p{M}_][\p{L}\p{N}\p{M}_''’-]*'))"""
+_W = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200c}\x{200d}"
+_WORDS = rf"len(regexp_extract_all(c.source, '[{_W}][{_W}''’-]*'))"
+
+
+def _plain(x: str) -> str:
+    return rf"coalesce(regexp_replace(lower({x}), '[^\p{{L}}\p{{M}}\p{{N}}]+', '', 'g'), '')"
+
+
+_FIELDS = rf"string_split(regexp_replace(record_text, '\s*[|;,\n\t]\s*(\w[\w \-]{{0,60}}?\s*[:=])', chr(4) || '\1', 'g'), chr(4))"
+_LISTED = rf"list_transform({_FIELDS}, lambda p: {{'n': {_plain("regexp_extract(p, '^([^:=]*)[:=]', 1)")}, 'v': {_plain("regexp_extract(p, '(?s)^[^:=]*[:=](.*)$', 1)")}}})"
+_PARSED = rf"""list_transform(json_keys(record_text), lambda k: {{'n': {_plain("k")}, 'v': {_plain("json_extract_string(record_text, '$." + '"' + "' || k || '" + '"' + "')")}}})"""
+_KEYS = f"""
+    SELECT 'glossary' AS table_name, entry_id AS id, book_id, {_plain("source_term")} AS key FROM glossary
+    UNION ALL SELECT 'term_scans', scan_id, book_id, concat_ws(chr(1), {_plain("chunk_id")}, {_plain("source_term")}, {_plain("proposed_target")}, {_plain("category")}) FROM term_scans
+    UNION ALL SELECT 'term_records', record_id, book_id, CASE WHEN trim(record_text) LIKE '{{%'
+            THEN array_to_string(list_transform(list_sort(list_filter({_PARSED}, lambda f: f.n <> '' AND f.v <> '')), lambda f: f.n || chr(1) || f.v), chr(2))
+            ELSE array_to_string(list_transform(list_sort(list_filter({_LISTED}, lambda f: f.n <> '' AND f.v <> '')), lambda f: f.n || chr(1) || f.v), chr(2)) END FROM term_records"""
+_GROUPS = f"SELECT *, min(id) OVER w AS first_id, count(*) OVER w AS copies FROM ({_KEYS}) WHERE book_id IS NOT NULL AND replace(key, chr(1), '') <> '' WINDOW w AS (PARTITION BY table_name, book_id, key)"
 
 SQL: dict[str, str] = {
-    "p2_found": f"""
-        SELECT c.chunk_key FROM chunks c JOIN project p USING (book_id)
-        WHERE {_WORDS} > p.chunk_max_words""",
+    "p2_found": f"SELECT c.chunk_key FROM chunks c JOIN project p USING (book_id) WHERE {_WORDS} > p.chunk_max_words",
+    "p4_found": f"SELECT table_name, first_id, id AS dup_id FROM ({_GROUPS}) WHERE id <> first_id",
+    "p4_counts": f"SELECT DISTINCT table_name, first_id, copies FROM ({_GROUPS})",
 }
