@@ -58,7 +58,7 @@ def test_page_statistics(spark):
 
 @pytest.fixture
 def events(spark, tmp_path):
-    rows = [(i, dt.datetime(2026, 1, 1, 0, i % 3 * 30), i % 2, "a" if i % 4 else "b", float(i)) for i in range(12)]
+    rows = [(i, dt.datetime(2026, 1, 1, i % 3, 30), i % 2, "a" if i % 4 else "b", float(i)) for i in range(12)]
     df = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double")
     df.unionByName(df.limit(2)).coalesce(1).write.parquet(str(tmp_path / "in"))
     return df, windows.read_folder(spark, str(tmp_path / "in"), df.schema)
