@@ -87,23 +87,25 @@ def longer_copies(df: DataFrame, text: str, partitions: int | None = None) -> Da
     return rows.filter("edge = 0").select("h1", "h2", "goes_on").unionByName(joined.select("h1", "h2", "goes_on"))
 
 
-def _ends(text: Column) -> dict[str, Column]:
-    """How a text ends."""
-    base = F.regexp_replace(text, OMISSION, "")
-    # The last two lines; long texts are not searched from the front.
-    tail = F.right(text, F.lit(4000))
-    last = F.substring_index(F.regexp_replace(F.regexp_replace(tail, r"(?U)\s+$", ""), r"\r\n?", "\n"), "\n", -2)
-    return {
-        "n_chars": F.length(text),
-        "n_bytes": F.octet_length(text),
-        "base_chars": F.when(F.length(base) < F.length(text), F.length(base)),
-        "closed": text.rlike(CLOSED),
-        "broken": F.regexp_replace(text, r"(?U)\s+$", "").endswith("�"),
-        "sure_mark": text.rlike(SURE_OMISSION) & ~base.rlike(CLOSED),
-        "dots_after": F.nullif(F.lower(F.regexp_extract(text, r"(?U)(\w+)…\s*$", 1)), F.lit("")),
-        "last_line": F.substring_index(last, "\n", -1),
-        "line_before": F.when(last.contains("\n"), F.substring_index(last, "\n", 1)),
-    }
+def _ends(rows: DataFrame) -> DataFrame:
+    """Adds how each text ends; only the last characters are searched."""
+    rows = rows.withColumn("_core", F.rtrim(F.col("text"), F.lit(" \t\r\n\x0b\x0c\x85\u00a0\u2028\u2029\u3000")))
+    rows = rows.withColumn("_tail", F.right("_core", F.lit(400))).withColumn("_base", F.regexp_replace("_tail", OMISSION, ""))
+    tail, base = F.col("_tail"), F.col("_base")
+    last = F.substring_index(F.regexp_replace(F.right("_core", F.lit(4000)), r"\r\n?", "\n"), "\n", -2)
+    return rows.withColumns(
+        {
+            "n_chars": F.length("text"),
+            "n_bytes": F.octet_length("text"),
+            "base_chars": F.when(F.length("_base") < F.length("_tail"), F.length("_core") - F.length("_tail") + F.length("_base")),
+            "closed": tail.rlike(CLOSED),
+            "broken": tail.endswith("�"),
+            "sure_mark": tail.rlike(SURE_OMISSION) & ~base.rlike(CLOSED),
+            "dots_after": F.nullif(F.lower(F.regexp_extract(tail, r"(?U)(\w+)…\s*$", 1)), F.lit("")),
+            "last_line": F.substring_index(last, "\n", -1),
+            "line_before": F.when(last.contains("\n"), F.substring_index(last, "\n", 1)),
+        }
+    )
 
 
 def _limits(rows: DataFrame, size: str) -> DataFrame:
@@ -142,7 +144,7 @@ def truncation_evidence(df: DataFrame, key: str, text: str, source: str) -> Data
     rows = df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.coalesce(F.col(source), F.lit("")).alias("src"), F.col(text).alias("text"))
     shown = F.coalesce(~F.col("text").rlike(_BLANK), F.lit(False))
     prefixes = longer_copies(rows, "text")
-    ends = rows.filter(shown).select("key", "source", "src", *_text_hashes(F.col("text")), *(c.alias(n) for n, c in _ends(F.col("text")).items()))
+    ends = _ends(rows.filter(shown)).withColumns(dict(zip(("h1", "h2"), _text_hashes(F.col("text"))))).drop("text", "_core", "_tail", "_base")
     ends = cut_lineage(ends)  # no texts any more, read several times below
     dotted = (
         rows.filter(F.col("text").contains("…"))
