@@ -35,8 +35,12 @@ _OUT = "key long, seen long, total double, last_kind string, idle boolean"
 _STATE = "seen long, total double, last_kind string"
 
 
-def keyed_totals(events: DataFrame, key: str, time: str, kind: str, value: str, idle: str = "30 minutes") -> DataFrame:
-    """A running count, sum and last kind for each key; a key that stays idle gives a last row and its state ends."""
+def keyed_totals(events: DataFrame, key: str, time: str, kind: str, value: str, idle: str = "30 minutes", lateness: str = "2 hours") -> DataFrame:
+    """A running count, sum and last kind for each key.
+
+    A key that stays idle, by event time, until the watermark passes gives a last
+    row, and its state ends.
+    """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -53,11 +57,12 @@ def keyed_totals(events: DataFrame, key: str, time: str, kind: str, value: str,
             if latest is None or top["time"] >= latest:
                 latest, last = top["time"], top["kind"]
         state.update((seen, total, last))
-        state.setTimeoutDuration(_minutes(idle))
+        due = int(pd.Timestamp(latest).timestamp() * 1000) + _minutes(idle) if latest is not None else 0
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame([(k[0], seen, total, last, False)], columns=["key", "seen", "total", "last_kind", "idle"])
 
-    rows = events.select(F.col(key).cast("long").alias("key"), F.col(time).alias("time"), F.col(kind).alias("kind"), F.col(value).cast("double").alias("value"))
-    return rows.groupBy("key").applyInPandasWithState(step, _OUT, _STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = events.withWatermark(time, lateness).select(F.col(key).cast("long").alias("key"), F.col(time).alias("time"), F.col(kind).alias("kind"), F.col(value).cast("double").alias("value"))
+    return rows.groupBy("key").applyInPandasWithState(step, _OUT, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def _minutes(text: str) -> int:
