@@ -56,9 +56,9 @@ def markers(books: DataFrame, by: str, text: str) -> DataFrame:
     return books.select(by, F.posexplode(parse_markers(F.col(text))).alias("pos", "m")).select(by, (F.col("pos") + 1).alias("pos"), "m.chunk_id", "m.page_start", "m.page_end")
 
 
-def contiguity(df: DataFrame, by: str, index: str, identity: str) -> DataFrame:
-    """Rows whose index or id isn't the next one of their group."""
-    w = Window.partitionBy(by).orderBy(index, identity)
+def contiguity(df: DataFrame, by: str, index: str, identity: str, tie: str | None = None) -> DataFrame:
+    """Rows whose index or id isn't the next one of their group; ``tie`` orders rows alike in both."""
+    w = Window.partitionBy(by).orderBy(index, identity, *([tie] if tie else []))
     rows = df.withColumn("expected", F.row_number().over(w))
     return rows.filter((F.col(index) != F.col("expected")) | (F.col(identity) != F.format_string("chunk-%04d", "expected")))
 

@@ -198,7 +198,7 @@ def marker_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 def contiguity(spark: SparkSession, folder: str) -> DataFrame:
     """WIN-5: chunks, as loaded, whose number isn't the next of their book."""
-    return context.contiguity(table(spark, folder, "chunks"), "book_id", "chunk_index", "chunk_id").select("chunk_key", _long(F.col("expected")).alias("expected"))
+    return context.contiguity(table(spark, folder, "chunks"), "book_id", "chunk_index", "chunk_id", "chunk_key").select("chunk_key", _long(F.col("expected")).alias("expected"))
 
 
 def latest_pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -326,7 +326,7 @@ def quality_issues(spark: SparkSession, folder: str) -> DataFrame:
     found = quality.issues(drafts, F.col("doc_id"), quality.text_rules(F.col("text")))
     chunk = provenance.drift(table(spark, folder, "chunks"), "source", "source_sha256")
     stale = chunk.filter("state = 'changed'").select(F.lit("build_source_hash_mismatch").alias("code"), F.col("chunk_key").cast("string").alias("key"), F.col("state").alias("details"))
-    order = context.contiguity(_chunks(spark, folder), "book_id", "chunk_index", "chunk_id").select(F.lit("chunk_order_invalid").alias("code"), F.col("chunk_key").cast("string").alias("key"), F.col("chunk_id").alias("details"))
+    order = context.contiguity(_chunks(spark, folder), "book_id", "chunk_index", "chunk_id", "chunk_key").select(F.lit("chunk_order_invalid").alias("code"), F.col("chunk_key").cast("string").alias("key"), F.col("chunk_id").alias("details"))
     return quality.report([found, stale, order])
 
 

@@ -54,7 +54,7 @@ _BATCHES = f"""SELECT book_id, CAST((pos - 1) // 100 + 1 AS BIGINT) AS batch_no,
 _APPROVED = f"SELECT * FROM glossary WHERE lower({_strip('status')}) = 'approved'"
 _STATE = """CASE WHEN {t} IS NULL THEN 'no_text' WHEN {h} IS NULL THEN 'unrecorded' WHEN {h} IN (sha256({t}), sha256({t} || chr(0))) THEN 'same' ELSE 'changed' END"""
 _CHUNK_STATE, _PAGE_STATE = _STATE.format(t="source", h="source_sha256"), _STATE.format(t="text", h="sha256")
-_CONTIGUITY = """SELECT chunk_key, chunk_id, expected FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY chunk_index, chunk_id) AS expected FROM {})
+_CONTIGUITY = """SELECT chunk_key, chunk_id, expected FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY chunk_index, chunk_id, chunk_key) AS expected FROM {})
     WHERE chunk_index <> expected OR chunk_id <> format('chunk-{{:04d}}', expected)"""
 _CLEAN = r"regexp_replace(regexp_replace(text, '(?m)^\s*\*\s+\*\s+\*\s*$', '', 'g'), '(?s)<!--.*?-->', '', 'g')"
 _COMMON = "[" + ", ".join(f"'{w}'" for w in COMMON_ENGLISH) + "]"
