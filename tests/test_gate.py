@@ -4,8 +4,8 @@ import pytest
 
 from inkloom.operators import gate, models
 
-SOURCES = {"chunk-0001": "One\n\nDiablo arrived.", "chunk-0002": "He left."}
-TARGETS = {"chunk-0001": "# 一\n\n迪亞布羅抵達了。", "chunk-0002": "他離開了。"}
+SOURCES = {"chunk-0001": "One\n\nMarlow arrived.", "chunk-0002": "He left."}
+TARGETS = {"chunk-0001": "# 一\n\n馬洛抵達了。", "chunk-0002": "他離開了。"}
 
 
 def sha(s):
@@ -20,7 +20,7 @@ class Book:
         self.artifacts = {(k, "draft"): t for k, t in TARGETS.items()}
         self.meta = {(k, "draft"): dict(named_chunk=k, source_sha256=sha(SOURCES[k]), translation_sha256=sha(t)) for k, t in TARGETS.items()}
         self.reviews = {k: dict(text="{}", verdict="pass", n_issues=0, source_sha256=sha(SOURCES[k]), translation_sha256=sha(t)) for k, t in TARGETS.items()}
-        self.glossary = [(1, "Diablo", "迪亞布羅", False)]
+        self.glossary = [(1, "Marlow", "馬洛", False)]
         self.options = {}
         self.text = "".join(f"<!-- {k}; source pages {i}-{i + 1} -->\n\n{t}\n\n" for i, (k, t) in enumerate(TARGETS.items(), 1)).rstrip("\n") + "\n"
 
@@ -93,7 +93,7 @@ def test_final_text_bound_to_draft_and_review(spark, book):
 
 
 def test_paragraphs_headings_and_exceptions(spark, book):
-    text = "# 一\n\n迪亞布羅\n\n抵達了。"
+    text = "# 一\n\n馬洛\n\n抵達了。"
     book.artifacts["chunk-0001", "draft"] = text
     book.meta["chunk-0001", "draft"]["translation_sha256"] = book.reviews["chunk-0001"]["translation_sha256"] = sha(text)
     book.text = book.text.replace(TARGETS["chunk-0001"], text)
@@ -117,8 +117,8 @@ def test_assembly(spark, book):
 
 
 def test_scoped(spark):
-    rows = spark.createDataFrame([(1, "a", "one two three four", "一二三四"), (1, "b", "one two", "TODO ???"), (1, "c", "one", None), (1, "d", "Diablo came", "他來了啊")], "book long, chunk_id string, source string, target string")
-    glossary = spark.createDataFrame([(1, "diablo", "迪亞布羅")], "book long, source_term string, target_term string")
+    rows = spark.createDataFrame([(1, "a", "one two three four", "一二三四"), (1, "b", "one two", "TODO ???"), (1, "c", "one", None), (1, "d", "Marlow came", "他來了啊")], "book long, chunk_id string, source string, target string")
+    glossary = spark.createDataFrame([(1, "marlow", "馬洛")], "book long, source_term string, target_term string")
     got = sorted((r["key"], r["code"]) for r in gate.scoped_checks(rows, glossary).collect())
     assert got == [("1:b", "length_ratio"), ("1:b", "placeholder"), ("1:c", "missing_translation"), ("1:d", "approved_term_missing")]
 
