@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +41,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once a context, for executors on which it isn't installed."""
+    context = spark.sparkContext
+    if getattr(context, "_inkloom_shipped", False):
+        return
+    context._inkloom_shipped = True
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="inkloom-code-")) / "inkloom.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))  # served to the executors by the driver
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared file system that is no longer needed."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
