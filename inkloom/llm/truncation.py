@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from inkloom.session import cut_lineage
+from inkloom.session import broadcast_if_small, cut_lineage
 
 _CLOSERS = r"[\"'”’»」』）)\]*_]*"
 #: An end that closes a sentence.
@@ -27,6 +27,8 @@ SURE_OMISSION = r"(?iU)(?:\[\s*(?:\.\.\.|…)\s*\]|\.\.\.|(?:…|\.\.\.)\s*(?:re
 #: Last lines that close a text without an end mark: ornaments, notes in brackets, bullets, credits, rows of a table.
 CLOSING_LINE = r"(?U)^\s*(?:[\[(（【].*[\])）】]|[*#~=_\-–—·\s]+|[-•*–—]+\s.*|\d+[.)]\s.*|.*\t.*)\s*$"
 _BLANK = r"(?U)^\s*$"
+#: Share of a source's texts that a line must end to close them, the least such texts, and how many it must end for each one in which a line goes on after it.
+CLOSING_SHARE, CLOSING_TEXTS, CLOSING_RATIO = 0.005, 3, 10
 
 
 def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -108,6 +110,25 @@ def _ends(rows: DataFrame) -> DataFrame:
     )
 
 
+def _closing_lines(rows: DataFrame, ends: DataFrame) -> DataFrame:
+    """Open last lines that close texts by custom: (``last_line``, ``texts_ended``).
+
+    Such a line ends a fixed share of a source's distinct texts, and next to no
+    text has a line that begins with it and goes on, as lines do that begin like
+    the stub left by a cut.  Both are ratios, so the size of the corpus doesn't
+    matter; the share leaves at most 200 lines a source to look for.
+    """
+    texts = ends.groupBy("src").agg(F.approx_count_distinct("h1", 0.05).alias("texts"))
+    ended = ends.filter(~F.col("closed") & (F.length("last_line") <= 80)).groupBy("src", "last_line").agg(F.approx_count_distinct("h1", 0.05).alias("n"))
+    often = (F.col("n") >= CLOSING_TEXTS) & (F.col("n") >= CLOSING_SHARE * F.col("texts"))
+    ended = ended.join(F.broadcast(texts), "src").groupBy("last_line").agg(F.sum("n").alias("texts_ended"), F.max(often).alias("often"))
+    found = cut_lineage(ended.filter("often").drop("often"))
+    lines = rows.select(F.xxhash64("text").alias("h1"), F.explode(F.split("text", r"\r\n?|\n")).alias("line")).withColumn("line", F.rtrim("line"))
+    same = (F.left("line", F.lit(1)) == F.left("last_line", F.lit(1))) & (F.length("line") > F.length("last_line")) & F.startswith("line", F.col("last_line"))
+    longer = lines.join(broadcast_if_small(found.select("last_line")), same).groupBy("last_line").agg(F.approx_count_distinct("h1", 0.05).alias("longer"))
+    return found.join(longer, "last_line", "left").filter(F.col("texts_ended") >= CLOSING_RATIO * F.coalesce("longer", F.lit(0))).select("last_line", "texts_ended")
+
+
 def _limits(rows: DataFrame, size: str) -> DataFrame:
     """Sizes at which the open-ended texts of a source pile up: (``src``, size).
 
@@ -138,8 +159,9 @@ def truncation_evidence(df: DataFrame, key: str, text: str, source: str) -> Data
     * it ends in the middle of a sentence, in a source where texts end closed.
 
     Lines that close a text without an end mark (ornaments, bullets, rows of a
-    table, notes in brackets, signatures, and lines that end several texts) are
-    no open ends.
+    table, notes in brackets, signatures, and lines that close texts by custom)
+    are not the middle of a sentence; a size or a longer text can still show
+    that they were cut.
     """
     rows = df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.coalesce(F.col(source), F.lit("")).alias("src"), F.col(text).alias("text"))
     shown = F.coalesce(~F.col("text").rlike(_BLANK), F.lit(False))
@@ -154,12 +176,7 @@ def truncation_evidence(df: DataFrame, key: str, text: str, source: str) -> Data
         .filter("dotted >= 5")
     )
     open_now = ~F.col("closed")
-    lines = (
-        ends.filter(open_now & (F.length("last_line") <= 80))
-        .groupBy("last_line")
-        .agg(F.approx_count_distinct("h1", 0.05).alias("texts_ended"))
-        .filter("texts_ended >= 3")
-    )
+    lines = _closing_lines(rows.filter(shown), ends)
     ends = ends.join(dotted, "dots_after", "left").join(lines, "last_line", "left").join(prefixes, ["h1", "h2"], "left")
     signed = F.coalesce((F.length("line_before") <= 30) & F.col("line_before").rlike(r"(?U)^\w[\w ]*,$") & (F.length("last_line") <= 40), F.lit(False))
     closing = F.col("last_line").rlike(CLOSING_LINE) | F.col("texts_ended").isNotNull() | signed
@@ -171,13 +188,13 @@ def truncation_evidence(df: DataFrame, key: str, text: str, source: str) -> Data
     by_bytes = _limits(hanging, "n_bytes").withColumn("c2", F.lit(True))
     by_base = _limits(ends.filter("base_chars is not null"), "base_chars").withColumn("c3", F.lit(True))
     ends = ends.join(by_chars, ["src", "n_chars"], "left").join(by_bytes, ["src", "n_bytes"], "left").join(by_base, ["src", "base_chars"], "left")
-    at_limit = F.coalesce(F.col("c1"), F.col("c2"), F.lit(False)) & F.col("open_end") & ~F.col("closing")
+    at_limit = F.coalesce(F.col("c1"), F.col("c2"), F.lit(False)) & F.col("open_end")
     at_limit = at_limit | F.coalesce(F.col("c3"), F.lit(False))
     ends = ends.withColumn("at_limit", at_limit).withColumn("unfinished", F.col("open_end") & ~F.col("closing") & ~F.col("at_limit"))
     # Sources in which most texts end open by habit, as posts do, show nothing by an open end.
     habits = ends.groupBy("src").agg((F.avg(F.col("unfinished").cast("int")) > 0.5).alias("open_habit"))
     ends = ends.join(habits, "src", "left")
-    goes_on = F.coalesce(~F.col("goes_on").isin("\n", "\r"), F.lit(False)) & F.col("open_end") & ~F.col("closing")
+    goes_on = F.coalesce(~F.col("goes_on").isin("\n", "\r"), F.lit(False)) & F.col("open_end")
     # Without a source, only a line that holds a finished sentence before its open end is taken for prose.
     prose = (F.col("src") != "") | F.col("last_line").rlike(r"(?U)[.!?…。！？][\"'”’」]*\s+[\p{Lu}“\"「‘\p{IsHan}]")
     truncated = F.col("broken") | F.col("omission") | F.col("at_limit") | goes_on | (F.col("unfinished") & ~F.col("open_habit") & prose)

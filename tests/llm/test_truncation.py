@@ -63,6 +63,28 @@ def test_verdicts(spark):
     assert rates["posts"] == (72, 12) and rates[None] == (1, 1)
 
 
+def test_closing_lines_do_not_depend_on_the_number_of_texts(spark):
+    rng = random.Random(9)
+    rows, cut = [], set()
+    story = lambda n: " ".join(rng.choice(SENTENCES) for _ in range(n))
+    for i in range(60):
+        rows.append((len(rows), f"Part {i}. {story(8)}\n\nThe river was silent before dawn. {story(3)}", "prose", False))
+    for i in range(5):
+        rows.append((len(rows), f"Part {i}. {story(9)}\n\nTHE END", "prose", False))
+        cut.add(len(rows))  # a stub that five texts share, as it happens in any large table
+        rows.append((len(rows), f"Part {i}. {story(9)}\n\nThe riv", "prose", False))
+    for i in range(11):
+        cut.add(len(rows))
+        rows.append((len(rows), (f"post {i} " + story(12))[:199] + "x", "posts", False))
+    cut.add(len(rows))
+    rows.append((len(rows), (story(12)[:180] + "\n- a bullet cut at its limit")[:200], "posts", False))
+    cut.add(len(rows))
+    rows.append((len(rows), "Things to bring\n- a lant", "lists", False))
+    rows.append((len(rows), "Things to bring\n- a lantern", "lists", False))
+    evidence = truncation_evidence(spark.createDataFrame(rows, SCHEMA), "doc_id", "text", "source").collect()
+    assert {r["doc_id"] for r in evidence if r["truncated"]} == cut
+
+
 def test_empty_table(spark):
     df, _ = documents(spark)
     assert truncation_evidence(df.limit(0), "doc_id", "text", "source").count() == 0
