@@ -24,6 +24,10 @@ CLOSED = rf"(?U)[.!?…。！？]{_CLOSERS}\s*$"
 OMISSION = r"(?U)\s*(?:\[\s*(?:\.\.\.|…)\s*\]|(?:…|\.\.\.)(?:\s*(?:read more|continue reading|more))?)\s*$"
 #: Marks that prose doesn't use of itself.
 SURE_OMISSION = r"(?iU)(?:\[\s*(?:\.\.\.|…)\s*\]|\.\.\.|(?:…|\.\.\.)\s*(?:read more|continue reading|more))\s*$"
+#: A word at the end of a sentence, with a mark of omission or the end of the text (a null character) where these follow.
+_ENDED_WORD = r"(?U)(?<!\w)\w++[.!?…](?:\s*(?i:read more|continue reading|more)\s*?(?=[\r\n\x00])|\s*\x00)?"
+#: Share of a word's sentence ends that must be ellipses within a text for an ellipsis to be a natural end of it.
+DOTTED_SHARE = 0.05
 #: Last lines that close a text without an end mark: ornaments, notes in brackets, bullets, credits, rows of a table.
 CLOSING_LINE = r"(?U)^\s*(?:[\[(（【].*[\])）】]|[*#~=_\-–—·\s]+|[-•*–—]+\s.*|\d+[.)]\s.*|.*\t.*)\s*$"
 _BLANK = r"(?U)^\s*$"
@@ -129,6 +133,20 @@ def _closing_lines(rows: DataFrame, ends: DataFrame) -> DataFrame:
     return found.join(longer, "last_line", "left").filter(F.col("texts_ended") >= CLOSING_RATIO * F.coalesce("longer", F.lit(0))).select("last_line", "texts_ended")
 
 
+def _dotted_words(rows: DataFrame, ends: DataFrame) -> DataFrame:
+    """Words that end sentences in an ellipsis of themselves: (``dots_after``, ``dotted``).
+
+    Of the words before a last ellipsis, those for which ellipses within texts
+    are a fixed share of all their sentence ends, marks and ends of texts among
+    these.  An ellipsis that a mark of omission follows stands for a cut itself.
+    """
+    asked = ends.filter("dots_after is not null").select("dots_after").distinct()
+    words = rows.select(F.explode(F.regexp_extract_all(F.concat("text", F.lit("\x00")), F.lit(_ENDED_WORD), F.lit(0))).alias("w"))
+    words = words.select(F.lower(F.regexp_extract("w", r"(?U)^\w+", 0)).alias("dots_after"), F.col("w").endswith("…").cast("long").alias("within"))
+    counts = words.join(broadcast_if_small(asked), "dots_after", "left_semi").groupBy("dots_after").agg(F.sum("within").alias("dotted"), F.count(F.lit(1)).alias("ended"))
+    return counts.filter((F.col("dotted") > 0) & (F.col("dotted") >= DOTTED_SHARE * F.col("ended"))).select("dots_after", "dotted")
+
+
 def _limits(rows: DataFrame, size: str) -> DataFrame:
     """Sizes at which the open-ended texts of a source pile up: (``src``, size).
 
@@ -168,19 +186,13 @@ def truncation_evidence(df: DataFrame, key: str, text: str, source: str) -> Data
     prefixes = longer_copies(rows, "text")
     ends = _ends(rows.filter(shown)).withColumns(dict(zip(("h1", "h2"), _text_hashes(F.col("text"))))).drop("text", "_core", "_tail", "_base")
     ends = cut_lineage(ends)  # no texts any more, read several times below
-    dotted = (
-        rows.filter(F.col("text").contains("…"))
-        .select(F.explode(F.regexp_extract_all("text", F.lit(r"(?U)(\w+)…(?=\s*\S)"), F.lit(1))).alias("w"))
-        .groupBy(F.lower("w").alias("dots_after"))
-        .agg(F.count(F.lit(1)).alias("dotted"))
-        .filter("dotted >= 5")
-    )
+    dotted = _dotted_words(rows.filter(shown), ends)
     open_now = ~F.col("closed")
     lines = _closing_lines(rows.filter(shown), ends)
     ends = ends.join(dotted, "dots_after", "left").join(lines, "last_line", "left").join(prefixes, ["h1", "h2"], "left")
     signed = F.coalesce((F.length("line_before") <= 30) & F.col("line_before").rlike(r"(?U)^\w[\w ]*,$") & (F.length("last_line") <= 40), F.lit(False))
     closing = F.col("last_line").rlike(CLOSING_LINE) | F.col("texts_ended").isNotNull() | signed
-    # A word that no sentence ends in with an ellipsis: the ellipsis stands for what was cut.
+    # A word that sentences don't end in with an ellipsis: the ellipsis stands for what was cut.
     marked = F.coalesce(F.col("sure_mark") | (F.col("dots_after").isNotNull() & F.col("dotted").isNull()), F.lit(False))
     ends = ends.withColumns({"omission": marked, "closing": closing, "open_end": open_now})
     hanging = ends.filter("open_end and not closing")

@@ -85,6 +85,15 @@ def test_closing_lines_do_not_depend_on_the_number_of_texts(spark):
     assert {r["doc_id"] for r in evidence if r["truncated"]} == cut
 
 
+def test_marks_of_omission_are_no_natural_ellipses(spark):
+    rows = [(i, f"{i} bells rang. It was th… read more", "feed", True) for i in range(8)]
+    rows += [(10 + i, f"{i} men closed the door… then waited. " + "One more door. " * 30, "notes", False) for i in range(6)]
+    rows += [(20 + i, f"{i} men went to the arches… Nobody came. {i} men sat below the arches.", "notes", False) for i in range(3)]
+    rows += [(30, "Two men stood by the arches…", "feed", False), (31, "Nobody came, and th…", "feed", True), (32, "Nobody came to the door…", "feed", True)]
+    evidence = truncation_evidence(spark.createDataFrame(rows, SCHEMA), "doc_id", "text", "source").collect()
+    assert {r["doc_id"] for r in evidence if r["omission"]} == {r[0] for r in rows if r[3]}
+
+
 def test_empty_table(spark):
     df, _ = documents(spark)
     assert truncation_evidence(df.limit(0), "doc_id", "text", "source").count() == 0
