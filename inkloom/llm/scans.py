@@ -37,8 +37,8 @@ SAMPLE_PAIRS = 6_000
 RATIO, BOOK_RATIO = 20, 4
 #: Times from which a capitalised word of one book is a name of it.
 NAME_TIMES = 6
-#: A word, with hyphens and with marks that stand for letters inside it.
-_TOKEN = re.compile(r"[^\W_]+(?:[!|][^\W\d_]+|-[^\W\d_]+)*")
+#: A word, with hyphens and with marks that stand for letters inside it, at its start, or (a bar) at its end.
+_TOKEN = re.compile(r"(?:[!|](?<![^\s\"“”‘’'(\[][!|])(?=[^\W\d_]))?[^\W_]+(?:[!|][^\W\d_]+|-[^\W\d_]+)*(?:\|(?<=[^\W\d_]\|)(?=[\"”’'.,;:!?)\]]*(?:\s|\Z)))?")
 #: A hyphen at what is or was a line end, and the ends of the words beside it.
 _BREAK = re.compile(r"-(?:[ \t]*\n\s*|[ \t]+)(?=[^\W\d_])")
 _LEFT = re.compile(r"[^\W_]+(?:[!|][^\W_]+)*$")
@@ -141,7 +141,7 @@ def _breaks(text: str) -> list[tuple[int, int, str, str]]:
     for found in _BREAK.finditer(text):
         start, end = found.span()
         if text[end].islower() and (left := _LEFT.search(text, max(0, start - 60), start)):
-            out.append((start, end, left[0].lower(), _TOKEN.match(text, end)[0].partition("-")[0].lower()))
+            out.append((start, end, left[0].lower(), _TOKEN.match(text, end)[0].rstrip("|").partition("-")[0].lower()))
     return out
 
 

@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from inkloom.llm.boosting import Boosted
-from inkloom.llm.scans import _furniture, confusion_cost, fault_kinds, repair_scans, scan_skeleton
+from inkloom.llm.scans import _TOKEN, _furniture, confusion_cost, fault_kinds, repair_scans, scan_skeleton
 
 WORDS = "the granary lantern window morning another counted silence behind harbor bridge marble winter scholar followed between memory carried shadow kitchen river ferryman orchard patient".split()
 SCHEMA = "table_name string, key long, book long, text string, book_name string, author string, kind string, wrong string"
@@ -62,5 +62,17 @@ def test_kinds_and_repair(spark):
     assert fixed[506].startswith("the winter bridge ") and fixed[507] == extra[7][1]
 
 
+def test_marks_at_the_ends_of_words(spark):
+    assert _TOKEN.findall("!nside “!vory” |antern wel| 'signa|.' |vory") == ["!nside", "!vory", "|antern", "wel|", "signa|", "|vory"]
+    assert _TOKEN.findall("Stop!now ended! a | b |3 ! x!") == ["Stop!now", "ended", "a", "b", "3", "x"]
+    rng = random.Random(5)
+    words = [(600 + i, "the silence " + " inside a signal ".join([prose(rng, 3)] * 3)) for i in range(60)]
+    extra = [(500, prose(rng, 20) + " !nside the harbor"), (501, prose(rng, 9) + " the signa|, " + prose(rng, 9)), (502, prose(rng, 9) + " the |antern.")]
+    df = texts(spark, words + extra)
+    assert {(r["row_key"], r["kind"]) for r in fault_kinds(df).collect()} == {(k, "misread") for k, _ in extra}
+    fixed = {r["key"]: r["repaired"] for r in repair_scans(df).filter("table_name = 'chunks'").collect()}
+    assert fixed[500].endswith(" inside the harbor") and " the signal, " in fixed[501] and fixed[502].endswith(" the lantern.")
+
+
 def test_empty_table(spark):
     assert fault_kinds(texts(spark, []).limit(0)).count() == 0
