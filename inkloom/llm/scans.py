@@ -351,33 +351,42 @@ def find_faults(texts: DataFrame) -> ScanFaults:
     texts = texts.filter(F.length("text") > 0).select("table_name", "key", "book", "text", "book_name", "author")
     # Very common words, from a bounded sample; they only spare look-ups, counts cover all texts.
     sample = _sample(texts.select("table_name", "key", "text"), SAMPLE_ROWS, "table_name", "key")
-    seen = Counter(w for t in sample["text"] for w in set(_TOKEN.findall(t.lower())))
-    common = {w for w, n in seen.items() if n >= max(8, len(sample) // 100) and w.isalpha()}
+    # Words mostly written with a capital are left out: a book's names must be counted by book, and its misread ones looked up.
+    forms = [set(_TOKEN.findall(t)) for t in sample["text"]]
+    seen = Counter(w for f in forms for w in {x.lower() for x in f})
+    small = Counter(w for f in forms for w in f if w[0].islower())
+    common = {w for w, n in seen.items() if n >= max(8, len(sample) // 100) and w.isalpha() and small[w] >= 0.2 * n}
     first = cut_lineage(texts.mapInPandas(_first_pass(common), _PASS))
     rows = first.filter("kind = 0")
     by_book = first.filter("kind = 1").groupBy("book", "word").agg(F.sum("n").alias("n"), F.sum("capitals").alias("capitals"))
     by_book = cut_lineage(by_book)
-    # A word that a book writes with a capital, again and again, is a name of its own.
-    is_name = F.col("book").isNotNull() & (F.col("capitals") >= 0.8 * F.col("n")) & (F.col("n") >= NAME_TIMES)
-    totals = by_book.groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("books"), F.max(F.col("book").isNull()).alias("common"), F.sum(F.when(~is_name, F.col("n"))).alias("unnamed"))
+    totals = by_book.groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("books"), F.max(F.col("book").isNull()).alias("common"))
     plain = F.col("word").rlike(r"^\p{L}+(-\p{L}+)*$")
     general = totals.filter(plain & (F.length("word") >= 3) & (F.col("common") | ((F.col("n") >= RATIO) & (F.col("books") >= 4)))).select(F.lit(-1).cast("long").alias("book"), "word", "n")
     names = by_book.filter(plain & F.col("book").isNotNull() & (F.length("word") >= 3) & (F.col("n") >= BOOK_RATIO))
     odd_word = F.length("word") >= 3
-    rare = by_book.filter(F.col("book").isNotNull() & odd_word & ~is_name)
-    suspects = totals.filter(~F.col("common") & odd_word & (F.col("unnamed") > 0)).select(F.lit(-1).cast("long").alias("book"), "word", F.col("unnamed").alias("n"))
-    pairs = correction_candidates(suspects, general, False).unionByName(correction_candidates(rare, names, True))
     words = _sample(general, SAMPLE_PAIRS // 3, "word").sort_values("word")
-    ranker = fit_ranker(list(zip(words["word"], words["n"].astype(int))))
-    scored = pairs.mapInPandas(_ranked(ranker), "book long, wrong string, right string, n_wrong long, n_right long, score double, cost double")
+    ranker = _ranked(fit_ranker(list(zip(words["word"], words["n"].astype(int)))))
+    pair = "book long, wrong string, right string, n_wrong long, n_right long, score double, cost double"
     odd = F.col("wrong").rlike(r"[0-9!|]")
     # Short words are too alike for anything but a foreign character, or the book's own names, to tell.
     sure = (F.col("score") >= 0.5) & (odd | (F.length("right") >= 4) | (F.col("n_right") >= 200 * F.col("n_wrong")))
+    rare = by_book.filter(F.col("book").isNotNull() & odd_word)
+    in_book = cut_lineage(correction_candidates(rare, names, True).mapInPandas(ranker, pair).filter(sure))
+    # A word that a book writes with a capital, again and again, is a name of its own, unless it holds a
+    # foreign character or the same book has its right form far more often.
+    is_name = F.col("book").isNotNull() & (F.col("capitals") >= 0.8 * F.col("n")) & (F.col("n") >= NAME_TIMES) & ~F.col("word").rlike(r"[0-9!|]")
+    misread = in_book.select("book", F.col("wrong").alias("word")).distinct()
+    own = by_book.filter(is_name).join(misread, ["book", "word"], "left_anti")
+    named = own.groupBy("word").agg(F.sum("n").alias("named"))
+    unnamed = F.col("n") - F.coalesce("named", F.lit(0))
+    suspects = totals.filter(~F.col("common") & odd_word).join(named, "word", "left").filter(unnamed > 0).select(F.lit(-1).cast("long").alias("book"), "word", unnamed.alias("n"))
+    scored = correction_candidates(suspects, general, False).mapInPandas(ranker, pair).filter(sure).unionByName(in_book)
     best = Window.partitionBy("book", "wrong").orderBy(F.desc("score"), "cost", F.desc("n_right"), "right")
-    fixes = scored.filter(sure).withColumn("r", F.row_number().over(best)).filter("r = 1").select(F.col("book").alias("fix_book"), "wrong", "right", "cost")
+    fixes = scored.withColumn("r", F.row_number().over(best)).filter("r = 1").select(F.col("book").alias("fix_book"), "wrong", "right", "cost")
     fixes = broadcast_if_small(cut_lineage(fixes))
     tokens = rows.select("table_name", "key", "book", F.explode("rare").alias("wrong"))
-    own = by_book.filter(is_name).select("book", F.col("word").alias("wrong")).join(fixes.select("wrong"), "wrong", "left_semi")
+    own = own.select("book", F.col("word").alias("wrong")).join(fixes.select("wrong"), "wrong", "left_semi")
     found = (
         tokens.join(fixes, "wrong")
         .filter((F.col("fix_book") == -1) | (F.col("fix_book") == F.col("book")))

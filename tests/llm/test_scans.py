@@ -74,5 +74,14 @@ def test_marks_at_the_ends_of_words(spark):
     assert fixed[500].endswith(" inside the harbor") and " the signal, " in fixed[501] and fixed[502].endswith(" the lantern.")
 
 
+def test_repeated_misreadings_of_names(spark):
+    rng = random.Random(6)
+    named = [(600 + i, f"{prose(rng, 9)} Greywood saw Harborton and Talbot by the {prose(rng, 9)}") for i in range(60)]
+    wrong = [(700 + i, f"{prose(rng, 9)} Greyvvood left the {prose(rng, 9)}") for i in range(8)] + [(720 + i, f"{prose(rng, 9)} Harb0rton left the {prose(rng, 9)}") for i in range(8)]
+    others = [(740 + i, f"{prose(rng, 9)} Silvester left the {prose(rng, 9)}") for i in range(8)]
+    df = texts(spark, named + wrong + others)
+    assert {(r["row_key"], r["kind"]) for r in fault_kinds(df).collect()} == {(k, "misread") for k, _ in wrong}
+
+
 def test_empty_table(spark):
     assert fault_kinds(texts(spark, []).limit(0)).count() == 0
