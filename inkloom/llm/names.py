@@ -1,7 +1,7 @@
 """Variant spellings of names typed by people.
 
 Rows are blocked by phonetic codes of their sorted name tokens, compared with
-Jaro-Winkler and nickname tables, and accepted pairs are clustered by connected
+Jaro-Winkler and nickname rules, and accepted pairs are clustered by connected
 components.
 """
 
