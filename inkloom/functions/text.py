@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 #: A word: a run of word characters, apostrophes and hyphens that holds at
 #: least one word character. Counts the same as ``\b[\w'’-]+\b``, without backtracking.
 WORD = r"(?U)\w[\w'’-]*+"
-BLANK_LINE = r"\n\s*\n"
+# The blank line between blocks, Han characters, and the marker line of a chunk.
+BLANK_LINE = r"(?U)\n\s*\n"
 HAN = r"[㐀-鿿]"
 MARKER = r"(?m)^<!--\s*(chunk-\d{4});\s*source pages\s+(\d+)-(\d+)\s*-->$"
 
@@ -53,15 +54,19 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf(T.StringType())
-def casefold(text: pd.Series) -> pd.Series:
-    """Full Unicode case folding."""
-    return text.map(lambda t: None if t is None else t.casefold())
+def casefold(text: Column) -> Column:
+    """Full Unicode case folding with built-in functions: upper case, then lower case.
+
+    The letters that this would change otherwise are set apart: capital sharp s,
+    final sigma, and the dotless i, which has no upper case of its own.
+    """
+    apart = F.replace(F.translate(text, "ı", "\ue000"), F.lit("ẞ"), F.lit("ss"))
+    return F.translate(F.lower(F.upper(apart)), "ς\ue000", "σı")
 
 
-def normalize_page(text: Column, assume_nfkc: bool = False) -> Column:
-    """A page as blocks of one line each, parted by a blank line."""
-    text = join_hyphenated(unify_newlines(text if assume_nfkc else nfkc(text)))
+def normalize_page(text: Column) -> Column:
+    """A page in NFKC as blocks of one line each, parted by a blank line."""
+    text = join_hyphenated(unify_newlines(nfkc(text)))
     blocks = F.transform(
         F.split(text, BLANK_LINE, -1),
         lambda b: F.array_join(F.filter(F.transform(F.split(collapse_blanks(b), "\n", -1), strip), lambda x: x != ""), " "),
@@ -69,9 +74,9 @@ def normalize_page(text: Column, assume_nfkc: bool = False) -> Column:
     return F.array_join(F.filter(blocks, lambda b: b != ""), "\n\n")
 
 
-def clean_line(text: Column, repairs: dict[str, str], assume_nfkc: bool = False) -> Column:
+def clean_line(text: Column, repairs: dict[str, str]) -> Column:
     """One extracted line: NFKC, no NUL, single blanks, literal repairs applied in order."""
-    out = strip(collapse_blanks(F.translate(text if assume_nfkc else nfkc(text), "\0", "")))
+    out = strip(collapse_blanks(F.translate(nfkc(text), "\0", "")))
     for wrong, right in repairs.items():
         out = F.replace(out, F.lit(wrong), F.lit(right))
     return out
@@ -90,7 +95,7 @@ def join_wrapped(lines: Column) -> Column:
 
 def slug(text: Column, default: str = "book") -> Column:
     """Lower-case ASCII letters and digits joined by hyphens."""
-    return F.coalesce(F.nullif(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), F.lit("-")), F.lit("")), F.lit(default))
+    return F.coalesce(F.nullif(F.trim(F.regexp_replace(casefold(text), "[^a-z0-9]+", "-"), F.lit("-")), F.lit("")), F.lit(default))
 
 
 def han_count(text: Column) -> Column:
@@ -111,8 +116,8 @@ def tail(text: Column, n: int) -> Column:
 
 
 def fold_term(term: Column) -> Column:
-    """Key of a term: typographic apostrophes made plain, lower case."""
-    return F.lower(F.replace(term, F.lit("’"), F.lit("'")))
+    """Key of a term: typographic apostrophes made plain, case folded."""
+    return casefold(F.replace(term, F.lit("’"), F.lit("'")))
 
 
 def split_aliases(aliases: Column) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkloom.functions.hashing import hash_parts
-from inkloom.functions.text import join_wrapped, paragraphs, strip, unify_newlines, word_count
+from inkloom.functions.text import casefold, join_wrapped, normalize_page, paragraphs, strip, unify_newlines, word_count
 
 # Headings that open a chapter or end the book.
 NUMBER_WORDS = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
@@ -19,19 +22,23 @@ CHAPTER_TITLES = [*NUMBER_WORDS, *(t if n is None else f"{t}-{n}" for t in TENS
 CHAPTER_PATTERN = r"^(?:(?i:chapter|part|book)\s+(?i:\d+|[ivxlcdm]+|[a-z][a-z -]{0,30})|\d{1,3}|[IVXLCDM]{1,10})$"
 STOP_PATTERN = r"(?i)^about\s+the\s*authors?$"
 PARAGRAPH_END = r"(?:[.!?…—][\"'”’)]*|\. \. \.)\s*$"
-SENTENCE_CUT = r"(?<=[.!?])\s+(?=[\"'“‘A-Z0-9])"
+SENTENCE_CUT = r"(?U)(?<=[.!?])\s+(?=[\"'“‘A-Z0-9])"
+#: A page that ends with its paragraph: in a blank line.
+PAGE_END = r"\n[ \t]*\n[ \t]*\n?\z"
+#: No listed title is longer than this; longer paragraphs need no folding to tell.
+LONGEST_TITLE = 40
 
 
 def is_heading(text: Column) -> Column:
     """Whether a paragraph is a chapter heading."""
     own = strip(text)
-    return F.lower(own).isin(CHAPTER_TITLES) | own.rlike(CHAPTER_PATTERN)
+    return F.when(F.length(own) <= LONGEST_TITLE, casefold(own).isin(CHAPTER_TITLES)).otherwise(F.lit(False)) | own.rlike(CHAPTER_PATTERN)
 
 
 def is_stop_heading(text: Column) -> Column:
     """Whether a paragraph opens what follows the book's text."""
     own = strip(text)
-    return F.lower(own).isin(STOP_TITLES) | own.rlike(STOP_PATTERN)
+    return F.when(F.length(own) <= LONGEST_TITLE, casefold(own).isin(STOP_TITLES)).otherwise(F.lit(False)) | own.rlike(STOP_PATTERN)
 
 
 def can_end_paragraph(line: Column) -> Column:
@@ -57,25 +64,27 @@ def page_range(pages: DataFrame, first: int = 1, last: int | None = None) -> Dat
     return kept if last is None else kept.filter(F.col("page") <= last)
 
 
-def continuation(pages: DataFrame, by: str, page: str, text: str, out: str = "continues") -> DataFrame:
+def continuation(pages: DataFrame, by: str, page: str, text: str, normalized: str, out: str = "continues") -> DataFrame:
     """Adds whether a page goes on with the paragraph of the page before.
 
-    It does unless it is the first of its book, the page before ends in a blank
-    line, or either side of the break is a heading.
+    It does unless it is the first of its book, the page before (``text``, as it
+    came) ends in a blank line, or the last block before or the first one here
+    (of ``normalized``) is a heading.  A page without a block is no heading, so the
+    pages on either side of it go on.  Null texts count as empty.
     """
-    blocks = paragraphs(F.col(text))
+    blocks = paragraphs(F.coalesce(normalized, F.lit("")))
     w = Window.partitionBy(by).orderBy(page)
-    rows = pages.withColumns({"_first": F.get(blocks, F.lit(0)), "_last": F.element_at(F.when(F.size(blocks) > 0, blocks), -1)})
-    before_text, before_last = F.lag(text).over(w), F.lag("_last").over(w)
-    flag = (
-        before_text.isNotNull()
-        & ~before_text.rlike(r"\n[^\S\n]*\n\s*$")
-        & F.col("_first").isNotNull()
-        & before_last.isNotNull()
-        & ~is_heading(F.col("_first"))
-        & ~is_heading(before_last)
+    edge = lambda c: F.coalesce(is_heading(c), F.lit(False))
+    rows = pages.withColumn("_blocks", blocks).withColumns(
+        {
+            "_head": edge(F.get("_blocks", F.lit(0))),
+            "_tail": edge(F.element_at(F.when(F.size("_blocks") > 0, F.col("_blocks")), -1)),
+            "_ended": F.coalesce(F.col(text).rlike(PAGE_END), F.lit(False)),
+        }
     )
-    return rows.withColumn(out, F.coalesce(flag, F.lit(False))).drop("_first", "_last")
+    before_tail, before_ended = F.lag("_tail").over(w), F.lag("_ended").over(w)
+    flag = F.coalesce(~before_ended & ~before_tail & ~F.col("_head"), F.lit(False))
+    return rows.withColumn(out, flag).drop("_blocks", "_head", "_tail", "_ended")
 
 
 def positioned_paragraphs(lines: DataFrame, by: list[str], indent: float = 92.0, gap: float = 20.0) -> DataFrame:
@@ -122,30 +131,31 @@ def book_paragraphs(pages: DataFrame, by: str) -> DataFrame:
     return grouped.select(by, "pos", "page_start", "page_end", join_wrapped(F.col("_parts.text")).alias("text"))
 
 
-def sentence_units(text: Column, most: int) -> Column:
+def sentence_units(text: Column, most: Column) -> Column:
     """A text as units of at most ``most`` words, cut between sentences.
 
     A text within the limit is one unit.  Sentences are packed greedily; one that
-    is too long is cut every ``most`` blank-separated words.
+    is too long is cut every ``most`` blank-separated words.  Words are counted
+    once a sentence; the fold only adds the counts up.
     """
-    sentences = F.filter(F.split(text, SENTENCE_CUT, -1), lambda s: F.length(s) > 0)
+    counted = F.transform(F.split(text, SENTENCE_CUT, -1), lambda s: F.struct(s.alias("s"), word_count(s).alias("w")))
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("n"))
 
-    def add(state: Column, sentence: Column) -> Column:
-        words = word_count(sentence)
-        full = (state["now"] != "") & (state["n"] + words > most)
+    def windows(sentence: Column) -> Column:
+        tokens = F.filter(F.split(sentence, r"(?U)\s+", -1), lambda t: t != "")
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(tokens) - 1), most), lambda i: F.array_join(F.slice(tokens, i + 1, most), " "))
+
+    def add(state: Column, unit: Column) -> Column:
+        full, long = (state["now"] != "") & (state["n"] + unit["w"] > most), unit["w"] > most
         done = F.when(full, F.array_append(state["done"], state["now"])).otherwise(state["done"])
         now, n = F.when(full, F.lit("")).otherwise(state["now"]), F.when(full, F.lit(0)).otherwise(state["n"])
-        tokens = F.filter(F.split(sentence, r"(?U)\s+", -1), lambda t: t != "")
-        windows = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(tokens) - 1), F.lit(most)), lambda i: F.array_join(F.slice(tokens, i + 1, most), " "))
-        long = words > most
         return F.struct(
-            F.when(long, F.concat(done, windows)).otherwise(done).alias("done"),
-            F.when(long, now).when(now == "", sentence).otherwise(F.concat_ws(" ", now, sentence)).alias("now"),
-            F.when(long, n).otherwise(n + words).alias("n"),
+            F.when(long, F.concat(done, windows(unit["s"]))).otherwise(done).alias("done"),
+            F.when(long, now).when(now == "", unit["s"]).otherwise(F.concat_ws(" ", now, unit["s"])).alias("now"),
+            F.when(long, n).otherwise(n + unit["w"]).alias("n"),
         )
 
-    packed = F.aggregate(sentences, start, add, lambda s: F.when(s["now"] != "", F.array_append(s["done"], s["now"])).otherwise(s["done"]))
+    packed = F.aggregate(counted, start, add, lambda s: F.when(s["now"] != "", F.array_append(s["done"], s["now"])).otherwise(s["done"]))
     return F.when(word_count(text) <= most, F.array(text)).otherwise(F.filter(packed, lambda u: strip(u) != ""))
 
 
@@ -166,24 +176,53 @@ def chunk_numbers(words: Column, headings: Column, target: Column, most: Column)
     return F.aggregate(units, start, add, lambda s: s["out"])
 
 
+def _fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Units in the order of their book as chunks; one chunk at a time is held, also across batches."""
+    book, number, words, parts, pages = None, 0, 0, [], (0, 0)
+
+    def closed() -> tuple:
+        return (book, number, *pages, "\n\n".join(parts))
+
+    for batch in batches:
+        out = []
+        for by, first, last, text, w, heading, target, most in batch.itertuples(index=False, name=None):
+            if by != book or number == 0:
+                if parts:
+                    out.append(closed())
+                book, number, words, parts = by, 1, 0, []
+            elif heading or words + w > most or words >= target:
+                out.append(closed())
+                number, words, parts = number + 1, 0, []
+            pages = (pages[0] if parts else first, last)
+            parts.append(text)
+            words += w
+        yield pd.DataFrame(out, columns=["by", "chunk_index", "page_start", "page_end", "source"])
+    if parts:
+        yield pd.DataFrame([closed()], columns=["by", "chunk_index", "page_start", "page_end", "source"])
+
+
 def make_chunks(units: DataFrame, by: str, target: Column, most: Column) -> DataFrame:
     """Ordered units (``by``, ``pos``, ``page_start``, ``page_end``, ``text``) as chunks.
 
     Columns: ``by``, ``chunk_id``, ``chunk_index``, ``page_start``, ``page_end``,
     ``source_words``, ``source_chars``, ``source_sha256``, ``source``.  ``target``
-    and ``most`` may be columns of the book.  The fold runs over word counts of a
-    book, not its text; a book is the unit of work.
+    and ``most`` may be columns of the book; a chunk closes before a heading,
+    where the next unit would pass ``most`` words, or once it has ``target``.
+
+    Words are counted in the JVM.  The units of a book are sorted (on disk where
+    need be) and filled in one pass that holds one chunk, so a book may be of any
+    size; it is read by one task, since where a chunk begins depends on all
+    before it.  Rows without a book give none.
     """
-    counted = units.withColumns({"w": word_count(F.col("text")), "h": is_heading(F.col("text")), "_t": target, "_m": most})
-    folded = counted.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("pos", "w", "h"))).alias("u"), F.first("_t").alias("_t"), F.first("_m").alias("_m"))
-    numbers = folded.select(by, F.explode(F.arrays_zip(F.col("u.pos").alias("pos"), chunk_numbers(F.col("u.w"), F.col("u.h"), F.col("_t"), F.col("_m")).alias("chunk_index"))).alias("x"))
-    placed = counted.join(numbers.select(by, F.col("x.pos").alias("pos"), F.col("x.chunk_index").alias("chunk_index")), [by, "pos"])
-    chunks = placed.groupBy(by, "chunk_index").agg(
-        F.min_by("page_start", "pos").alias("page_start"), F.max_by("page_end", "pos").alias("page_end"), F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("p")
-    )
-    chunks = chunks.withColumn("source", F.array_join("p.text", "\n\n"))
+    kind = dict(units.dtypes)[by]
+    counted = units.filter(F.col(by).isNotNull()).select(
+        F.col(by).alias("by"), "pos", F.col("page_start").cast("int"), F.col("page_end").cast("int"), "text",
+        word_count(F.col("text")).cast("long").alias("w"), is_heading(F.col("text")).alias("h"), target.cast("long").alias("t"), most.cast("long").alias("m"),
+    )
+    ordered = counted.repartition("by").sortWithinPartitions("by", "pos").drop("pos")
+    chunks = ordered.mapInPandas(_fill, f"by {kind}, chunk_index int, page_start int, page_end int, source string")
     return chunks.select(
-        by,
+        F.col("by").alias(by),
         F.format_string("chunk-%04d", "chunk_index").alias("chunk_id"),
         "chunk_index",
         "page_start",
@@ -195,8 +234,17 @@ def make_chunks(units: DataFrame, by: str, target: Column, most: Column) -> Data
     )
 
 
-def chunk_books(pages: DataFrame, by: str, limits: DataFrame, target: str, most: str, cap: int = 2300) -> DataFrame:
-    """Pages to chunks: paragraphs across pages, units of at most ``cap`` words, greedy chunks by each book's limits."""
-    split = book_paragraphs(pages, by).select(by, "pos", "page_start", "page_end", F.posexplode(sentence_units(F.col("text"), cap)).alias("part", "text"))
-    ordered = split.withColumn("pos", F.col("pos").cast("long") * 1_000_000 + F.col("part")).drop("part")
-    return make_chunks(ordered.join(limits.select(by, F.col(target).alias("_target"), F.col(most).alias("_most")), by), by, F.col("_target"), F.col("_most"))
+def chunk_books(pages: DataFrame, by: str, limits: DataFrame, target: str, most: str) -> DataFrame:
+    """Pages (``page``, ``text``) to chunks by each book's own limits.
+
+    Pages are normalised, paragraphs run on across pages, one above the book's
+    ``most`` words is cut between sentences, and chunks are filled greedily. Books
+    without limits, and pages without a book, give none.
+    """
+    level = pages.withColumn("_normal", normalize_page(F.coalesce("text", F.lit(""))))
+    level = continuation(level, by, "page", "text", "_normal", "continues").select(by, "page", "continues", F.col("_normal").alias("text"))
+    bounds = limits.select(by, F.col(target).alias("_target"), F.col(most).alias("_most")).filter("_target is not null and _most > 0")
+    whole = book_paragraphs(level, by).join(bounds, by)
+    split = whole.select(by, "pos", "page_start", "page_end", "_target", "_most", F.posexplode(sentence_units(F.col("text"), F.col("_most"))).alias("part", "text"))
+    ordered = split.withColumn("pos", F.struct("pos", "part"))
+    return make_chunks(ordered, by, F.col("_target"), F.col("_most"))

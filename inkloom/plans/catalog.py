@@ -36,12 +36,7 @@ def source_inspection(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def normalized_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """STR-2 to STR-4, STR-13: pages as one line a block."""
-    return table(spark, folder, "pages").select("page_key", text.normalize_page(F.col("text"), assume_nfkc=True).alias("normalized"))
-
-
-def nfkc_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """STR-1 with STR-4: the same over NFKC-normalised text."""
+    """STR-1 to STR-4, STR-13: pages in NFKC as one line a block."""
     return table(spark, folder, "pages").select("page_key", text.normalize_page(F.col("text")).alias("normalized"))
 
 
@@ -53,7 +48,7 @@ def document_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
 
 def sentence_units(spark: SparkSession, folder: str) -> DataFrame:
     """GEN-1: documents as units of at most 60 words cut between sentences."""
-    rows = table(spark, folder, "documents").filter("text is not null").select("doc_id", F.posexplode(segment.sentence_units(F.col("text"), 60)).alias("pos", "unit"))
+    rows = table(spark, folder, "documents").filter("text is not null").select("doc_id", F.posexplode(segment.sentence_units(F.col("text"), F.lit(60))).alias("pos", "unit"))
     return rows.select("doc_id", _long(F.col("pos") + 1).alias("pos"), "unit")
 
 
@@ -66,20 +61,19 @@ def greedy_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Every page once, as last loaded, with whether it goes on with the page before."""
-    pages = context.latest(table(spark, folder, "pages"), ["book_id", "page"], ["loaded_at", "page_key"])
-    return segment.continuation(pages, "book_id", "page", "text")
+    """Every page once, as last loaded."""
+    return context.latest(table(spark, folder, "pages"), ["book_id", "page"], ["loaded_at", "page_key"])
 
 
 def page_continuation(spark: SparkSession, folder: str) -> DataFrame:
     """WIN-1: which pages go on with a paragraph."""
-    return _pages(spark, folder).select("page_key", "book_id", "page", "continues")
+    pages = _pages(spark, folder).withColumn("normal", text.normalize_page(F.coalesce("text", F.lit(""))))
+    return segment.continuation(pages, "book_id", "page", "text", "normal").select("page_key", "book_id", "page", "continues")
 
 
 def book_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """SRC-2, FOLD-2 to FOLD-5, HSH-1: books chunked by their own limits."""
-    pages = _pages(spark, folder).select("book_id", "page", "continues", text.normalize_page(F.coalesce("text", F.lit("")), assume_nfkc=True).alias("text"))
-    chunks = segment.chunk_books(pages, "book_id", table(spark, folder, "project"), "chunk_target_words", "chunk_max_words")
+    """SRC-2, STR-1, FOLD-2 to FOLD-5, GEN-1, HSH-1: books chunked by their own limits."""
+    chunks = segment.chunk_books(_pages(spark, folder), "book_id", table(spark, folder, "project"), "chunk_target_words", "chunk_max_words")
     return chunks.select("book_id", "chunk_id", "chunk_index", "page_start", "page_end", "source_words", "source_chars", "source_sha256")
 
 
@@ -349,7 +343,7 @@ def context_packets(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p6_found, book_chunks, word_stats, source_inspection, normalized_pages, nfkc_pages, document_paragraphs, sentence_units, greedy_chunks, page_continuation,
+        p6_found, book_chunks, word_stats, source_inspection, normalized_pages, document_paragraphs, sentence_units, greedy_chunks, page_continuation,
         heading_flags, emphasis_parity, bracket_balance, english_residue, script_ratio, term_hits, alias_hits, proposal_conflicts, glossary_conflicts,
         glossary_conflicts_exact, term_candidates, new_terms, neighbor_context, transitions, assemble, marker_roundtrip, contiguity, latest_pages, chosen_target,
         hash_drift, chunk_drift, content_hashes, cache_misses, status_counts, usage_totals, claim_order, ready_tasks, downstream_closure, plan_tasks,

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from inkloom.operators.quality import COMMON_ENGLISH
 from inkloom.operators.segment import CHAPTER_TITLES, STOP_TITLES
 
@@ -18,7 +21,7 @@ def _words(x: str) -> str:
 
 
 def _paragraphs(x: str) -> str:
-    return rf"list_filter(list_transform(string_split_regex({x}, '\n\s*\n'), lambda p: {_strip('p')}), lambda p: p <> '')"
+    return rf"list_filter(list_transform(string_split_regex({x}, '\n{_SPACE}*\n'), lambda p: {_strip('p')}), lambda p: p <> '')"
 
 
 def _listed(values: list[str]) -> str:
@@ -37,8 +40,81 @@ def _fold(x: str) -> str:
     return f"lower(replace({x}, '’', ''''))"
 
 
-_UNIFIED = r"regexp_replace(replace(text, chr(0), ''), '\r\n?', chr(10), 'g')"
-_JOINED = rf"regexp_replace({_UNIFIED}, '([{_W}])-\n([{_W}])', '\1\2', 'g')"
+def _compatible() -> str:
+    """Rows (c, k) of the characters that NFKC, but not NFC, replaces, worked out from the character database."""
+    found = []
+    for code in range(0x80, sys.maxunicode + 1):
+        if unicodedata.decomposition(chr(code)) and unicodedata.normalize("NFKC", chr(code)) != unicodedata.normalize("NFC", chr(code)):
+            found.append(f"({code}, '" + unicodedata.normalize("NFKD", chr(code)).replace("'", "''") + "')")
+    return "SELECT chr(code) AS c, k FROM (VALUES " + ", ".join(found) + ") v(code, k)"
+
+
+# NFKC is NFC once every character has its compatible form; only texts with such a character are taken apart.
+_COMPATIBLE = rf"""compatible AS ({_compatible()}),
+    apart AS (SELECT page_key, i, c FROM (SELECT page_key, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS c FROM (SELECT page_key, string_split(text, '') AS l FROM pages WHERE regexp_matches(text, '[^\x00-\x7f]')))),
+    level AS (SELECT page_key, string_agg(coalesce(k, c), '' ORDER BY i) AS t FROM apart LEFT JOIN compatible USING (c) GROUP BY page_key),
+    nfkc AS (SELECT p.page_key, p.book_id, p.page, p.loaded_at, p.text AS raw, regexp_replace(replace(nfc_normalize(coalesce(t, text)), chr(0), ''), '\r\n?', chr(10), 'g') AS text FROM pages p LEFT JOIN level USING (page_key))"""
+
+
+def _unbroken(x: str) -> str:
+    return rf"regexp_replace({x}, '([{_W}])-\n([{_W}])', '\1\2', 'g')"
+
+
+_JOINED = _unbroken(_unbroken("text"))  # twice, as two breaks may share a letter
+_NORMAL = rf"""{_COMPATIBLE},
+    normal AS (SELECT *, array_to_string(list_filter(list_transform(string_split_regex({_JOINED}, '\n{_SPACE}*\n'), lambda b:
+        array_to_string(list_filter(list_transform(string_split(regexp_replace(b, '[ \t]+', ' ', 'g'), chr(10)), lambda x: {_strip("x")}), lambda x: x <> ''), ' ')), lambda b: b <> ''), chr(10) || chr(10)) AS normalized
+    FROM nfkc)"""
+_CONTINUES = rf"""{_NORMAL},
+    newest AS (SELECT *, {_paragraphs("coalesce(normalized, '')")} AS l FROM normal QUALIFY row_number() OVER (PARTITION BY book_id, page ORDER BY loaded_at DESC NULLS LAST, page_key DESC NULLS LAST) = 1),
+    beside AS (SELECT *, row_number() OVER w AS n, lag(raw) OVER w AS before, lag(CASE WHEN len(l) > 0 THEN l[-1] END) OVER w AS last_block FROM newest WINDOW w AS (PARTITION BY book_id ORDER BY page NULLS FIRST)),
+    flagged AS (SELECT *, n > 1 AND NOT coalesce(regexp_matches(before, '\n[ \t]*\n[ \t]*\n?$'), false) AND NOT coalesce({_heading("l[1]")}, false) AND NOT coalesce({_heading("last_block")}, false) AS continues FROM beside)"""
+_FOLDED = """list_reduce(list_prepend({first}, {units}), lambda s, x: {step})"""
+
+
+def _units(l: str, most: str) -> str:  # noqa: E741
+    """Units of at most ``most`` words of a list of sentences and their word counts (s, w)."""
+    tokens = f"list_filter(string_split_regex(x.s, '{_SPACE}+'), lambda t: t <> '')"
+    windows = f"list_transform(range(0, len({tokens}), {most}), lambda i: array_to_string(list_slice({tokens}, i + 1, i + {most}), ' '))"
+    full, long = f"(s.now <> '' AND s.n + x.w > {most})", f"(x.w > {most})"
+    first = "{'s': '', 'w': 0::BIGINT, 'done': []::VARCHAR[], 'now': '', 'n': 0::BIGINT}"
+    units = f"list_transform({l}, lambda s: {{'s': s, 'w': {_words('s')}, 'done': []::VARCHAR[], 'now': '', 'n': 0::BIGINT}})"
+    done = f"CASE WHEN {full} THEN list_append(s.done, s.now) ELSE s.done END"
+    now, n = f"CASE WHEN {full} THEN '' ELSE s.now END", f"CASE WHEN {full} THEN 0 ELSE s.n END"
+    step = f"""{{'s': x.s, 'w': x.w, 'done': CASE WHEN {long} THEN list_concat({done}, {windows}) ELSE {done} END,
+        'now': CASE WHEN {long} THEN {now} WHEN ({now}) = '' THEN x.s ELSE ({now}) || ' ' || x.s END, 'n': CASE WHEN {long} THEN {n} ELSE ({n}) + x.w END}}"""
+    return _FOLDED.format(first=first, units=units, step=step)
+
+
+def _sentences(x: str) -> str:
+    return rf"string_split(regexp_replace({x}, '([.!?]){_SPACE}+([\"''“‘A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1))"
+
+
+_CHUNK_STEP = """{'w': x.w, 'h': x.h, 't': x.t, 'm': x.m, 'c': s.c + CASE WHEN s.c = 0 OR x.h OR s.n + x.w > x.m OR s.n >= x.t THEN 1 ELSE 0 END,
+    'n': x.w + CASE WHEN s.c = 0 OR x.h OR s.n + x.w > x.m OR s.n >= x.t THEN 0 ELSE s.n END,
+    'out': list_append(s.out, s.c + CASE WHEN s.c = 0 OR x.h OR s.n + x.w > x.m OR s.n >= x.t THEN 1 ELSE 0 END)}"""
+_CHUNK_FOLD = _FOLDED.format(first="{'w': 0::BIGINT, 'h': false, 't': 0::BIGINT, 'm': 0::BIGINT, 'c': 0::BIGINT, 'n': 0::BIGINT, 'out': []::BIGINT[]}", units="l", step=_CHUNK_STEP)
+_UNIT = "{{'w': {w}, 'h': {h}, 't': {t}::BIGINT, 'm': {m}::BIGINT, 'c': 0::BIGINT, 'n': 0::BIGINT, 'out': []::BIGINT[]}}"
+_BOOK_CHUNKS = rf"""
+    WITH {_CONTINUES},
+    blocks AS (SELECT book_id, page, continues, unnest(range(1, len(l) + 1)) AS b, unnest(l) AS t FROM flagged WHERE book_id IS NOT NULL),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY page NULLS FIRST, b) AS n FROM blocks),
+    opened AS (SELECT *, NOT (continues AND b = 1) OR n = 1 AS opens FROM placed),
+    past AS (SELECT *, sum(CASE WHEN opens AND {_stop("t")} THEN 1 ELSE 0 END) OVER w AS stopped, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER w AS pos FROM opened WINDOW w AS (PARTITION BY book_id ORDER BY n)),
+    near AS (SELECT *, lead(t) OVER (PARTITION BY book_id, pos ORDER BY n) AS after FROM past WHERE stopped = 0),
+    paras AS (SELECT book_id, pos, min(page) AS page_start, max(page) AS page_end,
+        string_agg(CASE WHEN after IS NULL THEN t WHEN regexp_matches(t, '[{_W}]-$') AND regexp_matches(after, '^[{_W}]') THEN left(t, -1) ELSE t || ' ' END, '' ORDER BY n) AS t FROM near GROUP BY ALL),
+    bounded AS (SELECT paras.*, chunk_target_words AS target, chunk_max_words AS most FROM paras JOIN project USING (book_id)),
+    short AS (SELECT book_id, pos, 1 AS part, page_start, page_end, target, most, t FROM bounded WHERE {_words("t")} <= most),
+    folded AS (SELECT *, {_units(_sentences("t"), "most")} AS f FROM bounded WHERE {_words("t")} > most),
+    cut AS (SELECT *, list_filter(CASE WHEN f.now <> '' THEN list_append(f.done, f.now) ELSE f.done END, lambda u: {_strip("u")} <> '') AS u FROM folded),
+    units AS (SELECT * FROM short UNION ALL SELECT book_id, pos, unnest(range(1, len(u) + 1)), page_start, page_end, target, most, unnest(u) FROM cut),
+    books AS (SELECT book_id, list({_UNIT.format(w=_words("t"), h=_heading("t"), t="target", m="most")} ORDER BY pos, part) AS l, list({{'p': page_start, 'q': page_end, 't': t}} ORDER BY pos, part) AS texts FROM units GROUP BY book_id),
+    filled AS (SELECT book_id, texts, {_CHUNK_FOLD} AS r FROM books),
+    single AS (SELECT book_id, unnest(r.out) AS c, unnest(texts) AS x, unnest(range(1, len(texts) + 1)) AS i FROM filled),
+    chunked AS (SELECT book_id, c, arg_min(x.p, i) AS page_start, arg_max(x.q, i) AS page_end, string_agg(x.t, chr(10) || chr(10) ORDER BY i) AS source FROM single GROUP BY ALL)
+    SELECT book_id, format('chunk-{{:04d}}', c) AS chunk_id, CAST(c AS INTEGER) AS chunk_index, page_start, page_end, CAST({_words("source")} AS INTEGER) AS source_words, CAST(length(source) AS INTEGER) AS source_chars, sha256(source || chr(0)) AS source_sha256 FROM chunked"""
+
 _LATEST_CHUNKS = "SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY book_id, chunk_id ORDER BY loaded_at DESC NULLS LAST, chunk_key DESC NULLS LAST) = 1"
 _LATEST_PAGES = "SELECT * FROM pages QUALIFY row_number() OVER (PARTITION BY book_id, page ORDER BY loaded_at DESC NULLS LAST, page_key DESC NULLS LAST) = 1"
 _MARKER = "format('<!-- {}; source pages {}-{} -->', chunk_id, page_start, page_end)"
@@ -75,25 +151,20 @@ SQL: dict[str, str] = {
         SELECT book_id, count(*) AS pages, CAST(sum(c) AS BIGINT) AS characters, list_sort(list(c))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS median_characters,
             count(*) FILTER (c < 80) AS low_pages, count(*) FILTER (c < 80) / count(*) > 0.5 AS likely_scanned
         FROM (SELECT book_id, coalesce(length(text), 0) AS c FROM pages) GROUP BY book_id""",
-    "normalized_pages": rf"""
-        SELECT page_key, array_to_string(list_filter(list_transform(string_split_regex({_JOINED}, '\n\s*\n'), lambda b:
-            array_to_string(list_filter(list_transform(string_split(regexp_replace(b, '[ \t]+', ' ', 'g'), chr(10)), lambda x: {_strip("x")}), lambda x: x <> ''), ' ')), lambda b: b <> ''), chr(10) || chr(10)) AS normalized
-        FROM pages""",
+    "normalized_pages": f"WITH {_NORMAL} SELECT page_key, normalized FROM normal",
+    "book_chunks": _BOOK_CHUNKS,
+    "sentence_units": f"""
+        WITH folded AS (SELECT doc_id, {_units(_sentences("text"), "60")} AS f FROM documents WHERE {_words("text")} > 60),
+        cut AS (SELECT doc_id, [text] AS u FROM documents WHERE {_words("text")} <= 60
+            UNION ALL SELECT doc_id, list_filter(CASE WHEN f.now <> '' THEN list_append(f.done, f.now) ELSE f.done END, lambda u: {_strip("u")} <> '') FROM folded)
+        SELECT doc_id, unnest(range(1, len(u) + 1)) AS pos, unnest(u) AS unit FROM cut""",
     "document_paragraphs": f"SELECT doc_id, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS paragraph FROM (SELECT doc_id, {_paragraphs('text')} AS l FROM documents)",
     "greedy_chunks": f"""
         WITH p AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS t FROM (SELECT doc_id, {_paragraphs("text")} AS l FROM documents)),
-        u AS (SELECT doc_id, list({{'w': {_words("t")}, 'h': {_heading("t")}, 'c': 0::BIGINT, 'n': 0::BIGINT, 'out': []::BIGINT[]}} ORDER BY pos) AS l, list({_words("t")} ORDER BY pos) AS ws FROM p GROUP BY doc_id),
-        f AS (SELECT doc_id, ws, list_reduce(list_prepend({{'w': 0::BIGINT, 'h': false, 'c': 0::BIGINT, 'n': 0::BIGINT, 'out': []::BIGINT[]}}, l), lambda s, x: {{
-            'w': x.w, 'h': x.h,
-            'c': s.c + CASE WHEN s.c = 0 OR x.h OR s.n + x.w > 230 OR s.n >= 180 THEN 1 ELSE 0 END,
-            'n': x.w + CASE WHEN s.c = 0 OR x.h OR s.n + x.w > 230 OR s.n >= 180 THEN 0 ELSE s.n END,
-            'out': list_append(s.out, s.c + CASE WHEN s.c = 0 OR x.h OR s.n + x.w > 230 OR s.n >= 180 THEN 1 ELSE 0 END)}}) AS r FROM u)
+        u AS (SELECT doc_id, list({_UNIT.format(w=_words("t"), h=_heading("t"), t="180", m="230")} ORDER BY pos) AS l, list({_words("t")} ORDER BY pos) AS ws FROM p GROUP BY doc_id),
+        f AS (SELECT doc_id, ws, {_CHUNK_FOLD} AS r FROM u)
         SELECT doc_id, c AS chunk_index, count(*) AS paragraphs, CAST(sum(w) AS BIGINT) AS words FROM (SELECT doc_id, unnest(r.out) AS c, unnest(ws) AS w FROM f) GROUP BY ALL""",
-    "page_continuation": rf"""
-        WITH p AS (SELECT *, {_paragraphs("text")} AS l FROM ({_LATEST_PAGES})),
-        q AS (SELECT *, lag(text) OVER w AS bt, lag(CASE WHEN len(l) > 0 THEN l[-1] END) OVER w AS bl FROM p WINDOW w AS (PARTITION BY book_id ORDER BY page))
-        SELECT page_key, book_id, page, coalesce(bt IS NOT NULL AND NOT regexp_matches(bt, '\n[ \t\f\r]*\n\s*$') AND len(l) > 0 AND bl IS NOT NULL AND NOT {_heading("l[1]")} AND NOT {_heading("bl")}, false) AS continues
-        FROM q""",
+    "page_continuation": f"WITH {_CONTINUES} SELECT page_key, book_id, page, continues FROM flagged",
     "heading_flags": f"""
         SELECT page_key, pos, h AS heading FROM (SELECT page_key, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS h FROM (SELECT page_key, {_paragraphs("text")} AS l FROM pages))
         WHERE {_heading("h")} OR {_stop("h")}""",

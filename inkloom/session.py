@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import zipfile
 from pathlib import Path
@@ -10,8 +9,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a small, measured side of a join is broadcast.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes (as JSON) up to which a small, measured side of a join is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16_000_000
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,14 +21,18 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    ``spark.checkpoint.dir`` names it on a cluster.  Only where it is unset, as
-    in local tests, a temporary folder of this machine is set and used.
+    ``spark.checkpoint.dir`` names it on a cluster.  Only a local session, as in
+    tests, may leave it unset; a temporary folder of this machine serves then.
     """
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "") or os.environ.get("INKLOOM_SHARED_DIR", "")
+    named = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "")
+    current = context._jsc.sc().getCheckpointDir()
+    if not named and current.isDefined():
+        named = current.get()
     if not named:
-        current = context._jsc.sc().getCheckpointDir()
-        named = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="inkloom-shared-")
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="inkloom-shared-")
     return named
 
 
@@ -61,10 +64,14 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows.
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, written once, with a broadcast hint if it has at most ``rows`` rows and ``size`` bytes.
 
-    The size is counted, not assumed; a larger side is left to a shuffled join,
-    which gives the same rows.
+    Both are measured on what was written, so the frame is worked out once; a
+    larger side is left to a shuffled join, which gives the same rows.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    kept = cut_lineage(df)
+    if kept.count() > rows:
+        return kept
+    measured = kept.select(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*kept.columns)))), F.lit(0)).alias("b")).first()["b"]
+    return F.broadcast(kept) if measured <= size else kept

@@ -41,6 +41,7 @@ def keyed_totals(events: DataFrame, key: str, time: str, kind: str, value: str,
     A key that stays idle, by event time, until the watermark passes gives a last
     row, and its state ends.
     """
+    wait = milliseconds(idle)
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -57,7 +58,7 @@ def keyed_totals(events: DataFrame, key: str, time: str, kind: str, value: str,
             if latest is None or top["time"] >= latest:
                 latest, last = top["time"], top["kind"]
         state.update((seen, total, last))
-        due = int(pd.Timestamp(latest).timestamp() * 1000) + _minutes(idle) if latest is not None else 0
+        due = int(pd.Timestamp(latest).timestamp() * 1000) + wait if latest is not None else 0
         state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame([(k[0], seen, total, last, False)], columns=["key", "seen", "total", "last_kind", "idle"])
 
@@ -65,9 +66,9 @@ def keyed_totals(events: DataFrame, key: str, time: str, kind: str, value: str,
     return rows.groupBy("key").applyInPandasWithState(step, _OUT, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def _minutes(text: str) -> int:
-    """Milliseconds of a duration in minutes."""
-    return int(text.split()[0]) * 60_000
+def milliseconds(text: str) -> int:
+    """A duration such as "30 minutes" or "2 hours" in milliseconds."""
+    return int(pd.Timedelta(text) / pd.Timedelta(1, "ms"))
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str) -> None:
