@@ -58,3 +58,14 @@ def book_key(isbn: Column, edition: Column, source_hash: Column, locale: Column)
     """Stable id of a book from its identity fields."""
     fields = F.to_json(F.struct(edition.alias("edition"), isbn.alias("isbn"), locale.alias("locale"), source_hash.alias("source_sha256")), {"ignoreNullFields": "false"})
     return F.concat(F.lit("book-v1-"), F.substring(F.sha2(fields, 256), 1, 32))
+
+
+def json_text(value: Column) -> Column:
+    """A string as a JSON string; null as empty, as a registry file has it."""
+    return F.regexp_extract(F.to_json(F.struct(F.coalesce(value, F.lit("")).alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+
+
+def json_line(*columns: str) -> Column:
+    """String columns as one JSON line with sorted names and a blank after each mark."""
+    parts = [F.concat(F.lit(f'"{c}": '), json_text(F.col(c))) for c in sorted(columns)]
+    return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,6 +19,11 @@ HAN = r"[㐀-鿿]"
 MARKER = r"(?m)^<!--\s*(chunk-\d{4});\s*source pages\s+(\d+)-(\d+)\s*-->$"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def word_count(text: Column) -> Column:
     """Words of a text; null for null."""
     return F.regexp_count(text, F.lit(WORD))

@@ -63,6 +63,28 @@ def contiguity(df: DataFrame, by: str, index: str, identity: str, tie: str | Non
     return rows.filter((F.col(index) != F.col("expected")) | (F.col(identity) != F.format_string("chunk-%04d", "expected")))
 
 
+def selected(df: DataFrame, index: str, first: int = 1, last: int | None = None, most: int | None = None) -> DataFrame:
+    """Pieces ``first`` to ``last`` by their index, of these the ``most`` first ones."""
+    rows = df.filter(F.col(index) >= first)
+    rows = rows if last is None else rows.filter(F.col(index) <= last)
+    return rows if most is None else rows.orderBy(index).limit(most)
+
+
+def piece(df: DataFrame, key: str, value: str) -> DataFrame:
+    """The one row of a key; raises if there is none."""
+    row = df.filter(F.col(key) == value)
+    if row.isEmpty():
+        raise KeyError(value)
+    return row
+
+
+def opening(df: DataFrame, by: str, order: str, text: str, pieces: int = 3, chars: int = 18_000) -> DataFrame:
+    """The beginning of each book, from its first pieces, cut after so many characters: (``by``, ``opening``)."""
+    first = df.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(order))).filter(F.col("_r") <= pieces)
+    joined = first.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_r", F.coalesce(text, F.lit("")).alias("t")))).alias("p"))
+    return joined.select(by, head(F.array_join("p.t", "\n\n"), chars).alias("opening"))
+
+
 def groups_of(df: DataFrame, by: list[str], order: list[str], size: int, out: str = "batch_no") -> DataFrame:
     """Adds the number, from 1, of the run of ``size`` consecutive rows that a row is in."""
     return df.withColumn(out, (F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1) / size) + 1).cast("long"))

@@ -6,18 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkloom.functions.hashing import accepted_hashes
-from inkloom.functions.text import han_count, paragraphs, strip, word_count
+from inkloom.functions.loose_json import is_object
+from inkloom.functions.text import MARKER, han_count, paragraphs, strip, word_count
 from inkloom.operators import quality
-from inkloom.operators.terms import contains_term
+from inkloom.operators.context import contiguity
+from inkloom.operators.terms import approved, conflicts, term_matches
 
 #: Kinds of artifacts, the best first.
 KINDS = {"final": 1, "reviewed": 2, "draft": 3}
 
 CHUNKS = "book long, chunk_id string, chunk_index int, page_start int, page_end int, source string, source_sha256 string"
 ARTIFACTS = "book long, chunk_id string, kind string, text string"
-META = "book long, chunk_id string, kind string, named_chunk string, source_sha256 string, translation_sha256 string, input_hash string, review_input_sha256 string, draft_sha256 string, review_sha256 string"
-REVIEWS = "book long, chunk_id string, text string, verdict string, n_issues int, source_sha256 string, translation_sha256 string"
-OPTIONS = "book long, chunk_id string, chosen_kind string, expected_input string, paragraphs struct<source:int,target:int>, skip_headings boolean, excused_terms array<string>"
+META = "book long, chunk_id string, kind string, named_chunk string, source_sha256 string, translation_sha256 string, input_hash string, review_input_sha256 string, draft_sha256 string, review_sha256 string, invalid boolean"
+REVIEWS = "book long, chunk_id string, text string, verdict string, n_issues int, source_sha256 string, translation_sha256 string, invalid boolean"
+OPTIONS = f"book long, chunk_id string, chosen_kind string, expected_input string, paragraphs {quality.EXCEPTION}, skip_headings boolean, excused_terms array<string>"
 
 
 def chosen(artifacts: DataFrame, options: DataFrame | None = None) -> DataFrame:
@@ -50,10 +52,11 @@ def _among(value: Column, text: Column) -> Column:
     return F.coalesce(F.array_contains(accepted_hashes(text), value), F.lit(False))
 
 
-def rules(simplified: str = "") -> dict[str, tuple[Column, Column]]:
+def rules(simplified: str = "", allowed: dict[str, list[str]] | None = None) -> dict[str, tuple[Column | None, Column]]:
     """Conditions over the rows of ``joined``; nothing but the first two applies without a target."""
     target, draft, meta, review = F.col("target"), F.col("draft"), F.col("meta"), F.col("review")
-    has, has_meta, has_review = target.isNotNull(), meta.isNotNull(), review.isNotNull()
+    bad_meta, bad_review = F.coalesce(meta["invalid"], F.lit(False)), F.coalesce(review["invalid"], F.lit(False))
+    has, has_meta, has_review = target.isNotNull(), meta.isNotNull() & ~bad_meta, review.isNotNull() & ~bad_review
     final, reviewed = F.coalesce(F.col("kind") == "final", F.lit(False)), F.coalesce(F.col("kind") == "reviewed", F.lit(False))
     none = F.lit(None).cast("string")
     bound = reviewed & has_meta & meta["review_input_sha256"].isNotNull()
@@ -67,8 +70,10 @@ def rules(simplified: str = "") -> dict[str, tuple[Column, Column]]:
     out = {
         "build_source_hash_mismatch": (~_among(F.col("source_sha256"), F.col("source")), F.col("source_sha256")),
         "translation_missing": (~has, none),
-        "translation_meta_missing": (has & ~has_meta, F.col("kind")),
-        "review_missing": (has & ~has_review, none),
+        "translation_meta_missing": (has & meta.isNull(), F.col("kind")),
+        "translation_meta_invalid": (has & bad_meta, F.col("kind")),
+        "review_missing": (has & review.isNull(), none),
+        "review_invalid": (has & bad_review, none),
         "meta_source_hash_mismatch": (has & has_meta & ~meta["source_sha256"].eqNullSafe(F.col("source_sha256")), meta["source_sha256"]),
         "meta_translation_hash_mismatch": (has & has_meta & ~_among(meta["translation_sha256"], target), meta["translation_sha256"]),
         "meta_chunk_mismatch": (has & has_meta & ~meta["named_chunk"].eqNullSafe(F.col("chunk_id")), meta["named_chunk"]),
@@ -90,7 +95,7 @@ def rules(simplified: str = "") -> dict[str, tuple[Column, Column]]:
         "source_heading_position": (checked & (F.size(own) > 0) & ~first(F.col("source")).eqNullSafe(F.get(own, F.lit(0))), none),
         "target_heading_position": (checked & (F.size(other) > 0) & ~first(target).eqNullSafe(F.get(other, F.lit(0))), none),
     }
-    return out | {code: (has & when, details) for code, (when, details) in quality.text_rules(target, simplified).items()}
+    return out | {code: (None, F.when(has, details)) for code, (_, details) in quality.text_rules(target, simplified, allowed).items()}
 
 
 def term_issues(rows: DataFrame, glossary: DataFrame) -> DataFrame:
@@ -99,11 +104,12 @@ def term_issues(rows: DataFrame, glossary: DataFrame) -> DataFrame:
     ``glossary`` has ``book``, ``source_term``, ``target_term`` and ``generated``;
     generated terms are matched with their case.
     """
-    terms = glossary.filter((F.length("source_term") > 0) & (F.length("target_term") > 0))
-    pairs = rows.filter(F.col("target").isNotNull()).select("book", "chunk_id", "source", "target", "excused_terms").join(terms, "book")
-    stands = F.when(F.col("generated"), contains_term(F.col("source"), F.col("source_term"), False)).otherwise(contains_term(F.col("source"), F.col("source_term")))
+    terms = glossary.filter((F.length("source_term") > 0) & (F.length("target_term") > 0)).select("book", "source_term", "target_term", "generated")
+    made = F.coalesce(F.col("generated"), F.lit(False))
+    texts = rows.filter(F.col("target").isNotNull()).select("book", "chunk_id", "source", "target", "excused_terms")
+    stands = term_matches(texts, terms.filter(~made), "book", "source", "source_term").unionByName(term_matches(texts, terms.filter(made), "book", "source", "source_term", any_case=False))
     excused = F.coalesce(F.array_contains("excused_terms", F.col("source_term")), F.lit(False))
-    missing = pairs.filter(stands & ~excused & ~F.contains("target", F.col("target_term")))
+    missing = stands.filter(~excused & ~F.contains("target", F.col("target_term")))
     return missing.select(F.lit("approved_term_missing").alias("code"), _key(), F.col("source_term").alias("details")).distinct()
 
 
@@ -119,7 +125,7 @@ def book_issues(rows: DataFrame, books: DataFrame) -> DataFrame:
     )
     wanted = F.concat(F.array_join(F.filter(F.col("p.piece"), lambda x: x.isNotNull()), "\n\n"), F.lit("\n"))
     both = parts.join(books.select("book", F.col("text").alias("book_text")), "book", "left")
-    order = F.transform(F.regexp_extract_all("book_text", F.lit(r"(?m)^<!--\s*(chunk-\d{4});\s*source pages\s+\d+-\d+\s*-->$"), F.lit(1)), lambda x: x)
+    order = F.regexp_extract_all("book_text", F.lit(MARKER), F.lit(1))
     codes = {
         "assembled_book_missing": F.col("book_text").isNull(),
         "assembled_marker_order_mismatch": F.col("book_text").isNotNull() & (order != F.col("p.chunk_id")),
@@ -129,10 +135,40 @@ def book_issues(rows: DataFrame, books: DataFrame) -> DataFrame:
     return quality.issues(both, F.col("book"), {c: (w, none) for c, w in codes.items()})
 
 
-def run_gate(chunks: DataFrame, artifacts: DataFrame, meta: DataFrame, reviews: DataFrame, glossary: DataFrame, books: DataFrame | None = None, options: DataFrame | None = None, simplified: str = "") -> DataFrame:
+def input_issues(books: DataFrame, chunks: DataFrame, glossary: DataFrame, bad_lines: DataFrame | None = None, generated: DataFrame | None = None, tie: str | None = None) -> DataFrame:
+    """What is wrong with the inputs of whole books (``book``).
+
+    Books without chunks or glossary, chunk ids that don't follow one another,
+    approved terms with several targets (case folded, one issue a book),
+    ``bad_lines`` (``book``, ``line_no``, ``line``) that are no JSON, and
+    ``generated`` terminology (``book``, ``text``) that is no object of two lists of
+    objects.
+    """
+    none = F.lit(None).cast("string")
+    row = lambda df, code, details: df.select(F.lit(code).alias("code"), F.col("book").cast("string").alias("key"), details.cast("string").alias("details"))
+    all_books = books.select("book").distinct()
+    out = row(all_books.join(chunks.select("book").distinct(), "book", "left_anti"), "chunks_missing", none)
+    out = out.unionByName(row(all_books.join(glossary.select("book").distinct(), "book", "left_anti"), "glossary_missing", none))
+    out = out.unionByName(row(contiguity(chunks, "book", "chunk_index", "chunk_id", tie).groupBy("book").agg(F.min("chunk_id").alias("first")), "chunk_order_invalid", F.col("first")))
+    several = conflicts(approved(glossary) if "status" in glossary.columns else glossary, ["book"], "source_term", "target_term")
+    out = out.unionByName(row(several.groupBy("book").agg(F.array_join(F.array_sort(F.collect_set("term")), "|").alias("terms")), "glossary_conflict", F.col("terms")))
+    if bad_lines is not None:
+        out = out.unionByName(row(bad_lines, "chunk_json_invalid", F.col("line_no")))
+    if generated is not None:
+        value = F.try_parse_json("text")
+        kinds = [F.schema_of_variant(F.try_variant_get(value, f"$.{k}", "variant")) for k in ("terms", "characters")]
+        listed = [F.coalesce(k.startswith("ARRAY<OBJECT") | (k == "ARRAY<VOID>"), F.lit(True)) for k in kinds]
+        out = out.unionByName(row(generated.filter(~(is_object(value) & listed[0] & listed[1])), "generated_glossary_invalid", none))
+    return out
+
+
+def run_gate(
+    chunks: DataFrame, artifacts: DataFrame, meta: DataFrame, reviews: DataFrame, glossary: DataFrame, books: DataFrame | None = None, options: DataFrame | None = None,
+    simplified: str = "", allowed: dict[str, list[str]] | None = None,
+) -> DataFrame:
     """All issues of all books: (``code``, ``key``, ``details``)."""
     rows = joined(chunks, artifacts, meta, reviews, options)
-    found = quality.issues(rows, _key(), rules(simplified)).unionByName(term_issues(rows, glossary))
+    found = quality.issues(rows, _key(), rules(simplified, allowed)).unionByName(term_issues(rows, glossary))
     return found if books is None else found.unionByName(book_issues(rows, books))
 
 
@@ -151,6 +187,6 @@ def scoped_checks(rows: DataFrame, glossary: DataFrame, low: float = 0.35, high:
         },
     )
     terms = glossary.filter((F.length("source_term") > 0) & (F.length("target_term") > 0))
-    pairs = rows.filter(has).select("book", "chunk_id", "source", "target").join(terms, "book")
-    lost = pairs.filter(F.contains(F.lower("source"), F.lower("source_term")) & ~F.contains("target", F.col("target_term")))
+    stands = term_matches(rows.filter(has).select("book", "chunk_id", "source", "target"), terms.select("book", "source_term", "target_term"), "book", "source", "source_term", whole=False)
+    lost = stands.filter(~F.contains("target", F.col("target_term")))
     return found.unionByName(lost.select(F.lit("approved_term_missing").alias("code"), _key(), F.col("source_term").alias("details")))

@@ -30,13 +30,33 @@ def stage_input(*parts: Column) -> Column:
     return hash_parts(*parts)
 
 
-def invalidation(spark: SparkSession, changed: DataFrame) -> DataFrame:
-    """(``stage_no``, ``stage``, ``stale``) for changed dependencies (``dependency``): all from the earliest stage they reach on."""
+def invalidation(spark: SparkSession, changed: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(``by``, ``stage_no``, ``stage``, ``stale``) for changed dependencies (``by``, ``dependency``): all from the earliest stage they reach on.
+
+    Dependencies that no stage knows change nothing; without ``by`` there is one plan.
+    """
+    by = by or []
     stages = spark.createDataFrame(list(enumerate(STAGES, 1)), "stage_no int, stage string")
     reach = spark.createDataFrame(list(DEPENDENCIES.items()), "dependency string, stage string")
-    first = changed.join(F.broadcast(reach), "dependency").join(F.broadcast(stages), "stage").agg(F.min("stage_no").alias("first"))
-    # One row; fixed size.
-    return stages.crossJoin(F.broadcast(first)).select("stage_no", "stage", F.coalesce(F.col("stage_no") >= F.col("first"), F.lit(False)).alias("stale"))
+    first = changed.join(F.broadcast(reach), "dependency", "left").join(F.broadcast(stages), "stage", "left").groupBy(*by).agg(F.min("stage_no").alias("first"))
+    # Ten stages: a fixed size.
+    each = first.withColumn("s", F.explode(F.array(*(F.struct(F.lit(i).alias("stage_no"), F.lit(s).alias("stage")) for i, s in enumerate(STAGES, 1)))))
+    return each.select(*by, "s.stage_no", "s.stage", F.coalesce(F.col("s.stage_no") >= F.col("first"), F.lit(False)).alias("stale"))
+
+
+def mark_stale(artifacts: DataFrame, plan: DataFrame, by: list[str]) -> DataFrame:
+    """Artifacts (``by``, ``stage``, ``status``) with those of stale stages marked; nothing is changed in place."""
+    stale = plan.filter("stale").select(*by, "stage", F.lit(True).alias("_stale")).distinct()
+    return artifacts.join(stale, [*by, "stage"], "left").withColumn("status", F.when(F.col("_stale"), "stale").otherwise(F.col("status"))).drop("_stale")
+
+
+def refuse_drift(recorded: DataFrame, found: DataFrame, key: str, value: str, allow: bool = False) -> DataFrame:
+    """Inputs whose recorded fingerprint is no longer there: (``key``, ``recorded``, ``found``); raises unless they are allowed."""
+    r, f = recorded.select(key, F.col(value).alias("recorded")), found.select(key, F.col(value).alias("found"))
+    moved = r.join(f, key, "left").filter(~F.col("recorded").eqNullSafe(F.col("found")))
+    if not allow and (first := moved.limit(3).collect()):
+        raise ValueError("inputs changed since the run began: " + ", ".join(str(x[key]) for x in first))
+    return moved
 
 
 def map_changes(before: Column, after: Column) -> Column:

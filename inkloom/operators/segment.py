@@ -20,6 +20,7 @@ BOILERPLATE = ["ABC Amber LIT Converter", "http://www.processtext.com/abclit.htm
 
 CHAPTER_TITLES = [*NUMBER_WORDS, *(t if n is None else f"{t}-{n}" for t in TENS for n in (None, *NUMBER_WORDS[:9]) if t != "fifty" or n is None), *CHAPTER_WORDS, "about the author"]
 CHAPTER_PATTERN = r"^(?:(?i:chapter|part|book)\s+(?i:\d+|[ivxlcdm]+|[a-z][a-z -]{0,30})|\d{1,3}|[IVXLCDM]{1,10})$"
+WORKER_HEADING = r"(?i)^(?:chapter\s+)?(?:[ivxlcdm]+|[a-z]+(?:-[a-z]+)?)$"
 STOP_PATTERN = r"(?i)^about\s+the\s*authors?$"
 PARAGRAPH_END = r"(?:[.!?…—][\"'”’)]*|\. \. \.)\s*$"
 SENTENCE_CUT = r"(?U)(?<=[.!?])\s+(?=[\"'“‘A-Z0-9])"
@@ -41,6 +42,11 @@ def is_stop_heading(text: Column) -> Column:
     return F.when(F.length(own) <= LONGEST_TITLE, casefold(own).isin(STOP_TITLES)).otherwise(F.lit(False)) | own.rlike(STOP_PATTERN)
 
 
+def opens_chapter(text: Column) -> Column:
+    """The wider test of drafts: whether the first paragraph of a source is one word, or a chapter line."""
+    return F.coalesce(strip(F.get(paragraphs(text), F.lit(0))).rlike(WORKER_HEADING), F.lit(False))
+
+
 def can_end_paragraph(line: Column) -> Column:
     return line.rlike(PARAGRAPH_END)
 

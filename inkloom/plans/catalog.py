@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkloom.functions import hashing, text
-from inkloom.operators import context, graph, provenance, publish, quality, segment, terms
+from inkloom.operators import context, gate, graph, provenance, publish, quality, segment, terms
 from inkloom.operators.packed import split_packed
 from inkloom.session import read_table as table
 from inkloom.sources.files import page_statistics
@@ -84,10 +84,15 @@ def heading_flags(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("page_key", _long(F.col("pos") + 1).alias("pos"), F.col("p").alias("heading"))
 
 
+def _emphasised(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with their quotation marks as emphasis marks, which they have next to none of: ``*`` for double, ``**`` for single ones."""
+    marked = F.regexp_replace(F.translate("text", "“”", "**"), "[‘’]", "**")
+    return table(spark, folder, "documents").filter("text is not null").select("doc_id", marked.alias("text"))
+
+
 def emphasis_parity(spark: SparkSession, folder: str) -> DataFrame:
-    """FOLD-7: documents with odd emphasis marks."""
-    rows = table(spark, folder, "documents").select("doc_id", quality.emphasis_error(F.col("text")).alias("error"))
-    return rows.filter("error is not null")
+    """FOLD-7, rule 37: documents with odd emphasis marks."""
+    return _emphasised(spark, folder).select("doc_id", quality.emphasis_error(F.col("text")).alias("error")).filter("error is not null")
 
 
 def bracket_balance(spark: SparkSession, folder: str) -> DataFrame:
@@ -119,14 +124,12 @@ def term_hits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def alias_hits(spark: SparkSession, folder: str) -> DataFrame:
-    """JN-2: characters of a book any of whose names stands in a chunk, one row per chunk and entry."""
-    names = split_packed(table(spark, folder, "characters"), "entry_id", "aliases", "name")
-    people = table(spark, folder, "characters").select("entry_id", "book_id", "source_name")
-    all_names = names.select("entry_id", "name").unionByName(people.select("entry_id", text.strip(F.col("source_name")).alias("name"))).filter(F.length("name") > 2).distinct()
-    grouped = all_names.groupBy("entry_id").agg(F.collect_set(F.lower("name")).alias("names"))
-    chunks = table(spark, folder, "chunks").select("chunk_key", "book_id", F.lower("source").alias("source"))
-    joined = chunks.join(people.select("entry_id", "book_id").join(grouped, "entry_id"), "book_id")
-    return joined.filter(F.exists("names", lambda n: F.contains(F.col("source"), n))).select("chunk_key", "entry_id")
+    """JN-2: approved characters any of whose names (the bars part aliases) stands in a chunk, one row per chunk and entry."""
+    people = terms.approved(table(spark, folder, "characters")).filter(F.length(text.strip(F.col("source_name"))) > 0)
+    names = F.array_union(F.array(text.strip(F.col("source_name"))), F.coalesce(text.split_aliases(F.col("aliases")), F.array().cast("array<string>")))
+    listed = people.select("book_id", "entry_id", F.explode(names).alias("name"))
+    chunks = table(spark, folder, "chunks").select("chunk_key", "book_id", "source")
+    return terms.term_matches(chunks, listed, "book_id", "source", "name", whole=False).select("chunk_key", "entry_id").distinct()
 
 
 def proposal_conflicts(spark: SparkSession, folder: str) -> DataFrame:
@@ -233,10 +236,10 @@ def cache_misses(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def status_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """AGG-7: entries by status, zero where a status doesn't occur."""
+    """AGG-7: entries by status, zero where a known status doesn't occur; null and unknown ones count too."""
     known = spark.createDataFrame([(s,) for s in ("approved", "provisional", "rejected", "stale")], "status string")
     counted = table(spark, folder, "glossary").groupBy(F.lower(text.strip(F.col("status"))).alias("status")).agg(F.count(F.lit(1)).alias("n"))
-    return F.broadcast(known).join(counted, "status", "left").select("status", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    return counted.unionByName(known.withColumn("n", F.lit(0).cast("long"))).groupBy("status").agg(F.sum("n").alias("n"))
 
 
 def usage_totals(spark: SparkSession, folder: str) -> DataFrame:
@@ -267,33 +270,60 @@ def downstream_closure(spark: SparkSession, folder: str) -> DataFrame:
     return graph.downstream(edges, spark.createDataFrame([("r1",)], "node string"))
 
 
-def plan_tasks(spark: SparkSession, folder: str) -> DataFrame:
-    """DAG-2: how many tasks and edges the plan of each book has."""
+def _planned(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     chunks = _chunks(spark, folder).withColumn("chunk_index", F.row_number().over(Window.partitionBy("book_id").orderBy("chunk_index")))
-    nodes, edges = graph.plan_graph(spark, chunks, "book_id", "chunk_index")
-    return nodes.groupBy("book_id").agg(F.count(F.lit(1)).alias("tasks")).join(edges.groupBy("book_id").agg(F.count(F.lit(1)).alias("edges")), "book_id")
+    return graph.plan_graph(spark, chunks, "book_id", "chunk_index")
+
+
+def plan_tasks(spark: SparkSession, folder: str) -> DataFrame:
+    """DAG-2: every task of the plan of each book."""
+    return _planned(spark, folder)[0]
+
+
+def plan_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """DAG-2: what each task of the plan waits for."""
+    return _planned(spark, folder)[1]
 
 
 def invalidation_plan(spark: SparkSession, folder: str) -> DataFrame:
-    """INV-1, INV-2: stages to do again after prompts and models changed."""
-    return provenance.invalidation(spark, spark.createDataFrame([("prompts",), ("models",)], "dependency string"))
+    """INV-1, INV-2: for each book the stages to do again: its source changed if a page's hash no longer fits, its references if an entry is newer than the book."""
+    books = table(spark, folder, "project").select("book_id", "created_at")
+    source = provenance.drift(table(spark, folder, "pages"), "text", "sha256").filter("state = 'changed'").select("book_id", F.lit("source").alias("dependency"))
+    entries = table(spark, folder, "glossary").select("book_id", "updated_at")
+    newer = entries.join(books, "book_id").filter("updated_at > created_at").select("book_id", F.lit("references").alias("dependency"))
+    changed = books.join(source.unionByName(newer).distinct(), "book_id", "left").select("book_id", "dependency")
+    return provenance.invalidation(spark, changed, ["book_id"])
+
+
+def _book_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """GEN-2: assembled books as blocks behind their opening ones."""
+    books = context.assemble(_chunks(spark, folder), "book_id").join(table(spark, folder, "project").select("book_id", "book_name", F.coalesce("author", F.lit("")).alias("author")), "book_id")
+    return publish.blocks(books, "book_id", "book_text", "book_name", "author")
 
 
 def publication_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """GEN-2: assembled books as blocks, counted by type."""
-    rows = publish.blocks(context.assemble(_chunks(spark, folder), "book_id"), "book_id", "book_text")
+    rows = _book_blocks(spark, folder)
     return rows.groupBy("book_id", "type").agg(F.count(F.lit(1)).alias("blocks"), F.sum(_long(F.length("content"))).alias("chars"))
 
 
 def block_batches(spark: SparkSession, folder: str) -> DataFrame:
     """FOLD-8, FOLD-9, HSH-5: blocks in hashed batches of a hundred."""
-    rows = publish.blocks(context.assemble(_chunks(spark, folder), "book_id"), "book_id", "book_text")
-    return publish.batches(rows, "book_id")
+    return publish.batches(_book_blocks(spark, folder), "book_id")
+
+
+def remote_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """PUB-1, PUB-3: the batches found again in uploaded bodies that lack the last block of every third book and hold a note by hand in every other one."""
+    up = publish.marked(_book_blocks(spark, folder), "book_id")
+    last = F.max("pos").over(Window.partitionBy("book_id"))
+    up = up.withColumn("last", last).filter("pos < last or book_id % 3 <> 0").drop("last")
+    notes = table(spark, folder, "project").filter("book_id % 2 = 0").select("book_id", F.lit(0).cast("long").alias("pos"), F.lit("paragraph").alias("type"), F.lit("by hand").alias("content"))
+    return publish.discover(up.unionByName(notes), "book_id").select("book_id", "batch_no", "block_count", "present", "state", "batch_hash")
 
 
 def batch_merge(spark: SparkSession, folder: str) -> DataFrame:
     """JN-14, PUB-2: batches of the books against those of an earlier state, in which every third is missing."""
-    rows = publish.batches(publish.blocks(context.assemble(_chunks(spark, folder), "book_id"), "book_id", "book_text"), "book_id")
+    rows = publish.batches(_book_blocks(spark, folder), "book_id")
     earlier = rows.filter("batch_no % 3 <> 0").withColumn("block_count", F.when(F.col("batch_no") == 1, F.col("block_count")).otherwise(F.col("block_count") + (F.col("batch_no") % 2)))
     return publish.merge_batches(rows, earlier, "book_id")
 
@@ -306,7 +336,7 @@ def run_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 def inline_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """STR-19: documents as runs of plain, bold and italic text."""
-    return publish.inline_tokens(table(spark, folder, "documents"), "doc_id", "text")
+    return publish.inline_tokens(_emphasised(spark, folder), "doc_id", "text")
 
 
 def slugs(spark: SparkSession, folder: str) -> DataFrame:
@@ -315,29 +345,55 @@ def slugs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def quality_issues(spark: SparkSession, folder: str) -> DataFrame:
-    """Rules 7, 33 to 37 and SET-1: issues of drafts and chunk records by code."""
-    drafts = table(spark, folder, "documents").filter("source = 'translator_drafts' and text is not null")
-    found = quality.issues(drafts, F.col("doc_id"), quality.text_rules(F.col("text")))
+    """Rules 7, 33 to 37 and SET-1: issues of all documents and chunk records by code."""
+    found = quality.issues(table(spark, folder, "documents"), F.col("doc_id"), quality.text_rules(F.col("text"), quality.simplified_only()))
     chunk = provenance.drift(table(spark, folder, "chunks"), "source", "source_sha256")
     stale = chunk.filter("state = 'changed'").select(F.lit("build_source_hash_mismatch").alias("code"), F.col("chunk_key").cast("string").alias("key"), F.col("state").alias("details"))
-    order = context.contiguity(_chunks(spark, folder), "book_id", "chunk_index", "chunk_id", "chunk_key").select(F.lit("chunk_order_invalid").alias("code"), F.col("chunk_key").cast("string").alias("key"), F.col("chunk_id").alias("details"))
-    return quality.report([found, stale, order])
+    return quality.report([found, stale])
+
+
+def input_issues(spark: SparkSession, folder: str) -> DataFrame:
+    """Rules 1, 3, 4 and 5: what is wrong with the inputs of whole books."""
+    book = F.col("book_id").alias("book")
+    chunks = table(spark, folder, "chunks").filter("book_id is not null").select(book, "chunk_index", "chunk_id", "chunk_key")
+    glossary = table(spark, folder, "glossary").filter("book_id is not null").select(book, "source_term", "target_term", "status")
+    return gate.input_issues(table(spark, folder, "project").select(book), chunks, glossary, tie="chunk_key").select("code", "key")
+
+
+def gate_issues(spark: SparkSession, folder: str) -> DataFrame:
+    """Rules 7 to 11, 13, 14, 29 to 32, 34 to 38: the gate over all chunks; the n-th document of a book stands for the draft of its n-th chunk.
+
+    Its record is made of the chunk's own hash and, for even documents, the draft's.
+    """
+    book = F.col("book_id").alias("book")
+    nth = lambda order: F.row_number().over(Window.partitionBy("book_id").orderBy(order))
+    chunks = _chunks(spark, folder).filter("book_id is not null").withColumn("n", nth("chunk_index"))
+    docs = table(spark, folder, "documents").filter("book_id is not null and text is not null").select("book_id", "doc_id", "text").withColumn("n", nth("doc_id"))
+    pairs = chunks.select("book_id", "n", "chunk_id", "source_sha256").join(docs, ["book_id", "n"])
+    artifacts = pairs.select(book, "chunk_id", F.lit("draft").alias("kind"), "text")
+    void = [F.lit(None).cast("string").alias(c) for c in ("input_hash", "review_input_sha256", "draft_sha256", "review_sha256")]
+    own = F.when(F.col("doc_id") % 2 == 0, hashing.hash_text(F.col("text"))).otherwise(F.lit("none")).alias("translation_sha256")
+    meta = pairs.filter("doc_id % 5 <> 0").select(book, "chunk_id", F.lit("draft").alias("kind"), F.col("chunk_id").alias("named_chunk"), "source_sha256", own, *void, (F.col("doc_id") % 7 == 0).alias("invalid"))
+    reviews = spark.createDataFrame([], gate.REVIEWS)
+    glossary = _terms(spark, folder).filter("book_id is not null").select(book, "source_term", "target_term", F.lit(False).alias("generated"))
+    inputs = chunks.select(book, "chunk_id", "chunk_index", "page_start", "page_end", "source", "source_sha256")
+    return gate.run_gate(inputs, artifacts, meta, reviews, glossary).filter("code not in ('review_missing')").select("code", "key").distinct()
 
 
 def registry_dump(spark: SparkSession, folder: str) -> DataFrame:
-    """AGG-15: approved entries of each book as ordered lines, by hash."""
-    rows = terms.approved(table(spark, folder, "glossary")).select("book_id", "entry_id", F.concat_ws("\t", "source_term", F.coalesce("target_term", F.lit("")), F.coalesce("category", F.lit(""))).alias("line"))
-    grouped = rows.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("entry_id", "line"))).alias("l"))
+    """AGG-15: approved entries of each book as JSON lines, terms before characters, by hash."""
+    terms_ = terms.approved(table(spark, folder, "glossary")).select("book_id", F.struct(F.lit(1).alias("k"), "entry_id").alias("at"), hashing.json_line("source_term", "target_term", "category", "status", "first_chunk", "notes").alias("line"))
+    names = terms.approved(table(spark, folder, "characters")).select("book_id", F.struct(F.lit(2).alias("k"), "entry_id").alias("at"), hashing.json_line("source_name", "target_name", "aliases", "pronouns_or_gender", "role", "status", "notes").alias("line"))
+    grouped = terms_.unionByName(names).groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("l"))
     return grouped.select("book_id", _long(F.size("l")).alias("entries"), hashing.hash_text(F.array_join("l.line", "\n")).alias("snapshot"))
 
 
 def context_packets(spark: SparkSession, folder: str) -> DataFrame:
     """STR-27, INV-6, HSH-7: the input of each chunk with its book's frozen references, by hash."""
     chunks = context.neighbours(_chunks(spark, folder), "book_id", ["chunk_index"], "source")
-    frozen = registry_dump(spark, folder).select("book_id", "snapshot")
-    joined = chunks.join(frozen, "book_id", "left")
-    packet = F.concat_ws("\n\n", F.lit("# References"), F.coalesce("snapshot", F.lit("-")), F.lit("# Before"), "before_text", F.lit("# Source"), F.coalesce("source", F.lit("")), F.lit("# After"), "after_text")
-    return joined.select("chunk_key", hashing.hash_text(packet).alias("packet_sha256"))
+    joined = chunks.join(registry_dump(spark, folder).select("book_id", "snapshot"), "book_id", "left")
+    parts = (F.coalesce("snapshot", F.lit("-")), F.col("before_text"), F.coalesce("source", F.lit("")), F.col("after_text"))
+    return joined.select("chunk_key", hashing.hash_joined(*parts).alias("packet_sha256"))
 
 
 QUERIES: dict[str, Query] = {
@@ -346,7 +402,7 @@ QUERIES: dict[str, Query] = {
         p6_found, book_chunks, word_stats, source_inspection, normalized_pages, document_paragraphs, sentence_units, greedy_chunks, page_continuation,
         heading_flags, emphasis_parity, bracket_balance, english_residue, script_ratio, term_hits, alias_hits, proposal_conflicts, glossary_conflicts,
         glossary_conflicts_exact, term_candidates, new_terms, neighbor_context, transitions, assemble, marker_roundtrip, contiguity, latest_pages, chosen_target,
-        hash_drift, chunk_drift, content_hashes, cache_misses, status_counts, usage_totals, claim_order, ready_tasks, downstream_closure, plan_tasks,
-        invalidation_plan, publication_blocks, block_batches, batch_merge, run_pieces, inline_tokens, slugs, quality_issues, registry_dump, context_packets,
+        hash_drift, chunk_drift, content_hashes, cache_misses, status_counts, usage_totals, claim_order, ready_tasks, downstream_closure, plan_tasks, plan_edges,
+        invalidation_plan, publication_blocks, block_batches, batch_merge, remote_batches, run_pieces, inline_tokens, slugs, quality_issues, input_issues, gate_issues, registry_dump, context_packets,
     )
 }

@@ -5,7 +5,9 @@ from __future__ import annotations
 import sys
 import unicodedata
 
-from inkloom.operators.quality import COMMON_ENGLISH
+from inkloom.operators.provenance import DEPENDENCIES, STAGES
+from inkloom.operators.publish import BATCH_MARK, CALLOUT, ICON
+from inkloom.operators.quality import BRACKETS, COMMON_ENGLISH, NUMBER_WORD, simplified_only
 from inkloom.operators.segment import CHAPTER_TITLES, STOP_TITLES
 
 _W = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200c}\x{200d}"
@@ -120,13 +122,29 @@ _LATEST_PAGES = "SELECT * FROM pages QUALIFY row_number() OVER (PARTITION BY boo
 _MARKER = "format('<!-- {}; source pages {}-{} -->', chunk_id, page_start, page_end)"
 _BOOKS = f"""SELECT book_id, string_agg({_MARKER} || chr(10) || chr(10) || trim(source), chr(10) || chr(10) ORDER BY chunk_index) || chr(10) AS book_text, count(*) AS pieces
     FROM ({_LATEST_CHUNKS}) WHERE source IS NOT NULL GROUP BY book_id"""
-_BLOCKS = rf"""SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY p) AS pos, type,
-        CASE type WHEN 'divider' THEN '' WHEN 'heading' THEN regexp_replace(content, '^#{{1,6}}\s+', '') ELSE content END AS content
-    FROM (SELECT book_id, p, content, CASE WHEN content = '* * *' THEN 'divider' WHEN regexp_matches(content, '^#{{1,6}}\s+.+$') THEN 'heading' ELSE 'paragraph' END AS type
-        FROM (SELECT book_id, unnest(range(1, len(l) + 1)) AS p, unnest(l) AS content FROM (SELECT book_id, {_paragraphs("book_text")} AS l FROM ({_BOOKS})))
-        WHERE NOT regexp_matches(content, '^<!--\s*chunk-\d{{4}};'))"""
-_BATCHES = f"""SELECT book_id, CAST((pos - 1) // 100 + 1 AS BIGINT) AS batch_no, count(*) AS block_count, sha256(string_agg(sha256(type || chr(1) || content), '' ORDER BY pos)) AS batch_hash
-    FROM ({_BLOCKS}) GROUP BY ALL"""
+_MADE = rf"""SELECT book_id, p, CASE WHEN content = '* * *' THEN 'divider' WHEN regexp_matches(content, '^#{{1,6}}\s+.+$') THEN 'heading_1' ELSE 'paragraph' END AS type,
+        CASE WHEN content = '* * *' THEN '' WHEN regexp_matches(content, '^#{{1,6}}\s+.+$') THEN regexp_replace(content, '^#{{1,6}}\s+', '') ELSE content END AS content
+    FROM (SELECT book_id, unnest(range(1, len(l) + 1)) AS p, unnest(l) AS content FROM (SELECT book_id, {_paragraphs("book_text")} AS l FROM ({_BOOKS})))
+    WHERE NOT regexp_matches(content, '^<!--\s*chunk-\d{{4}};.*-->$')"""
+_OPENING = f"format('{CALLOUT.replace('%s', '{}')}', book_name, coalesce(author, ''))"
+_BLOCKS = f"""SELECT m.book_id, 3 + row_number() OVER (PARTITION BY m.book_id ORDER BY p) AS pos, type, content FROM ({_MADE}) m JOIN project USING (book_id)
+    UNION ALL SELECT book_id, v.i, v.type, CASE v.i WHEN 1 THEN {_OPENING} ELSE '' END FROM project JOIN (SELECT DISTINCT book_id FROM ({_BOOKS})) USING (book_id), (VALUES (1, 'callout'), (2, 'table_of_contents'), (3, 'divider')) v(i, type)"""
+
+
+def _runs(x: str) -> str:
+    """A text as a list of (content, bold, italic) runs; emphasis stands in the even pieces."""
+    cut = rf"string_split(regexp_replace({x}, '(\*\*.+?\*\*|\*[^*\n]+?\*)', chr(1) || '\1' || chr(1), 'g'), chr(1))"
+    bold = "(i % 2 = 0 AND t LIKE '**%')"
+    bare = f"CASE WHEN i % 2 = 1 THEN t WHEN {bold} THEN substring(t, 3, length(t) - 4) ELSE substring(t, 2, length(t) - 2) END"
+    runs = f"flatten(list_transform({cut}, lambda t, i: list_transform(range(0, length({bare}), 2000), lambda k: {{'content': substring({bare}, k + 1, 2000), 'bold': {bold}, 'italic': i % 2 = 0 AND NOT {bold}}})))"
+    return f"CASE WHEN len({runs}) = 0 THEN [{{'content': '', 'bold': false, 'italic': false}}] ELSE {runs} END"
+
+
+_RICH = f"""'[' || array_to_string(list_transform({_runs("content")}, lambda r: '{{"bold":' || r.bold || ',"code":false,"content":' || CAST(to_json(r.content) AS VARCHAR) || ',"italic":' || r.italic || ',"strikethrough":false,"underline":false}}'), ',') || ']'"""
+_CANONICAL = f"""CASE WHEN type = 'callout' THEN '{{"icon":{{"emoji":"{ICON}","type":"emoji"}},' WHEN type IN ('paragraph', 'heading_1') THEN '{{' ELSE '{{"type":"' || type || '"}}' END
+    || CASE WHEN type IN ('callout', 'paragraph', 'heading_1') THEN '"rich_text":' || {_RICH} || ',"type":"' || type || '"}}' ELSE '' END"""
+_BATCHES = f"""SELECT book_id, CAST((pos - 1) // 100 + 1 AS BIGINT) AS batch_no, count(*) AS block_count, sha256('[' || string_agg({_CANONICAL}, ',' ORDER BY pos) || ']') AS batch_hash
+    FROM ({_BLOCKS}) GROUP BY 1, 2"""
 _APPROVED = f"SELECT * FROM glossary WHERE lower({_strip('status')}) = 'approved'"
 _STATE = """CASE WHEN {t} IS NULL THEN 'no_text' WHEN {h} IS NULL THEN 'unrecorded' WHEN {h} IN (sha256({t}), sha256({t} || chr(0))) THEN 'same' ELSE 'changed' END"""
 _CHUNK_STATE, _PAGE_STATE = _STATE.format(t="source", h="source_sha256"), _STATE.format(t="text", h="sha256")
@@ -134,8 +152,85 @@ _CONTIGUITY = """SELECT chunk_key, chunk_id, expected FROM (SELECT *, row_number
     WHERE chunk_index <> expected OR chunk_id <> format('chunk-{{:04d}}', expected)"""
 _CLEAN = r"regexp_replace(regexp_replace(text, '(?m)^\s*\*\s+\*\s+\*\s*$', '', 'g'), '(?s)<!--.*?-->', '', 'g')"
 _COMMON = "[" + ", ".join(f"'{w}'" for w in COMMON_ENGLISH) + "]"
-_RUNS = rf"""list_filter(regexp_extract_all(text, '[A-Za-z][A-Za-z''’-]*(?:[ \t]+[A-Za-z][A-Za-z''’-]*){{4,}}'),
-    lambda r: len(list_filter(regexp_extract_all(lower(r), '[a-z]+'), lambda w: list_contains({_COMMON}, w))) >= 2)"""
+
+
+def _english(x: str) -> str:
+    return rf"""list_filter(regexp_extract_all({x}, '[A-Za-z][A-Za-z''’-]*(?:[ \t]+[A-Za-z][A-Za-z''’-]*){{4,}}'), lambda r: len(list_filter(regexp_extract_all(lower(r), '[a-z]+'), lambda w: list_contains({_COMMON}, w))) >= 2)"""
+
+
+def _placeholder(x: str) -> str:
+    return rf"regexp_matches({x}, '(?i)(?:\b(?:TODO|TBD|FIXME|LOREM\s+IPSUM|TRANSLATION)\b|\?\?\?|\[\[.+?\]\]|\{{\{{.+?\}}\}}|<placeholder>)')"
+
+
+def _bracket_fold(x: str) -> str:
+    """What is left of the marks of a text: '!' and a mark that nothing opened, or those that nothing closed."""
+    opens = "CASE x " + " ".join(f"WHEN '{b}' THEN '{a}'" for a, b in BRACKETS.items()) + " END"
+    marks = rf"string_split(regexp_replace({x}, '[^「」『』（）【】《》〈〉〔〕［］｛｝()\[\]{{}}]', '', 'g'), '')"
+    step = f"CASE WHEN s LIKE '!%' THEN s WHEN x = '' THEN s WHEN {opens} IS NULL THEN s || x WHEN right(s, 1) = {opens} THEN left(s, length(s) - 1) ELSE '!' || x END"
+    return f"list_reduce(list_prepend('', {marks}), lambda s, x: {step})"
+
+
+def _count(x: str, c: str) -> str:
+    return f"(length({x}) - length(replace({x}, '{c}', '')))"
+
+
+def _bracket_error(x: str) -> str:
+    uneven = " ".join(f"WHEN {_count(x, a)} <> {_count(x, b)} THEN 'uneven {a}{b}'" for a, b in ("“”", "‘’"))
+    return f"CASE WHEN left({_bracket_fold(x)}, 1) = '!' THEN 'unexpected ' || substring({_bracket_fold(x)}, 2, 1) WHEN {_bracket_fold(x)} <> '' THEN 'unclosed ' || right({_bracket_fold(x)}, 10) {uneven} END"
+
+
+def _emphasis(x: str) -> str:
+    clean = rf"replace(regexp_replace(regexp_replace({x}, '(?m)^\s*\*\s+\*\s+\*\s*$', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '\*', '')"
+    bold = rf"len(regexp_extract_all({clean}, '\*\*'))"
+    italic = rf"len(regexp_extract_all(regexp_replace({clean}, '\*\*', '', 'g'), '\*'))"
+    return f"CASE WHEN {bold} % 2 = 1 THEN 'odd bold marks' WHEN {italic} % 2 = 1 THEN 'odd italic marks' END"
+
+
+_EMPHASISED = "SELECT doc_id, regexp_replace(translate(text, '“”', '**'), '[‘’]', '**', 'g') AS text FROM documents WHERE text IS NOT NULL"
+_SIMPLIFIED = f"regexp_matches({{}}, '[{simplified_only()}]')"
+_TEXT_RULES = {
+    "placeholder": _placeholder,
+    "english_residue": lambda x: f"len({_english(x)}) > 0",
+    "unbalanced_quotes_or_brackets": lambda x: f"({_bracket_error(x)}) IS NOT NULL",
+    "unbalanced_emphasis": lambda x: f"({_emphasis(x)}) IS NOT NULL",
+}
+_SOURCE_HEADING = rf"(?i)^(?:Prologue|Epilogue|Introduction|Afterword|{NUMBER_WORD}|(?:Chapter|Part|Book)\s+(?:\d+|[IVXLCDM]+|{NUMBER_WORD}))$"
+_OWN, _OTHER = f"list_filter(sp, lambda p: regexp_matches(p, '{_SOURCE_HEADING}'))", r"list_filter(tp, lambda p: regexp_matches(p, '^#{1,6}\s+\S.*$'))"
+_GATE_RULES = {
+    "build_source_hash_mismatch": "NOT coalesce(source_sha256 IN (sha256(source), sha256(source || chr(0))), false)",
+    "translation_missing": "text IS NULL",
+    "translation_meta_missing": "text IS NOT NULL AND doc_id % 5 = 0",
+    "translation_meta_invalid": "text IS NOT NULL AND doc_id % 5 <> 0 AND doc_id % 7 = 0",
+    "meta_translation_hash_mismatch": "text IS NOT NULL AND doc_id % 5 <> 0 AND doc_id % 7 <> 0 AND doc_id % 2 = 1",
+    "paragraph_count_mismatch": "text IS NOT NULL AND source IS NOT NULL AND len(sp) <> len(tp)",
+    "chapter_heading_count_mismatch": f"text IS NOT NULL AND len({_OWN}) <> len({_OTHER})",
+    "source_heading_position": f"text IS NOT NULL AND len({_OWN}) > 0 AND sp[1] <> {_OWN}[1]",
+    "target_heading_position": f"text IS NOT NULL AND len({_OTHER}) > 0 AND tp[1] <> {_OTHER}[1]",
+    **{code: f"text IS NOT NULL AND {rule('text')}" for code, rule in _TEXT_RULES.items()},
+}
+_GATE = f"""
+    WITH c AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY chunk_index NULLS FIRST) AS n FROM ({_LATEST_CHUNKS}) WHERE book_id IS NOT NULL),
+    d AS (SELECT book_id, doc_id, text, row_number() OVER (PARTITION BY book_id ORDER BY doc_id) AS n FROM documents WHERE book_id IS NOT NULL AND text IS NOT NULL),
+    j AS (SELECT c.book_id, c.chunk_id, c.source, c.source_sha256, d.doc_id, d.text, concat_ws(':', c.book_id, c.chunk_id) AS key, {_paragraphs("source")} AS sp, {_paragraphs("text")} AS tp FROM c LEFT JOIN d USING (book_id, n)),
+    r AS (SELECT key, unnest(list_filter([{", ".join(f"CASE WHEN {rule} THEN '{code}' END" for code, rule in _GATE_RULES.items())}], lambda x: x IS NOT NULL)) AS code FROM j),
+    t AS (SELECT DISTINCT book_id, {_strip("source_term")} AS source_term, target_term FROM ({_APPROVED}) WHERE {_strip("source_term")} <> '' AND target_term <> '')
+    SELECT code, key FROM r UNION SELECT 'approved_term_missing', key FROM j JOIN t USING (book_id) WHERE text IS NOT NULL AND NOT contains(text, target_term)
+        AND contains(lower(source), lower(source_term)) AND regexp_matches(lower(source), '(^|[^A-Za-z0-9])' || regexp_escape(lower(source_term)) || '([^A-Za-z0-9]|$)')"""
+_EDGES = """
+    WITH c AS (SELECT book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY chunk_index NULLS FIRST) AS VARCHAR) AS i, row_number() OVER (PARTITION BY book_id ORDER BY chunk_index NULLS FIRST) AS n FROM ({})),
+    b AS (SELECT DISTINCT book_id FROM c)
+    {}"""
+
+
+def _line(kind: str, columns: str) -> str:
+    """Registry rows as JSON lines with sorted names."""
+    return " || ', ' || ".join(f"""'"{c}": ' || CAST(to_json(coalesce({c}, '')) AS VARCHAR)""" for c in sorted(columns.split()))
+
+
+_REGISTRY = f"""
+    SELECT book_id, count(*) AS entries, sha256(string_agg(line, chr(10) ORDER BY k, entry_id)) AS snapshot FROM (
+        SELECT book_id, 1 AS k, entry_id, '{{' || {_line("glossary", "source_term target_term category status first_chunk notes")} || '}}' AS line FROM ({_APPROVED})
+        UNION ALL SELECT book_id, 2, entry_id, '{{' || {_line("characters", "source_name target_name aliases pronouns_or_gender role status notes")} || '}}' FROM characters WHERE lower({_strip('status')}) = 'approved') GROUP BY book_id"""
 _SCANS = f"SELECT *, {_fold(_strip('source_term'))} AS term_key FROM term_scans"
 
 
@@ -168,16 +263,18 @@ SQL: dict[str, str] = {
     "heading_flags": f"""
         SELECT page_key, pos, h AS heading FROM (SELECT page_key, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS h FROM (SELECT page_key, {_paragraphs("text")} AS l FROM pages))
         WHERE {_heading("h")} OR {_stop("h")}""",
-    "emphasis_parity": rf"""
-        SELECT doc_id, error FROM (SELECT doc_id, CASE WHEN b % 2 = 1 THEN 'odd bold marks' WHEN i % 2 = 1 THEN 'odd italic marks' END AS error FROM (
-            SELECT doc_id, len(regexp_extract_all(c, '\*\*')) AS b, len(regexp_extract_all(regexp_replace(c, '\*\*', '', 'g'), '\*')) AS i
-            FROM (SELECT doc_id, replace({_CLEAN}, '\*', '') AS c FROM documents))) WHERE error IS NOT NULL""",
-    "english_residue": f"SELECT doc_id, n AS runs FROM (SELECT doc_id, least(10, coalesce(len({_RUNS}), 0)) AS n FROM documents) WHERE n > 0",
+    "emphasis_parity": f"SELECT doc_id, error FROM (SELECT doc_id, {_emphasis('text')} AS error FROM ({_EMPHASISED})) WHERE error IS NOT NULL",
+    "bracket_balance": f"SELECT doc_id, error FROM (SELECT doc_id, {_bracket_error('text')} AS error FROM documents WHERE text IS NOT NULL) WHERE error IS NOT NULL",
+    "english_residue": f"SELECT doc_id, n AS runs FROM (SELECT doc_id, coalesce(len({_english('text')}), 0) AS n FROM documents) WHERE n > 0",
     "script_ratio": f"SELECT doc_id, len(regexp_extract_all(text, '[㐀-鿿]')) AS han, round_even(len(regexp_extract_all(text, '[㐀-鿿]')) / greatest(1, {_words('text')}), 3) AS ratio FROM documents",
     "term_hits": rf"""
         WITH t AS (SELECT DISTINCT book_id, {_strip("source_term")} AS source_term FROM ({_APPROVED}) WHERE {_strip("source_term")} <> '')
         SELECT chunk_key, source_term FROM chunks JOIN t USING (book_id)
-        WHERE contains(lower(source), lower(source_term)) AND regexp_matches(source, '(?i)(^|[^A-Za-z0-9])' || regexp_escape(source_term) || '([^A-Za-z0-9]|$)')""",
+        WHERE contains(lower(source), lower(source_term)) AND regexp_matches(lower(source), '(^|[^A-Za-z0-9])' || regexp_escape(lower(source_term)) || '([^A-Za-z0-9]|$)')""",
+    "alias_hits": f"""
+        WITH a AS (SELECT book_id, entry_id, {_strip("source_name")} AS name, string_split(aliases, '|') AS l FROM characters WHERE lower({_strip("status")}) = 'approved' AND {_strip("source_name")} <> ''),
+        n AS (SELECT book_id, entry_id, name FROM a UNION SELECT book_id, entry_id, {_strip("x")} FROM (SELECT book_id, entry_id, unnest(l) AS x FROM a) WHERE {_strip("x")} <> '')
+        SELECT DISTINCT chunk_key, entry_id FROM chunks JOIN n USING (book_id) WHERE contains(lower(source), lower(name))""",
     "proposal_conflicts": f"""
         WITH g AS (SELECT DISTINCT book_id, {_fold(_strip("source_term"))} AS k, target_term AS wanted FROM ({_APPROVED}) WHERE {_strip("source_term")} <> '' AND target_term <> '')
         SELECT scan_id, wanted FROM term_scans s JOIN g ON s.book_id = g.book_id AND {_fold(_strip("s.source_term"))} = g.k WHERE proposed_target <> '' AND NOT contains(proposed_target, wanted)""",
@@ -221,7 +318,8 @@ SQL: dict[str, str] = {
         WITH l AS ({_LATEST_CHUNKS})
         SELECT chunk_key FROM l WHERE NOT EXISTS (SELECT 1 FROM chunks c WHERE c.book_id = l.book_id AND c.chunk_id = l.chunk_id AND c.source_sha256 = l.source_sha256 AND c.chunk_key NOT IN (SELECT chunk_key FROM l))""",
     "status_counts": f"""
-        SELECT s AS status, count(g.entry_id) AS n FROM (VALUES ('approved'), ('provisional'), ('rejected'), ('stale')) v(s) LEFT JOIN glossary g ON lower({_strip("g.status")}) = v.s GROUP BY s""",
+        SELECT status, CAST(sum(n) AS BIGINT) AS n FROM (SELECT lower({_strip("status")}) AS status, count(*) AS n FROM glossary GROUP BY 1
+            UNION ALL SELECT s, 0 FROM (VALUES ('approved'), ('provisional'), ('rejected'), ('stale')) v(s)) GROUP BY status""",
     "usage_totals": """
         SELECT name, round(sum(v), 3) AS total, count(*) AS n FROM (SELECT k AS name, try_cast(json_extract_string(props, '$."' || k || '"') AS DOUBLE) AS v
             FROM (SELECT props, unnest(json_keys(props)) AS k FROM events)) WHERE v IS NOT NULL GROUP BY name""",
@@ -230,15 +328,46 @@ SQL: dict[str, str] = {
     "downstream_closure": """
         WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS s, 'n' || n_nationkey AS t FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer),
         d(node) AS (SELECT t FROM e WHERE s = 'r1' UNION SELECT t FROM e JOIN d ON e.s = d.node) SELECT node FROM d""",
-    "plan_tasks": f"SELECT book_id, 4 * n + 6 AS tasks, 6 * n + n - 1 + 3 AS edges FROM (SELECT book_id, count(*) AS n FROM ({_LATEST_CHUNKS}) GROUP BY book_id)",
-    "invalidation_plan": """
-        SELECT CAST(i AS INTEGER) AS stage_no, s AS stage, i >= 4 AS stale FROM (VALUES (1, 'metadata'), (2, 'extract'), (3, 'chunk'), (4, 'terms'), (5, 'draft'), (6, 'review'), (7, 'finalize'), (8, 'qa'), (9, 'assemble'), (10, 'publish')) v(i, s)""",
-    "publication_blocks": f"SELECT book_id, type, count(*) AS blocks, CAST(sum(length(content)) AS BIGINT) AS chars FROM ({_BLOCKS}) GROUP BY ALL",
+    "plan_tasks": _EDGES.format(_LATEST_CHUNKS, """
+        SELECT book_id, s || ':' || i AS task_id, s AS stage FROM c, (VALUES ('terms'), ('translate'), ('review'), ('finalize')) v(s)
+        UNION ALL SELECT book_id, s, split_part(s, ':', 1) FROM b, (VALUES ('metadata'), ('terms:consolidate'), ('assemble'), ('quality'), ('audit'), ('publish')) v(s)"""),
+    "plan_edges": _EDGES.format(_LATEST_CHUNKS, """
+        SELECT book_id, 'terms:' || i AS task_id, 'metadata' AS depends_on FROM c UNION ALL SELECT book_id, 'terms:consolidate', 'terms:' || i FROM c
+        UNION ALL SELECT book_id, 'translate:' || i, 'terms:consolidate' FROM c UNION ALL SELECT book_id, 'review:' || i, 'translate:' || i FROM c
+        UNION ALL SELECT book_id, 'finalize:' || i, 'review:' || i FROM c UNION ALL SELECT book_id, 'assemble', 'finalize:' || i FROM c
+        UNION ALL SELECT book_id, 'finalize:' || i, 'finalize:' || (n - 1) FROM c WHERE n > 1
+        UNION ALL SELECT book_id, v.t, v.d FROM b, (VALUES ('quality', 'assemble'), ('audit', 'quality'), ('publish', 'audit')) v(t, d)"""),
+    "invalidation_plan": f"""
+        WITH s AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{x}')" for i, x in enumerate(STAGES, 1))}) v(i, stage)),
+        d AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{x}')" for k, x in DEPENDENCIES.items())}) v(dependency, stage)),
+        c AS (SELECT book_id, 'source' AS dependency FROM pages WHERE {_PAGE_STATE} = 'changed' UNION SELECT g.book_id, 'references' FROM glossary g JOIN project p USING (book_id) WHERE updated_at > created_at),
+        f AS (SELECT book_id, min(s.i) AS first FROM project LEFT JOIN c USING (book_id) LEFT JOIN d USING (dependency) LEFT JOIN s USING (stage) GROUP BY book_id)
+        SELECT book_id, CAST(i AS INTEGER) AS stage_no, stage, coalesce(i >= first, false) AS stale FROM f, s""",
+    "input_issues": f"""
+        SELECT 'chunks_missing' AS code, CAST(book_id AS VARCHAR) AS key FROM project WHERE book_id NOT IN (SELECT book_id FROM chunks WHERE book_id IS NOT NULL)
+        UNION ALL SELECT 'glossary_missing', CAST(book_id AS VARCHAR) FROM project WHERE book_id NOT IN (SELECT book_id FROM glossary WHERE book_id IS NOT NULL)
+        UNION ALL SELECT DISTINCT 'chunk_order_invalid', CAST(book_id AS VARCHAR) FROM chunks WHERE chunk_key IN (SELECT chunk_key FROM ({_CONTIGUITY.format("(SELECT * FROM chunks WHERE book_id IS NOT NULL)")}))
+        UNION ALL SELECT DISTINCT 'glossary_conflict', CAST(book_id AS VARCHAR) FROM (SELECT book_id FROM ({_APPROVED}) WHERE book_id IS NOT NULL AND {_strip("source_term")} <> '' AND {_strip("target_term")} <> ''
+            GROUP BY book_id, {_fold(_strip("source_term"))} HAVING count(DISTINCT {_strip("target_term")}) > 1)""",
+    "gate_issues": _GATE,
+    "quality_issues": f"""
+        SELECT code, count(*) AS n FROM (SELECT unnest(list_filter([{", ".join(f"CASE WHEN {rule('text')} THEN '{code}' END" for code, rule in _TEXT_RULES.items())}, CASE WHEN {_SIMPLIFIED.format("text")} THEN 'simplified_chinese' END], lambda x: x IS NOT NULL)) AS code FROM documents WHERE text IS NOT NULL
+            UNION ALL SELECT 'build_source_hash_mismatch' FROM chunks WHERE {_CHUNK_STATE} = 'changed') GROUP BY code""",
+    "publication_blocks": f"SELECT book_id, type, count(*) AS blocks, CAST(sum(length(content)) AS BIGINT) AS chars FROM ({_BLOCKS}) GROUP BY 1, 2",
+    "inline_tokens": f"""
+        SELECT doc_id, CAST(unnest(range(1, len(l) + 1)) AS INTEGER) AS pos, unnest(l).content AS content, unnest(l).bold AS bold, unnest(l).italic AS italic FROM (SELECT doc_id, {_runs("text")} AS l FROM ({_EMPHASISED}))""",
+    "remote_batches": f"""
+        SELECT book_id, batch_no, block_count, CASE WHEN last AND book_id % 3 = 0 THEN block_count - 1 ELSE block_count END AS present,
+            CASE WHEN last AND book_id % 3 = 0 THEN 'incomplete' ELSE 'verified' END AS state, batch_hash
+        FROM (SELECT *, batch_no = max(batch_no) OVER (PARTITION BY book_id) AS last FROM ({_BATCHES}))""",
     "block_batches": _BATCHES,
     "batch_merge": f"SELECT book_id, batch_no, CASE WHEN batch_no % 3 = 0 THEN 'upload' WHEN batch_no = 1 OR batch_no % 2 = 0 THEN 'done' ELSE 'changed' END AS state FROM ({_BATCHES})",
     "run_pieces": """
         SELECT doc_id, i + 1 AS pos, substring(text, i * 2000 + 1, 2000) AS piece FROM (SELECT doc_id, text, unnest(range(0, greatest(1, CAST(ceil(length(text) / 2000) AS BIGINT)))) AS i FROM documents WHERE text IS NOT NULL)""",
     "slugs": "SELECT book_id, coalesce(nullif(trim(regexp_replace(lower(book_name), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'book') AS name_slug FROM project",
-    "registry_dump": f"""
-        SELECT book_id, count(*) AS entries, sha256(string_agg(concat_ws(chr(9), source_term, coalesce(target_term, ''), coalesce(category, '')), chr(10) ORDER BY entry_id)) AS snapshot FROM ({_APPROVED}) GROUP BY book_id""",
+    "registry_dump": _REGISTRY,
+    "context_packets": f"""
+        WITH c AS (SELECT *, coalesce(right(lag(coalesce(source, '')) OVER w, 1200), '(Beginning of book.)') AS b, coalesce(left(lead(coalesce(source, '')) OVER w, 900), '(End of book.)') AS a
+            FROM ({_LATEST_CHUNKS}) WINDOW w AS (PARTITION BY book_id ORDER BY chunk_index NULLS FIRST))
+        SELECT chunk_key, sha256(concat_ws(chr(0), coalesce(snapshot, '-'), b, coalesce(source, ''), a)) AS packet_sha256 FROM c LEFT JOIN ({_REGISTRY}) r USING (book_id)""",
 }

@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from inkloom.functions.loose_json import is_object
 from inkloom.operators.segment import page_range, split_pages
 
 CHUNK_SCHEMA = "chunk_id string, index int, page_start int, page_end int, source_words int, source_chars int, source_sha256 string, source string"
@@ -41,16 +42,63 @@ def read_text_pages(spark: SparkSession, path: str, first: int = 1, last: int |
 def read_jsonl(spark: SparkSession, path: str, schema: str = CHUNK_SCHEMA) -> tuple[DataFrame, DataFrame]:
     """JSON lines as rows and, apart, the lines that are none: (rows, bad lines with ``path``, ``line_no``, ``line``).
 
-    Blank lines count for the numbering and are skipped.
+    Files are split as the file system likes, so one of any size is read by many
+    tasks.  A line's number is its rank in its file by where its split begins and
+    where it stands there; the blank lines before it in its split count, as do
+    those of earlier splits.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n", -1)).alias("at", "line"))
-    lines = raw.filter(F.length(F.trim("line")) > 0).select("path", (F.col("at") + 1).alias("line_no"), "line")
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_id"), "value")
+    # Ids rise within a split; lines of earlier splits of the file are added up from one row a split.
+    sized = raw.groupBy("path", "_split").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sized.select("path", "_split", "_first", before.alias("_before"))
+    lines = raw.filter(F.length(F.trim("value")) > 0).join(starts, ["path", "_split"]).select("path", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line_no"), F.col("value").alias("line"))
     parsed = lines.withColumn("row", F.from_json("line", schema + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
     good = parsed.filter(F.col("row").isNotNull() & F.col("row._corrupt").isNull()).select("path", "line_no", "row.*").drop("_corrupt")
     bad = parsed.filter(F.col("row").isNull() | F.col("row._corrupt").isNotNull()).select("path", "line_no", "line")
     return good, bad
 
 
+def write_jsonl(df: DataFrame, path: str) -> None:
+    """Rows as JSON lines under a new path; characters are kept, null fields written.
+
+    The commit protocol renames finished files, so a broken job leaves nothing
+    that a reader takes for whole.
+    """
+    df.write.mode("errorifexists").json(path, ignoreNullFields=False)
+
+
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """(``path``, ``sha256``, ``size``) of files."""
+    rows = spark.read.format("binaryFile").load(path)
+    return rows.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
+
+
+def text_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """(``path``, ``pages``) of text files."""
+    return read_text_pages(spark, path).groupBy("path").agg(F.count(F.lit(1)).alias("pages"))
+
+
+def source_kind(config: dict) -> tuple[str, str]:
+    """Where a book's source lies and of which kind it is: named as text or PDF, else told by its suffix."""
+    for name, kind in (("source_text", "text"), ("source_pdf", "pdf")):
+        if config.get(name):
+            return config[name], kind
+    path = config.get("source_file")
+    if not path:
+        raise ValueError("no source is configured")
+    return path, "pdf" if path.lower().endswith(".pdf") else "text"
+
+
+def read_lines(df: DataFrame, by: list[str], gap: float = 20.0, indent: float = 92.0) -> DataFrame:
+    """Pages of positioned lines (``by``, ``line_no``, ``text``, ``x0``, ``top``), as a PDF reader gives them, as page texts (``by``, ``text``, ``continues``)."""
+    from inkloom.operators.segment import positioned_paragraphs
+
+    paras = positioned_paragraphs(df, by, indent, gap)
+    pages = paras.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("para", "text"))).alias("p"), F.first("continues").alias("continues"))
+    return pages.select(*by, F.array_join("p.text", "\n\n").alias("text"), "continues")
+
+
 def read_registry(spark: SparkSession, path: str, schema: str = GLOSSARY_SCHEMA, only_approved: bool = False) -> DataFrame:
     """A CSV registry with a header; an empty frame where the file is missing."""
     if not os.path.exists(path.removeprefix("file://")) and "://" not in path.removeprefix("file://"):
@@ -73,6 +121,16 @@ def read_fields(df: DataFrame, text: str, names: list[str]) -> DataFrame:
     return df.withColumns({n: F.nullif(F.trim(F.regexp_extract(text, rf"(?m)^- {n}:[^\S\n]*(.+)$", 1)), F.lit("")) for n in names})
 
 
+def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
+    """JSON artifacts, a file each, in the order of their names: (``name``, ``text``, ``value``, ``invalid``).
+
+    ``invalid`` is true for what is no JSON object; a missing file has no row.
+    """
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
+    rows = rows.withColumn("value", F.try_parse_json("text"))
+    return rows.withColumn("invalid", ~is_object(F.col("value"))).orderBy("name")
+
+
 def write_once(df: DataFrame, folder: str, identity: str) -> str:
     """Writes under a content id unless it is there already; returns the path."""
     path = f"{folder.rstrip('/')}/{identity}"

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from inkloom.operators import context
@@ -37,3 +38,14 @@ def test_contiguity_and_groups(spark):
     assert [(r["chunk_index"], r["expected"]) for r in context.contiguity(df, "b", "chunk_index", "chunk_id").collect()] == [(3, 2)]
     five = spark.range(1, 6).select(F.lit(1).alias("b"), "id")
     assert [r["batch_no"] for r in context.groups_of(five, ["b"], ["id"], 2).orderBy("id").collect()] == [1, 1, 2, 2, 3]
+
+
+def test_selection_lookup_and_opening(spark):
+    df = spark.createDataFrame([(1, i, f"chunk-{i:04d}", "ab" * i) for i in range(1, 6)] + [(2, 1, "x", None)], "b long, i int, k string, t string")
+    one = df.filter("b = 1")
+    assert [r["i"] for r in context.selected(one, "i", 2, 4, 2).collect()] == [2, 3] and context.selected(one, "i").count() == 5
+    assert context.piece(one, "k", "chunk-0003").first()["i"] == 3
+    with pytest.raises(KeyError):
+        context.piece(one, "k", "chunk-0009")
+    got = {r["b"]: r["opening"] for r in context.opening(df, "b", "i", "t", 3, 12).collect()}
+    assert got == {1: "ab\n\nabab\n\nab", 2: ""}

@@ -1,8 +1,10 @@
 import datetime as dt
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
 
+from inkloom.operators import quality
 from inkloom.sources import files
 from inkloom.streaming import windows
 
@@ -24,6 +26,36 @@ def test_jsonl_keeps_bad_lines_apart(spark, tmp_path):
     assert [(r["line_no"], r["line"]) for r in bad.collect()] == [(3, "{broken")]
 
 
+def test_jsonl_numbers_lines_across_splits(spark, tmp_path):
+    path = tmp_path / "c.jsonl"
+    path.write_text("".join("{bad\n" if i % 50 == 7 else "\n" if i % 50 == 9 else '{"chunk_id": "c%d", "source": "%s"}\n' % (i, "x" * 200) for i in range(1, 401)), encoding="utf-8")
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        good, bad = files.read_jsonl(spark, str(path))
+        assert good.filter("chunk_id <> concat('c', line_no)").count() == 0 and good.count() == 400 - 16
+        assert sorted(r["line_no"] for r in bad.collect()) == [i for i in range(1, 401) if i % 50 == 7]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
+def test_written_lines_hashes_and_artifacts(spark, tmp_path):
+    files.write_jsonl(spark.createDataFrame([(1, "é", None)], "a int, b string, c string").coalesce(1), str(tmp_path / "out"))
+    assert [p.read_text() for p in (tmp_path / "out").glob("part*")] == ['{"a":1,"b":"é","c":null}\n']
+    for name, body in (("b.json", "{}"), ("a.json", "[1]"), ("c.json", "{x")):
+        (tmp_path / name).write_text(body)
+    got = [(r["name"], r["invalid"]) for r in files.read_artifacts(spark, str(tmp_path / "*.json")).collect()]
+    assert got == [("a.json", True), ("b.json", False), ("c.json", True)]
+    assert files.file_hashes(spark, str(tmp_path / "b.json")).first()["sha256"] == hashlib.sha256(b"{}").hexdigest()
+    (tmp_path / "t.txt").write_text("a\fb\fc\n\f")
+    assert files.text_metadata(spark, str(tmp_path / "t.txt")).first()["pages"] == 3
+    assert files.source_kind({"source_file": "x/B.PDF"}) == ("x/B.PDF", "pdf") and files.source_kind({"source_text": "a", "source_pdf": "b"}) == ("a", "text")
+    with pytest.raises(ValueError):
+        files.source_kind({})
+    quality.write_report(spark.createDataFrame([("a", "1", "x"), ("a", "2", None)], quality.ISSUE), str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report" / "checks")).first()["n"] == 2
+
+
 def test_registry(spark, tmp_path):
     path = tmp_path / "g.csv"
     path.write_text('source_term,target_term,category,status,first_chunk,notes\na,甲,place,Approved,chunk-0001,"x, ""y"""\nb,乙,,provisional,,\n', encoding="utf-8-sig")
@@ -78,3 +110,7 @@ def test_first_copies_and_totals(spark, tmp_path, events):
     windows.run_to_table(windows.keyed_totals(stream, "user_id", "ts", "event_type", "value"), "totals", "update", str(tmp_path / "c3"))
     got = {r["key"]: r for r in spark.table("totals").collect()}
     assert got[0]["seen"] + got[1]["seen"] == 14 and got[0]["total"] + got[1]["total"] == sum(range(12)) + 1
+
+
+def test_durations():
+    assert [windows.milliseconds(x) for x in ("30 minutes", "2 hours", "1 day", "5 seconds", "250 ms")] == [1_800_000, 7_200_000, 86_400_000, 5_000, 250]

@@ -24,10 +24,10 @@ class Book:
         self.options = {}
         self.text = "".join(f"<!-- {k}; source pages {i}-{i + 1} -->\n\n{t}\n\n" for i, (k, t) in enumerate(TARGETS.items(), 1)).rstrip("\n") + "\n"
 
-    def codes(self, spark, simplified="这"):
+    def codes(self, spark, simplified="这", allowed=None):
         names = [c.split()[0] for c in gate.META.split(", ")][3:]
         meta = [(1, k, kind, *(m.get(n) for n in names)) for (k, kind), m in self.meta.items()]
-        reviews = [(1, k, *(r[n] for n in ("text", "verdict", "n_issues", "source_sha256", "translation_sha256"))) for k, r in self.reviews.items()]
+        reviews = [(1, k, *(r.get(n) for n in ("text", "verdict", "n_issues", "source_sha256", "translation_sha256", "invalid"))) for k, r in self.reviews.items()]
         options = [(1, k, o.get("chosen_kind"), o.get("expected_input"), o.get("paragraphs"), o.get("skip_headings"), o.get("excused_terms")) for k, o in self.options.items()]
         found = gate.run_gate(
             spark.createDataFrame([tuple(c) for c in self.chunks.values()], gate.CHUNKS),
@@ -38,6 +38,7 @@ class Book:
             spark.createDataFrame([(1, self.text)], "book long, text string"),
             spark.createDataFrame(options, gate.OPTIONS),
             simplified,
+            allowed,
         )
         return {r["code"] for r in found.collect()}
 
@@ -98,10 +99,35 @@ def test_paragraphs_headings_and_exceptions(spark, book):
     book.meta["chunk-0001", "draft"]["translation_sha256"] = book.reviews["chunk-0001"]["translation_sha256"] = sha(text)
     book.text = book.text.replace(TARGETS["chunk-0001"], text)
     assert book.codes(spark) == {"paragraph_count_mismatch"}
-    book.options["chunk-0001"] = dict(paragraphs=(2, 3))
+    book.options["chunk-0001"] = dict(paragraphs=(None, 2, 3, None, "split in print"))
     assert book.codes(spark) == set()
 
 
+def test_artifacts_that_are_no_objects(spark, book):
+    book.meta["chunk-0001", "draft"]["invalid"] = True
+    book.reviews["chunk-0002"]["invalid"] = True
+    assert book.codes(spark) == {"translation_meta_invalid", "review_invalid"}
+
+
+def test_allow_lists(spark, book):
+    text = "# 一\n\n馬洛說 TODO 以及 the cat and the dog sat。这"
+    book.artifacts["chunk-0001", "draft"] = text
+    book.meta["chunk-0001", "draft"]["translation_sha256"] = book.reviews["chunk-0001"]["translation_sha256"] = sha(text)
+    book.text = book.text.replace(TARGETS["chunk-0001"], text)
+    assert book.codes(spark) == {"placeholder", "english_residue", "simplified_chinese"}
+    assert book.codes(spark, allowed={"placeholder": ["TODO"], "english": ["the cat and the dog sat"], "simplified": ["这"]}) == set()
+
+
+def test_inputs_of_books(spark):
+    books = spark.createDataFrame([(1,), (2,), (3,)], "book long")
+    chunks = spark.createDataFrame([(1, 1, "chunk-0001"), (1, 2, "chunk-0002"), (2, 1, "chunk-0001"), (2, 3, "chunk-0003")], "book long, chunk_index int, chunk_id string")
+    glossary = spark.createDataFrame([(1, "Tide", "潮", "approved"), (1, "tide", "浪", " Approved"), (1, "sea", "海", "approved"), (2, "sea", "海", "approved"), (2, "SEA", "洋", "stale")], "book long, source_term string, target_term string, status string")
+    bad = spark.createDataFrame([(1, 7, "{")], "book long, line_no long, line string")
+    made = spark.createDataFrame([(1, '{"terms": [{"source_term": "a"}], "characters": []}'), (2, '{"terms": [1]}'), (3, "[]")], "book long, text string")
+    got = sorted((r["code"], r["key"]) for r in gate.input_issues(books, chunks, glossary, bad, made).collect())
+    assert got == [("chunk_json_invalid", "1"), ("chunk_order_invalid", "2"), ("chunks_missing", "3"), ("generated_glossary_invalid", "2"), ("generated_glossary_invalid", "3"), ("glossary_conflict", "1"), ("glossary_missing", "3")]
+
+
 def test_term_boundaries_and_excuses(spark, book):
     book.glossary += [(1, "Lef", "左", False), (1, "he", "他們", True), (1, "HE", "它", True)]
     assert book.codes(spark) == set()

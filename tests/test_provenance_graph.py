@@ -1,8 +1,9 @@
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
-from inkloom.operators import graph, provenance
+from inkloom.operators import graph, provenance, records
 
 
 def sha(s):
@@ -22,10 +23,40 @@ def test_work_left(spark):
 
 
 def test_invalidation(spark):
-    changed = spark.createDataFrame([("prompts",), ("models",)], "dependency string")
-    stale = [r["stage"] for r in provenance.invalidation(spark, changed).filter("stale").orderBy("stage_no").collect()]
-    assert stale == ["terms", "draft", "review", "finalize", "qa", "assemble", "publish"]
-    assert provenance.invalidation(spark, changed.limit(0)).filter("stale").count() == 0
+    changed = spark.createDataFrame([(1, "prompts"), (1, "models"), (2, None), (3, "weather"), (4, "source")], "b long, dependency string")
+    plan = provenance.invalidation(spark, changed, ["b"])
+    stale = {b: [r["stage"] for r in plan.filter(f"stale and b = {b}").orderBy("stage_no").collect()] for b in (1, 2, 3, 4)}
+    assert stale[1] == ["terms", "draft", "review", "finalize", "qa", "assemble", "publish"] and stale[2] == stale[3] == []
+    assert stale[4][0] == "extract" and plan.count() == 40
+    done = spark.createDataFrame([(1, "chunk", "succeeded"), (1, "terms", "succeeded"), (2, "terms", "ready")], "b long, stage string, status string")
+    assert sorted((r["b"], r["stage"], r["status"]) for r in provenance.mark_stale(done, plan, ["b"]).collect()) == [(1, "chunk", "succeeded"), (1, "terms", "stale"), (2, "terms", "ready")]
+
+
+def test_drift_refuses_to_resume(spark):
+    then = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "path string, h string")
+    now = spark.createDataFrame([("a", "1"), ("b", "9")], "path string, h string")
+    with pytest.raises(ValueError, match="changed"):
+        provenance.refuse_drift(then, now, "path", "h")
+    assert sorted((r["path"], r["found"]) for r in provenance.refuse_drift(then, now, "path", "h", allow=True).collect()) == [("b", "9"), ("c", None)]
+    assert provenance.refuse_drift(then, then, "path", "h").count() == 0
+
+
+def test_records(spark):
+    rows = [(1, "- Source edition: Harbour Press, copyright 1987; ISBN `978-1-4`; cloth\n- Book: **Tides**\n- Genre: TODO ask", "Completed chunks: 12\nCompleted on: 2026-02-03\n- Status: complete", "# 一\n\nx\n\n# 二十\n\n# Two", "h", "zh"), (2, "", None, None, None, None)]
+    df = spark.createDataFrame(rows, "b long, brief string, progress string, book string, h string, l string")
+    got = {r["b"]: r for r in records.book_metadata(df, "b", "brief", "progress", "book", "h", "l").collect()}
+    assert (got[1]["publication_year"], got[1]["isbn"], got[1]["chunk_count"], str(got[1]["completed_at"]), got[1]["complete"], got[1]["chapter_count"]) == (1987, "978-1-4", 12, "2026-02-03", True, 2)
+    assert (got[2]["publication_year"], got[2]["isbn"], got[2]["chunk_count"], got[2]["complete"]) == (None, None, None, False)
+    seen = df.filter("b = 1").select(records.field(F.col("brief"), "Book"), records.field(F.col("brief"), "Genre", F.lit("Fantasy")), records.field(F.col("brief"), "None"), records.property_text(F.lit("x" * 3000))).first()
+    assert seen[:3] == ("Tides", "Fantasy", None) and len(seen[3]) == 2000
+    assert records.overlay({"a": {"x": 1, "y": 2}, "b": 1}, {"a": {"y": 3}, "b": {"z": 1}, "c": 2}) == {"a": {"x": 1, "y": 3}, "b": {"z": 1}, "c": 2}
+    assert records.missing_columns(df, ["h", "z", "a"]) == ["a", "z"]
+    known = spark.createDataFrame([("k1", "One", 11), (None, "Two", 12), (None, "Six", 13), (None, "Six", 14)], "k string, t string, page long")
+    wanted = spark.createDataFrame([("k1", "Other"), ("k2", "Two"), ("k3", "New")], "k string, t string")
+    assert {r["k"]: r["page"] for r in records.resolve_or_title(wanted, known, "k", "t", "page").collect()} == {"k1": 11, "k2": 12, "k3": None}
+    with pytest.raises(ValueError, match="more than one"):
+        records.resolve_or_title(spark.createDataFrame([("k9", "Six")], "k string, t string"), known, "k", "t", "page")
+    assert records.reviews_with_issues(spark.createDataFrame([(1, ["a"]), (2, []), (3, None)], "c long, issues array<string>"), "issues").count() == 1
 
 
 def test_map_changes(spark):

@@ -6,11 +6,30 @@ SCAN = "book_id long, chunk_id string, source_term string, proposed_target strin
 
 
 def test_ascii_boundaries(spark):
-    rows = [("He made a simple move forward.", "imp", False), ("An imp sat.", "IMP", True), ("éimp", "imp", True), ("a.b", "a.b", True), ("axb", "a.b", False), ("a\\Eb c", "c", True)]
+    rows = [("Gulls overhead.", "head", False), ("Her head hurt.", "HEAD", True), ("éhead", "head", True), ("un éLAN fou", "ÉLAN", True), ("a.b", "a.b", True), ("axb", "a.b", False), ("a\\Eb c", "c", True)]
     df = spark.createDataFrame(rows, "t string, w string, want boolean")
     assert all(r["want"] == r["got"] for r in df.withColumn("got", terms.contains_term(F.col("t"), F.col("w"))).collect())
 
 
+def test_matches_of_many_terms(spark):
+    rows = [(1, 1, "Her head hurt at the Gate."), (2, 1, "overhead gates"), (3, 2, "head"), (4, 1, None), (5, 1, "ΟΔΟΣ and Straße")]
+    texts = spark.createDataFrame(rows, "k long, b long, t string")
+    words = [(1, "HEAD", "甲"), (1, "gate", "乙"), (1, "gate", "丙"), (1, " ", "x"), (1, None, "x"), (1, "οδος", "丁"), (1, "strasse", "戊"), (None, "head", "x")]
+    listed = spark.createDataFrame(words, "b long, w string, g string")
+    got = sorted((r["k"], r["g"]) for r in terms.term_matches(texts, listed, "b", "t", "w").collect())
+    assert got == [(1, "丙"), (1, "乙"), (1, "甲"), (5, "丁")]
+    got = sorted((r["k"], r["g"]) for r in terms.term_matches(texts, listed, "b", "t", "w", whole=False).collect())
+    assert got == [(1, "丙"), (1, "乙"), (1, "甲"), (2, "丙"), (2, "乙"), (2, "甲"), (5, "丁"), (5, "戊")]
+    assert [r["k"] for r in terms.term_matches(texts, listed, "b", "t", "w", any_case=False).collect()] == []
+
+
+def test_large_dictionaries_are_split(spark, monkeypatch):
+    monkeypatch.setattr(terms, "BLOCK", 3)
+    texts = spark.createDataFrame([(1, 1, " ".join(f"w{i}" for i in range(0, 40, 2)))], "k long, b long, t string")
+    listed = spark.createDataFrame([(1, f"w{i}") for i in range(40)], "b long, w string")
+    assert sorted(r["w"] for r in terms.term_matches(texts, listed, "b", "t", "w").collect()) == sorted(f"w{i}" for i in range(0, 40, 2))
+
+
 def test_conflicts(spark):
     df = spark.createDataFrame([(1, "Keeper’s", "甲"), (1, "keeper's", "乙"), (1, "x", "甲"), (2, "keeper's", "甲"), (1, "x", None), (1, None, "q")], "b long, s string, t string")
     got = terms.conflicts(df, ["b"], "s", "t").collect()
