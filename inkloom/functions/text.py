@@ -66,8 +66,9 @@ def casefold(text: Column) -> Column:
     The letters that this would change otherwise are set apart: capital sharp s,
     final sigma, and the dotless i, which has no upper case of its own.
     """
-    apart = F.replace(F.translate(text, "ı", "\ue000"), F.lit("ẞ"), F.lit("ss"))
-    return F.translate(F.lower(F.upper(apart)), "ς\ue000", "σı")
+    # The replacement stands between the two, or the optimizer would leave the first of them out.
+    capital = F.replace(F.upper(F.translate(text, "ı", "\ue000")), F.lit("ẞ"), F.lit("SS"))
+    return F.translate(F.lower(capital), "ς\ue000", "σı")
 
 
 def normalize_page(text: Column) -> Column:

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import unicodedata
 
 from pyspark.sql import functions as F
 
@@ -42,8 +43,9 @@ def test_casefold_is_that_of_unicode(spark):
     codes = [c for c in range(0x20, 0x2FFFF) if not 0xD800 <= c <= 0xDFFF and not 0xE000 <= c <= 0xF8FF]
     rows = spark.createDataFrame([(chr(c), chr(c).casefold()) for c in codes], "c string, f string")
     odd = rows.filter(text.casefold(F.col("c")) != F.col("f")).collect()
-    # Cherokee folds to capitals; what else differs are letters newer than the runtime, or signs of their own case.
-    assert not [r["c"] for r in odd if r["c"] < "\u1fff" and not "\u13a0" <= r["c"] <= "\u13fd"] and len(odd) < 300
+    # Cherokee folds to capitals, both its cases alike; other letters that differ are unknown to one side's Unicode version.
+    others = [r["c"] for r in odd if not ("\u13a0" <= r["c"] <= "\u13fd" or "\uab70" <= r["c"] <= "\uabbf") and unicodedata.category(r["c"]) != "Cn"]
+    assert not others, [hex(ord(c)) for c in others]
     assert one(spark, text.casefold, "STRASSE Straße ẞ ΟΔΟΣ ıI") == "strasse strasse ss οδοσ ıi"
 
 
