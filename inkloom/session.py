@@ -58,6 +58,12 @@ def ship_package(spark: SparkSession) -> None:
     context.addPyFile(str(archive))  # served to the executors by the driver
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder of the shared file system holds."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return [x.getPath().getName() for x in place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)]
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared file system that is no longer needed."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
