@@ -31,6 +31,8 @@ DOTTED_SHARE = 0.05
 #: Last lines that close a text without an end mark: ornaments, notes in brackets, bullets, credits, rows of a table.
 CLOSING_LINE = r"(?U)^\s*(?:[\[(（【].*[\])）】]|[*#~=_\-–—·\s]+|[-•*–—]+\s.*|\d+[.)]\s.*|.*\t.*)\s*$"
 _BLANK = r"(?U)^\s*$"
+#: Last characters in which an end is looked for first.
+SEEN = 400
 #: Share of a source's texts that a line must end to close them, the least such texts, and how many it must end for each one in which a line goes on after it.
 CLOSING_SHARE, CLOSING_TEXTS, CLOSING_RATIO = 0.005, 3, 10
 
@@ -87,18 +89,27 @@ def longer_copies(df: DataFrame, text: str, partitions: int | None = None) -> Da
     ordered = distinct.select("text").repartitionByRange(count, "text").sortWithinPartitions("text")
     rows = ordered.select(F.spark_partition_id().alias("part"), *_text_hashes(F.col("text")), "text").mapInPandas(_neighbours, "part int, h1 long, h2 long, goes_on string, edge int, shown string")
     rows = cut_lineage(rows.filter("goes_on is not null or edge > 0"))  # fixed once: the edges must be those of the same partitions
-    w = Window.orderBy("part", "edge")
-    edges = rows.filter("edge > 0").withColumn("next", F.lead("shown").over(w)).filter("edge = 2")
+    # The partition before each one: numbers only, one row a partition. Texts are then matched by it.
+    before = rows.filter("edge = 1").select("part").withColumn("before", F.lag("part").over(Window.orderBy("part")))
+    firsts = rows.filter("edge = 1").join(before, "part").select(F.col("before").alias("part"), F.col("shown").alias("next")).filter("part is not null")
+    edges = rows.filter("edge = 2").join(firsts, "part")
     joined = edges.filter((F.length("next") > F.length("shown")) & F.startswith("next", F.col("shown"))).withColumn("goes_on", F.expr("substring(next, length(shown) + 1, 1)"))
-    return rows.filter("edge = 0").select("h1", "h2", "goes_on").unionByName(joined.select("h1", "h2", "goes_on"))
+    return rows.filter("edge = 0 and goes_on is not null").select("h1", "h2", "goes_on").unionByName(joined.select("h1", "h2", "goes_on"))
 
 
 def _ends(rows: DataFrame) -> DataFrame:
-    """Adds how each text ends; only the last characters are searched."""
+    """Adds how each text ends.
+
+    Patterns of the end see the last ``SEEN`` characters; where these don't hold
+    the beginning of the last word, a mark of omission set aside, they see the
+    whole text, so nothing that lies further back is missed.
+    """
     rows = rows.withColumn("_core", F.rtrim(F.col("text"), F.lit(" \t\r\n\x0b\x0c\x85\u00a0\u2028\u2029\u3000")))
-    rows = rows.withColumn("_tail", F.right("_core", F.lit(400))).withColumn("_base", F.regexp_replace("_tail", OMISSION, ""))
+    near = F.right("_core", F.lit(SEEN))
+    enough = (F.length("_core") <= SEEN) | F.regexp_replace(near, r"(?i)(?:read more|continue reading|more)\s*$", "").rlike(r"(?sU)\W.*[\p{L}\p{N}]")
+    rows = rows.withColumn("_tail", F.when(enough, near).otherwise(F.col("_core"))).withColumn("_base", F.regexp_replace("_tail", OMISSION, ""))
     tail, base = F.col("_tail"), F.col("_base")
-    last = F.substring_index(F.regexp_replace(F.right("_core", F.lit(4000)), r"\r\n?", "\n"), "\n", -2)
+    last = F.substring_index(F.when(F.contains("_core", F.lit("\r")), F.regexp_replace("_core", r"\r\n?", "\n")).otherwise(F.col("_core")), "\n", -2)
     return rows.withColumns(
         {
             "n_chars": F.length("text"),
@@ -108,29 +119,31 @@ def _ends(rows: DataFrame) -> DataFrame:
             "broken": tail.endswith("�"),
             "sure_mark": tail.rlike(SURE_OMISSION) & ~base.rlike(CLOSED),
             "dots_after": F.nullif(F.lower(F.regexp_extract(tail, r"(?U)(\w+)…\s*$", 1)), F.lit("")),
-            "last_line": F.substring_index(last, "\n", -1),
-            "line_before": F.when(last.contains("\n"), F.substring_index(last, "\n", 1)),
+            "_last": last,
         }
-    )
+    ).withColumns({"last_line": F.substring_index("_last", "\n", -1), "line_before": F.when(F.contains("_last", F.lit("\n")), F.substring_index("_last", "\n", 1))})
 
 
-def _closing_lines(rows: DataFrame, ends: DataFrame) -> DataFrame:
-    """Open last lines that close texts by custom: (``last_line``, ``texts_ended``).
+def _closing_lines(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """Open last lines that close texts by custom: (``line_hash``, ``texts_ended``).
 
-    Such a line ends a fixed share of a source's distinct texts, and next to no
-    text has a line that begins with it and goes on, as lines do that begin like
-    the stub left by a cut.  Both are ratios, so the size of the corpus doesn't
-    matter; the share leaves at most 200 lines a source to look for.
+    ``texts`` has one row for each text of a source.  Such a line ends a fixed
+    share of a source's texts, and next to no text has a line that begins with it
+    and goes on, as lines do that begin like the stub left by a cut.  Both are
+    ratios of exact counts, so the size of the corpus doesn't matter; the share
+    leaves at most 200 lines a source to look for.
     """
-    texts = ends.groupBy("src").agg(F.approx_count_distinct("h1", 0.05).alias("texts"))
-    ended = ends.filter(~F.col("closed") & (F.length("last_line") <= 80)).groupBy("src", "last_line").agg(F.approx_count_distinct("h1", 0.05).alias("n"))
+    sizes = texts.groupBy("src").agg(F.count(F.lit(1)).alias("texts"))
+    ended = texts.filter("not closed").groupBy("src", "line_hash").agg(F.count(F.lit(1)).alias("n"))
     often = (F.col("n") >= CLOSING_TEXTS) & (F.col("n") >= CLOSING_SHARE * F.col("texts"))
-    ended = ended.join(F.broadcast(texts), "src").groupBy("last_line").agg(F.sum("n").alias("texts_ended"), F.max(often).alias("often"))
-    found = cut_lineage(ended.filter("often").drop("often"))
+    # One row a source; their number is checked.
+    ended = ended.join(broadcast_if_small(sizes), "src").groupBy("line_hash").agg(F.sum("n").alias("texts_ended"), F.max(often).alias("often"))
+    found = broadcast_if_small(ended.filter("often").drop("often"))
+    shown = broadcast_if_small(texts.filter("not closed").join(found, "line_hash").groupBy("line_hash").agg(F.first("last_line").alias("last_line")))
     lines = rows.select(F.xxhash64("text").alias("h1"), F.explode(F.split("text", r"\r\n?|\n")).alias("line")).withColumn("line", F.rtrim("line"))
     same = (F.left("line", F.lit(1)) == F.left("last_line", F.lit(1))) & (F.length("line") > F.length("last_line")) & F.startswith("line", F.col("last_line"))
-    longer = lines.join(broadcast_if_small(found.select("last_line")), same).groupBy("last_line").agg(F.approx_count_distinct("h1", 0.05).alias("longer"))
-    return found.join(longer, "last_line", "left").filter(F.col("texts_ended") >= CLOSING_RATIO * F.coalesce("longer", F.lit(0))).select("last_line", "texts_ended")
+    longer = lines.join(shown, same).select("line_hash", "h1").distinct().groupBy("line_hash").agg(F.count(F.lit(1)).alias("longer"))
+    return found.join(longer, "line_hash", "left").filter(F.col("texts_ended") >= CLOSING_RATIO * F.coalesce("longer", F.lit(0))).select("line_hash", "texts_ended")
 
 
 def _dotted_words(rows: DataFrame, ends: DataFrame) -> DataFrame:
@@ -147,17 +160,17 @@ def _dotted_words(rows: DataFrame, ends: DataFrame) -> DataFrame:
     return counts.filter((F.col("dotted") > 0) & (F.col("dotted") >= DOTTED_SHARE * F.col("ended"))).select("dots_after", "dotted")
 
 
-def _limits(rows: DataFrame, size: str) -> DataFrame:
-    """Sizes at which the open-ended texts of a source pile up: (``src``, size).
+def _limits(texts: DataFrame, size: str) -> DataFrame:
+    """Sizes at which the texts given, one row for each of a source, pile up: (``src``, size).
 
-    A size is a limit if at least five distinct texts have it and eight times as
-    many as the ten sizes on either side have on average.  Texts without a source
-    are held against the limits of all sources.
+    A size is a limit if at least five texts have it and eight times as many as
+    the ten sizes on either side have on average.  Texts without a source are held
+    against the limits of all sources.
     """
-    counts = rows.filter(F.col(size).isNotNull()).groupBy("src", size).agg(F.approx_count_distinct("h1", 0.05).alias("n")).filter("n > 0")
+    counts = texts.groupBy("src", size).agg(F.count(F.lit(1)).alias("n"))
     near = Window.partitionBy("src").orderBy(size).rangeBetween(-10, 10)
     found = counts.withColumn("around", (F.sum("n").over(near) - F.col("n")) / 20).filter("n >= 5 and n >= 8 * around").select("src", size)
-    return found.unionByName(found.select(F.lit("").alias("src"), size)).distinct()
+    return broadcast_if_small(found.unionByName(found.select(F.lit("").alias("src"), size)).distinct())
 
 
 def truncation_evidence(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
@@ -180,39 +193,55 @@ def truncation_evidence(df: DataFrame, key: str, text: str, source: str) -> Data
     table, notes in brackets, signatures, and lines that close texts by custom)
     are not the middle of a sentence; a size or a longer text can still show
     that they were cut.
+
+    How a text ends is found out once and written without the text.  All counts
+    are exact, over one row for each text of a source.  The tables of words, lines
+    and sizes found are broadcast where they are small; beyond it rows without a
+    key are spread by their hash, so that none meets another.
     """
     rows = df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.coalesce(F.col(source), F.lit("")).alias("src"), F.col(text).alias("text"))
     shown = F.coalesce(~F.col("text").rlike(_BLANK), F.lit(False))
     prefixes = longer_copies(rows, "text")
-    ends = _ends(rows.filter(shown)).withColumns(dict(zip(("h1", "h2"), _text_hashes(F.col("text"))))).drop("text", "_core", "_tail", "_base")
-    ends = cut_lineage(ends)  # no texts any more, read several times below
-    dotted = _dotted_words(rows.filter(shown), ends)
-    open_now = ~F.col("closed")
-    lines = _closing_lines(rows.filter(shown), ends)
-    ends = ends.join(dotted, "dots_after", "left").join(lines, "last_line", "left").join(prefixes, ["h1", "h2"], "left")
     signed = F.coalesce((F.length("line_before") <= 30) & F.col("line_before").rlike(r"(?U)^\w[\w ]*,$") & (F.length("last_line") <= 40), F.lit(False))
-    closing = F.col("last_line").rlike(CLOSING_LINE) | F.col("texts_ended").isNotNull() | signed
-    # A word that sentences don't end in with an ellipsis: the ellipsis stands for what was cut.
-    marked = F.coalesce(F.col("sure_mark") | (F.col("dots_after").isNotNull() & F.col("dotted").isNull()), F.lit(False))
-    ends = ends.withColumns({"omission": marked, "closing": closing, "open_end": open_now})
-    hanging = ends.filter("open_end and not closing")
+    # Without a source, only a line that holds a finished sentence before its open end is taken for prose.
+    prose = (F.col("src") != "") | F.col("last_line").rlike(r"(?U)[.!?…。！？][\"'”’」]*\s+[\p{Lu}“\"「‘\p{IsHan}]")
+    ends = _ends(rows.filter(shown)).withColumns(dict(zip(("h1", "h2"), _text_hashes(F.col("text")))))
+    ends = ends.withColumns({"ornament": F.col("last_line").rlike(CLOSING_LINE) | signed, "prose": prose, "line_hash": F.xxhash64("last_line")})
+    ends = ends.withColumn("last_line", F.when(~F.col("closed"), F.col("last_line")))
+    ends = cut_lineage(ends.drop("text", "_core", "_tail", "_base", "_last", "line_before"))  # no texts any more, read several times below
+    texts = cut_lineage(ends.drop("key", "source").distinct())  # one row for each text of a source: all else follows from these
+    dotted = broadcast_if_small(_dotted_words(rows.filter(shown), texts).withColumnRenamed("dots_after", "word"))
+    lines = broadcast_if_small(_closing_lines(texts, rows.filter(shown)))
+
+    def judged(x: DataFrame) -> DataFrame:
+        spread = F.concat(F.lit("\x00"), F.col("h1").cast("string"))
+        x = x.withColumn("word", F.coalesce("dots_after", spread)).join(dotted, "word", "left").join(lines, "line_hash", "left")
+        # A word that sentences don't end in with an ellipsis: the ellipsis stands for what was cut.
+        marked = F.coalesce(F.col("sure_mark") | (F.col("dots_after").isNotNull() & F.col("dotted").isNull()), F.lit(False))
+        return x.withColumns({"omission": marked, "closing": F.col("ornament") | F.col("texts_ended").isNotNull()}).drop("word", "dotted", "dots_after", "texts_ended", "last_line", "ornament", "sure_mark")
+
+    texts = cut_lineage(judged(texts).select("src", "n_chars", "n_bytes", "base_chars", "closed", "closing"))
+    hanging = texts.filter("not closed and not closing")
     by_chars = _limits(hanging, "n_chars").withColumn("c1", F.lit(True))
     by_bytes = _limits(hanging, "n_bytes").withColumn("c2", F.lit(True))
-    by_base = _limits(ends.filter("base_chars is not null"), "base_chars").withColumn("c3", F.lit(True))
-    ends = ends.join(by_chars, ["src", "n_chars"], "left").join(by_bytes, ["src", "n_bytes"], "left").join(by_base, ["src", "base_chars"], "left")
-    at_limit = F.coalesce(F.col("c1"), F.col("c2"), F.lit(False)) & F.col("open_end")
-    at_limit = at_limit | F.coalesce(F.col("c3"), F.lit(False))
-    ends = ends.withColumn("at_limit", at_limit).withColumn("unfinished", F.col("open_end") & ~F.col("closing") & ~F.col("at_limit"))
+    by_base = _limits(texts.filter("base_chars is not null"), "base_chars").withColumnRenamed("base_chars", "base").withColumn("c3", F.lit(True))
+
+    def placed(x: DataFrame) -> DataFrame:
+        spread = -F.pmod(F.hash("src", "n_chars", "n_bytes"), F.lit(1 << 30)) - 1
+        x = x.withColumn("base", F.coalesce("base_chars", spread))
+        x = x.join(by_chars, ["src", "n_chars"], "left").join(by_bytes, ["src", "n_bytes"], "left").join(by_base, ["src", "base"], "left")
+        limit = (F.coalesce("c1", "c2", F.lit(False)) & ~F.col("closed")) | F.coalesce("c3", F.lit(False))
+        return x.withColumn("at_limit", limit).withColumn("unfinished", ~F.col("closed") & ~F.col("closing") & ~F.col("at_limit")).drop("c1", "c2", "c3", "base")
+
+    ends = placed(judged(ends))
     # Sources in which most texts end open by habit, as posts do, show nothing by an open end.
     habits = ends.groupBy("src").agg((F.avg(F.col("unfinished").cast("int")) > 0.5).alias("open_habit"))
-    ends = ends.join(habits, "src", "left")
-    goes_on = F.coalesce(~F.col("goes_on").isin("\n", "\r"), F.lit(False)) & F.col("open_end")
-    # Without a source, only a line that holds a finished sentence before its open end is taken for prose.
-    prose = (F.col("src") != "") | F.col("last_line").rlike(r"(?U)[.!?…。！？][\"'”’」]*\s+[\p{Lu}“\"「‘\p{IsHan}]")
-    truncated = F.col("broken") | F.col("omission") | F.col("at_limit") | goes_on | (F.col("unfinished") & ~F.col("open_habit") & prose)
+    ends = ends.join(broadcast_if_small(habits), "src", "left").join(prefixes, ["h1", "h2"], "left")
+    goes_on = F.coalesce(~F.col("goes_on").isin("\n", "\r"), F.lit(False)) & ~F.col("closed")
+    truncated = F.col("broken") | F.col("omission") | F.col("at_limit") | goes_on | (F.col("unfinished") & ~F.col("open_habit") & F.col("prose"))
     flags = ["truncated", "longer_copy", "at_limit", "omission", "open_end"]
     blank = rows.filter(~shown).select(F.col("key").alias(key), F.col("source").alias(source), *(F.lit(False).alias(f) for f in flags))
-    seen = ends.select(F.col("key").alias(key), F.col("source").alias(source), truncated.alias("truncated"), goes_on.alias("longer_copy"), "at_limit", "omission", "open_end")
+    seen = ends.select(F.col("key").alias(key), F.col("source").alias(source), truncated.alias("truncated"), goes_on.alias("longer_copy"), "at_limit", "omission", (~F.col("closed")).alias("open_end"))
     return seen.unionByName(blank)
 
 
