@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 LEGACY = ("latin-1", "cp1252", "mac_roman", "cp1251", "cp1250", "cp437", "cp850", "cp1254", "iso8859_15", "cp866", "koi8_r")
 # Fixed values: (read as, written as) among single-byte encodings.
 SWAPS = (("mac_roman", "cp1252"), ("cp1252", "mac_roman"), ("latin-1", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1252", "cp850"), ("cp1252", "cp437"), ("cp1250", "cp1252"), ("cp1251", "cp1252"))
-LAYERS = 5
 _QUOTES_OPEN, _QUOTES_CLOSE = "“‘„«", "”»"
 _USUAL = set("“”‘’„«»—–…·€£¥§°¿¡•™®©×÷†‡′″←→★☆♪♥")
 
@@ -52,11 +51,12 @@ def _utf8_pattern(codec: str) -> regex.Pattern:
 
 _UTF8 = {codec: _utf8_pattern(codec) for codec in LEGACY}
 
-#: Texts that may be garbled: two foreign characters side by side, a control or replacement character, a
-#: symbol, a capital after a small letter, or a letter that a quotation mark or dash may have become.
+#: Texts that may be garbled: at a foreign character, another one beside it, a control or replacement character, a
+#: symbol, a capital after a small letter, or a letter that a quotation mark or dash may have become.  Everything is
+#: asked at the foreign character, so a pattern that meets none passes over plain text at once.
 SUSPECT = (
-    r"[^\x00-\x7f]{2}|[\x80-\x9f�]|\p{Ll}[\p{Lu}&&[^\x00-\x7f]]|\p{Lu}[\p{Lu}&&[^\x00-\x7f]]\p{Ll}|[[\p{S}\p{C}]&&[^\x00-\x7f€\xad]]|[ìîíëÒÓÕÐ†‡•‹›»«¿¡]"
-    r"|[\p{L}&&[^\x00-\x7f]][“„]|\p{L}[–]\p{L}|(?<![\p{L}\p{N}])[\p{L}&&[^\x00-\x7f]](?![\p{L}\p{N}])|[.,!?][\p{L}&&[^\x00-\x7f]]"
+    r"[^\x00-\x7f](?:(?=[^\x00-\x7f])|(?<=[\x80-\x9f�ìîíëÒÓÕÐ†‡•‹›»«¿¡])|(?<=[[\p{S}\p{C}]&&[^€\xad]])|(?<=\p{Ll}\p{Lu})|(?<=\p{Lu}\p{Lu})(?=\p{Ll})"
+    r"|(?<=\p{L}–)(?=\p{L})|(?<=[.,!?]\p{L})|(?<=\p{L})(?<![\p{L}\p{N}].)(?![\p{L}\p{N}]))"
 )
 
 
@@ -214,9 +214,13 @@ def _undo_swap(text: str, pair: tuple[str, ...]) -> str:
 
 
 def repair(text: str) -> tuple[str, int, bool]:
-    """The text restored as far as possible, the number of layers undone, and whether signs of garbling remain."""
+    """The text restored as far as possible, the number of layers undone, and whether signs of garbling remain.
+
+    Every layer undone makes the text shorter or its cost lower, so this ends
+    however many layers there are.
+    """
     layers = 0
-    for _ in range(LAYERS):
+    while True:
         now, best, best_cost = cost(text), text, None
         if now == 0 and text.isascii():
             break
