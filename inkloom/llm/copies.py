@@ -2,7 +2,8 @@
 
 Incremental ledger: canonical keys are counted in buckets; each new batch is
 aggregated first, then full-outer-joined with the matching buckets only; counts
-add up and the earliest representative stays.
+add up and the earliest representative stays. Rows are keyed once, and what was
+keyed is written and serves for the batches and the result.
 """
 
 from __future__ import annotations
@@ -15,16 +16,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkloom.session import remove_folder, shared_folder
+from inkloom.session import cut_lineage, folder_names, remove_folder, shared_folder
 
 _MARK = r"\p{M}"
 #: Between two fields of a record: a separator that a field name follows.
 _FIELD_CUT = r"(?U)\s*[|;,\n\t]\s*(?=\w[\w \-]{0,60}?\s*[:=])"
 
 
-def letters_and_digits(text: Column) -> Column:
-    """Lower case, nothing but letters, digits and the accents on them; empty for null."""
-    return F.coalesce(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}]+", ""), F.lit(""))
+def letters_and_digits(text: Column, keep: str = "") -> Column:
+    """Lower case, nothing but letters, digits, the accents on them and the characters to ``keep``; empty for null."""
+    return F.coalesce(F.regexp_replace(F.lower(text), rf"[^\p{{L}}\p{{M}}\p{{N}}{keep}]+", ""), F.lit(""))
 
 
 @F.pandas_udf(T.StringType())
@@ -32,15 +33,16 @@ def _composed(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-def compose(df: DataFrame, *columns: str) -> DataFrame:
-    """Columns in composed form. Only rows that hold a combining mark visit Python."""
-    marked = F.lit(False)
-    for c in columns:
-        marked = marked | F.coalesce(F.col(c).rlike(_MARK), F.lit(False))
-    plain, odd = df.filter(~marked), df.filter(marked)
-    for c in columns:
-        odd = odd.withColumn(c, _composed(F.col(c)))
-    return plain.unionByName(odd)
+def compose(df: DataFrame, column: str) -> DataFrame:
+    """A column in composed form. Only rows that hold a combining mark visit Python; ASCII ones aren't even searched for it."""
+    text = F.col(column)
+    marked = F.coalesce((F.octet_length(text) != F.length(text)) & text.rlike(_MARK), F.lit(False))
+    return df.filter(~marked).unionByName(df.filter(marked).withColumn(column, _composed(text)))
+
+
+def joined_fields(*fields: str) -> Column:
+    """Several fields as one text, null as empty, with a control character between them."""
+    return F.concat_ws("\u0001", *(F.coalesce(F.translate(f, "\u0001", ""), F.lit("")) for f in fields))
 
 
 def record_key(record: Column) -> Column:
@@ -66,18 +68,22 @@ def record_key(record: Column) -> Column:
     return F.coalesce(F.nullif(joined, F.lit("")), letters_and_digits(text))
 
 
-def keyed(df: DataFrame, table: str, id_col: str, book: str, key: Column) -> DataFrame:
-    """Rows as (``table_name``, ``id``, ``key``): the key is a 256-bit hash of table, book and canonical text.
+def keyed(df: DataFrame, table: str, id_col: str, book: str, key: Column, at: str | None = None) -> DataFrame:
+    """Rows as (``table_name``, ``id``, ``k1``, ``k2``, ``at``): the key is a 128-bit hash of table, book and canonical text.
 
     Rows without a book, or whose canonical text is empty, have no copies and
     are left out.
     """
-    canonical = key
-    return df.filter(F.col(book).isNotNull()).select(
-        F.lit(table).alias("table_name"),
-        F.col(id_col).cast("long").alias("id"),
-        F.when(F.length(F.translate(canonical, "\u0001\u0002", "")) > 0, F.sha2(F.concat_ws("\u0003", F.lit(table), F.col(book).cast("string"), canonical), 256)).alias("key"),
-    ).filter(F.col("key").isNotNull())
+    rows = df.filter(F.col(book).isNotNull()).select(
+        F.lit(table).alias("table_name"), F.col(id_col).cast("long").alias("id"), F.col(book).cast("string").alias("_book"), key.alias("_key"), (F.col(at) if at else F.lit(None)).cast("timestamp").alias("at")
+    )
+    rows = rows.filter(F.length(F.translate("_key", "\u0001\u0002", "")) > 0)
+    return rows.select("table_name", "id", F.xxhash64("table_name", "_book", "_key").alias("k1"), F.xxhash64(F.lit("second"), "_key", "_book", "table_name").alias("k2"), "at")
+
+
+def bucket_count(rows: int, tasks: int) -> int:
+    """Buckets for so many rows: enough to keep ``tasks`` tasks busy where there is work for them, never more than ten million rows each."""
+    return max(1, -(-rows // 10_000_000), min(tasks, rows // 100_000))
 
 
 class Ledger:
@@ -86,13 +92,14 @@ class Ledger:
     A bucket is a folder of Parquet files.  ``ingest`` writes each touched bucket
     anew in the next version and carries the others over by name only; a version
     is listed when all its buckets are there, so a job that dies leaves the
-    former one in force.  ``buckets`` is to grow with the data, so that a bucket
-    of keys suits one task; it never depends on how often a key occurs.
+    former one in force.  ``buckets`` is chosen by ``bucket_count``, so that a
+    bucket of keys suits one task; how often a key occurs doesn't matter, as a
+    batch is counted before it is moved.
     """
 
-    SCHEMA = "table_name string, key string, first_id long, copies long"
+    SCHEMA = "table_name string, k1 long, k2 long, first_id long, copies long"
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int = 16) -> None:
+    def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int = 1) -> None:
         self.spark = spark
         self.folder = folder or f"{shared_folder(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}"
         self.buckets = buckets
@@ -105,36 +112,44 @@ class Ledger:
         return self.spark.read.schema(self.SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], self.SCHEMA)
 
     def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int")
+        return F.pmod("k1", F.lit(self.buckets)).cast("int")
 
     def ingest(self, batch: DataFrame) -> None:
-        """Adds a batch of (``table_name``, ``id``, ``key``) rows.
+        """Adds a batch of (``table_name``, ``id``, ``k1``, ``k2``) rows.
 
         The batch is aggregated before it is shuffled, so a key that holds a
         third of the rows arrives as one row per task.
         """
-        new = batch.groupBy("key").agg(F.first("table_name").alias("t"), F.min("id").alias("i"), F.count(F.lit(1)).alias("n"))
+        keys = ["k1", "k2", "table_name"]
+        new = batch.groupBy(*keys).agg(F.min("id").alias("i"), F.count(F.lit(1)).alias("n"))
+        touched = list(range(self.buckets))
+        if self.paths:
+            # Worked out once, so that neither the list of buckets nor the join reads the source again.
+            new = cut_lineage(new)
+            touched = sorted(r["b"] for r in new.select(self._bucket().alias("b")).distinct().collect())
+            if not touched:
+                return
+            old = self.read([b for b in touched if b in self.paths])
+            merged = old.join(new, keys, "full_outer").select(
+                *keys,
+                F.coalesce(F.least("first_id", "i"), "first_id", "i").alias("first_id"),
+                (F.coalesce("copies", F.lit(0)) + F.coalesce("n", F.lit(0))).cast("long").alias("copies"),
+            )
+        else:
+            merged = new.select(*keys, F.col("i").alias("first_id"), F.col("n").alias("copies"))
         self.version += 1
-        staged, target = f"{self.folder}/batch{self.version}", f"{self.folder}/v{self.version}"
-        # Written once, so that neither the list of buckets nor the join reads the source again.
-        new.withColumn("bucket", self._bucket()).repartition(self.buckets, "bucket").write.mode("overwrite").parquet(staged)
-        new = self.spark.read.schema("key string, t string, i long, n long, bucket int").parquet(staged)
-        touched = sorted(r["bucket"] for r in new.select("bucket").distinct().collect())
-        if not touched:
-            return
-        old = self.read(touched).alias("o")
-        merged = old.join(new.drop("bucket").alias("b"), F.col("o.key") == F.col("b.key"), "full_outer").select(
-            F.coalesce("o.table_name", "b.t").alias("table_name"),
-            F.coalesce("o.key", "b.key").alias("key"),
-            F.coalesce(F.least("o.first_id", "b.i"), F.col("o.first_id"), F.col("b.i")).alias("first_id"),
-            (F.coalesce("o.copies", F.lit(0)) + F.coalesce("b.n", F.lit(0))).cast("long").alias("copies"),
-        )
-        merged.withColumn("bucket", self._bucket()).repartition(self.buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
-        self.paths |= {b: f"{target}/bucket={b}" for b in touched}
-        remove_folder(self.spark, staged)
+        target = f"{self.folder}/v{self.version}"
+        merged.withColumn("bucket", self._bucket()).repartitionById(self.buckets, F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(target)
+        written = [n for n in folder_names(self.spark, target) if n.startswith("bucket=")]
+        self.paths |= {int(n.removeprefix("bucket=")): f"{target}/{n}" for n in written}
+
+    def remove(self) -> None:
+        """Deletes all that the ledger wrote."""
+        remove_folder(self.spark, self.folder)
+        self.paths = {}
 
 
-def ledger_of(spark: SparkSession, batches: list[DataFrame], folder: str | None = None, buckets: int = 16) -> Ledger:
+def ledger_of(spark: SparkSession, batches: list[DataFrame], folder: str | None = None, buckets: int = 1) -> Ledger:
     """A ledger that has taken in all batches in turn."""
     ledger = Ledger(spark, folder, buckets)
     for batch in batches:
@@ -142,7 +157,16 @@ def ledger_of(spark: SparkSession, batches: list[DataFrame], folder: str | None
     return ledger
 
 
+def by_arrival(rows: DataFrame) -> list[DataFrame]:
+    """Keyed rows as two batches in the order of their arrival: up to the middle of the time they span, those without a time among them, and after it."""
+    ends = rows.agg(F.unix_micros(F.min("at")).alias("lo"), F.unix_micros(F.max("at")).alias("hi")).first()
+    if ends["lo"] is None or ends["lo"] == ends["hi"]:
+        return [rows]
+    late = F.coalesce(F.unix_micros("at") > (ends["lo"] + ends["hi"]) // 2, F.lit(False))
+    return [rows.filter(~late), rows.filter(late)]
+
+
 def copies_of(rows: DataFrame, ledger: Ledger) -> DataFrame:
     """(``table_name``, ``first_id``, ``dup_id``) for every row that isn't the first of its key."""
-    several = ledger.read().filter("copies > 1").select("key", "first_id")
-    return rows.join(several, "key").filter(F.col("id") != F.col("first_id")).select("table_name", "first_id", F.col("id").alias("dup_id"))
+    several = ledger.read().filter("copies > 1").select("k1", "k2", "first_id")
+    return rows.join(several, ["k1", "k2"]).filter(F.col("id") != F.col("first_id")).select("table_name", "first_id", F.col("id").alias("dup_id"))

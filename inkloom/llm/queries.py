@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkloom.llm import copies, garbling, lookalikes, mixing, names, scans, splitting, tokens, truncation
+from inkloom.session import cut_lineage
 from inkloom.session import read_table as table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,29 +57,37 @@ def p3_entities(spark: SparkSession, folder: str) -> DataFrame:
     return _people(spark, folder)
 
 
-def _copy_rows(spark: SparkSession, folder: str) -> list[DataFrame]:
-    """The three tables as batches of keyed rows."""
-    key = copies.letters_and_digits
-    terms = copies.compose(table(spark, folder, "glossary").select("entry_id", "book_id", "source_term"), "source_term")
+def _copy_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of the three tables, keyed."""
     fields = ["chunk_id", "source_term", "proposed_target", "category"]
-    scans = copies.compose(table(spark, folder, "term_scans").select("scan_id", "book_id", *fields), *fields)
-    records = copies.compose(table(spark, folder, "term_records").select("record_id", "book_id", "record_text"), "record_text")
-    return [
-        copies.keyed(terms, "glossary", "entry_id", "book_id", key(F.col("source_term"))),
-        copies.keyed(scans, "term_scans", "scan_id", "book_id", F.concat_ws("\u0001", *(key(F.col(c)) for c in fields))),
-        copies.keyed(records, "term_records", "record_id", "book_id", copies.record_key(F.col("record_text"))),
-    ]
+    terms = table(spark, folder, "glossary").select("entry_id", "book_id", F.col("source_term").alias("_t"), "updated_at")
+    scans = table(spark, folder, "term_scans").select("scan_id", "book_id", copies.joined_fields(*fields).alias("_t"), "loaded_at")
+    records = table(spark, folder, "term_records").select("record_id", "book_id", F.col("record_text").alias("_t"), "received_at")
+    plain = copies.letters_and_digits(F.col("_t"), "\u0001")
+    rows = copies.keyed(copies.compose(terms, "_t"), "glossary", "entry_id", "book_id", plain, "updated_at")
+    rows = rows.unionByName(copies.keyed(copies.compose(scans, "_t"), "term_scans", "scan_id", "book_id", plain, "loaded_at"))
+    return rows.unionByName(copies.keyed(copies.compose(records, "_t"), "term_records", "record_id", "book_id", copies.record_key(F.col("_t")), "received_at"))
+
+
+def _copy_ledger(spark: SparkSession, folder: str) -> tuple[DataFrame, copies.Ledger]:
+    rows = cut_lineage(_copy_rows(spark, folder))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return rows, copies.ledger_of(spark, copies.by_arrival(rows), buckets=copies.bucket_count(rows.count(), tasks))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    batches = _copy_rows(spark, folder)
-    ledger = copies.ledger_of(spark, batches)
-    return copies.copies_of(batches[0].unionByName(batches[1]).unionByName(batches[2]), ledger)
+    rows, ledger = _copy_ledger(spark, folder)
+    found = cut_lineage(copies.copies_of(rows, ledger))
+    ledger.remove()
+    return found
 
 
 def p4_counts(spark: SparkSession, folder: str) -> DataFrame:
     """One record of each group of copies with their number."""
-    return copies.ledger_of(spark, _copy_rows(spark, folder)).read().select("table_name", "first_id", "copies")
+    ledger = _copy_ledger(spark, folder)[1]
+    found = cut_lineage(ledger.read().select("table_name", "first_id", "copies"))
+    ledger.remove()
+    return found
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

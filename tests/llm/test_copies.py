@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from inkloom.llm.copies import Ledger, compose, copies_of, keyed, ledger_of, letters_and_digits, record_key
+from inkloom.llm.copies import Ledger, bucket_count, by_arrival, compose, copies_of, joined_fields, keyed, ledger_of, letters_and_digits, record_key
 
 
 def key_of(spark, *texts):
@@ -54,6 +54,26 @@ def test_untouched_buckets_are_carried_over_by_name(spark):
     ledger.ingest(rows_of(spark, [(50, 1, "t1")]))
     assert sum(before[b] == p for b, p in ledger.paths.items()) == 3
     assert ledger.read().agg(F.sum("copies")).first()[0] == 41
+    ledger.remove()
+    assert ledger.read().count() == 0
+
+
+def test_fields_are_kept_apart(spark):
+    df = spark.createDataFrame([("ab", "c"), ("a", "bc"), (None, "abc"), ("abc", None)], "x string, y string")
+    assert [r[0] for r in df.select(letters_and_digits(joined_fields("x", "y"), "\u0001")).collect()] == ["ab\u0001c", "a\u0001bc", "\u0001abc", "abc\u0001"]
+
+
+def test_batches_by_arrival(spark):
+    df = spark.createDataFrame([(1, 1, "a", "2026-01-01"), (2, 1, "A", "2026-01-09"), (3, 1, "a.", None), (4, 1, "b", "2026-01-02"), (5, 1, "B", "2026-01-08")], "id long, book long, t string, at string")
+    rows = keyed(df, "terms", "id", "book", letters_and_digits(F.col("t")), "at")
+    early, late = by_arrival(rows)
+    assert sorted(r["id"] for r in early.collect()) == [1, 3, 4] and sorted(r["id"] for r in late.collect()) == [2, 5]
+    assert sorted(tuple(r) for r in copies_of(rows, ledger_of(spark, [early, late], buckets=3)).collect()) == [("terms", 1, 2), ("terms", 1, 3), ("terms", 4, 5)]
+    assert len(by_arrival(rows.filter("id = 3"))) == 1
+
+
+def test_buckets_grow_with_the_rows():
+    assert [bucket_count(n, 200) for n in (0, 10**5, 10**7, 10**9, 10**12)] == [1, 1, 100, 200, 100_000]
 
 
 def test_empty_batches(spark):
