@@ -28,6 +28,29 @@ def downstream(edges: DataFrame, seeds: DataFrame, most_levels: int = 100_000) -
     return reached
 
 
+def downstream_rows(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, node: str) -> DataFrame:
+    """The rows of ``nodes`` (key ``node``) that depend on ``seeds``, in the columns of ``nodes``."""
+    reached = downstream(edges, seeds).withColumnRenamed("node", node)
+    return nodes.join(reached, node, "left_semi")
+
+
+def graph_problems(nodes: DataFrame, edges: DataFrame, node: str, requires: str, stage: str, stages: list[str]) -> DataFrame:
+    """What keeps tasks and edges from being taken in: (``code``, ``key``), one row each.
+
+    Tasks without an id, ids used twice, stages that are none, edges of a task to
+    itself, and edges one of whose ends is no task.
+    """
+    row = lambda df, code, key: df.select(F.lit(code).alias("code"), key.cast("string").alias("key"))
+    ids = nodes.select(node).distinct()
+    out = row(nodes.filter(F.coalesce(F.trim(node), F.lit("")) == ""), "task_id_missing", F.col(stage))
+    out = out.unionByName(row(nodes.filter(F.length(node) > 0).groupBy(node).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "task_id_repeated", F.col(node)))
+    out = out.unionByName(row(nodes.filter(~F.coalesce(F.col(stage).isin(stages), F.lit(False))), "stage_unknown", F.col(node)))
+    out = out.unionByName(row(edges.filter(F.col(node) == F.col(requires)), "depends_on_itself", F.col(node)))
+    for end in (node, requires):
+        out = out.unionByName(row(edges.join(ids.select(F.col(node).alias(end)), end, "left_anti").select(end).distinct(), "task_unknown", F.col(end)))
+    return out
+
+
 def ready(nodes: DataFrame, edges: DataFrame, node: str, requires: str, done: DataFrame) -> DataFrame:
     """Nodes none of whose prerequisites is unfinished.
 

@@ -81,3 +81,13 @@ def test_plan_of_two_chunks(spark):
     assert [r["task_id"] for r in ready.collect()] == ["metadata"]
     after = graph.ready(nodes, edges, "task_id", "depends_on", spark.createDataFrame([("metadata",)], "depends_on string"))
     assert sorted(r["task_id"] for r in after.collect()) == ["metadata", "terms:1", "terms:2"]
+
+
+def test_graph_problems_and_dependent_rows(spark):
+    nodes = spark.createDataFrame([("a", "terms"), ("b", "qa"), ("b", "qa"), ("c", "cook"), ("", "qa"), (None, "terms")], "task string, stage string")
+    edges = spark.createDataFrame([("b", "a"), ("c", "c"), ("c", "x"), ("y", "a")], "task string, needs string")
+    got = sorted((r["code"], r["key"]) for r in graph.graph_problems(nodes, edges, "task", "needs", "stage", ["terms", "qa"]).collect())
+    assert got == [("depends_on_itself", "c"), ("stage_unknown", "c"), ("task_id_missing", "qa"), ("task_id_missing", "terms"), ("task_id_repeated", "b"), ("task_unknown", "x"), ("task_unknown", "y")]
+    links = spark.createDataFrame([("a", "b"), ("b", "c")], "source string, target string")
+    rows = graph.downstream_rows(nodes, links, spark.createDataFrame([("a",)], "node string"), "task")
+    assert rows.columns == ["task", "stage"] and sorted(r["task"] for r in rows.collect()) == ["b", "b", "c"]
