@@ -47,13 +47,20 @@ def joined(chunks: DataFrame, artifacts: DataFrame, meta: DataFrame, reviews: Da
     return rows.join(options.drop("chosen_kind"), keys, "left")
 
 
+def measured(rows: DataFrame) -> DataFrame:
+    """Adds the paragraphs and headings of source and target, which several rules look at."""
+    rows = rows.withColumns({"source_paragraphs": paragraphs(F.col("source")), "target_paragraphs": paragraphs(F.col("target"))})
+    listed = lambda c, pattern: F.filter(c, lambda p: p.rlike(pattern))
+    return rows.withColumns({"source_headings": listed("source_paragraphs", quality.SOURCE_HEADING), "target_headings": listed("target_paragraphs", quality.TARGET_HEADING)})
+
+
 def _among(value: Column, text: Column) -> Column:
     """Whether a recorded hash is one of the text's own; a missing one isn't."""
     return F.coalesce(F.array_contains(accepted_hashes(text), value), F.lit(False))
 
 
 def rules(simplified: str = "", allowed: dict[str, list[str]] | None = None) -> dict[str, tuple[Column | None, Column]]:
-    """Conditions over the rows of ``joined``; nothing but the first two applies without a target."""
+    """Conditions over the rows of ``measured(joined)``; nothing but the first two applies without a target."""
     target, draft, meta, review = F.col("target"), F.col("draft"), F.col("meta"), F.col("review")
     bad_meta, bad_review = F.coalesce(meta["invalid"], F.lit(False)), F.coalesce(review["invalid"], F.lit(False))
     has, has_meta, has_review = target.isNotNull(), meta.isNotNull() & ~bad_meta, review.isNotNull() & ~bad_review
@@ -64,9 +71,9 @@ def rules(simplified: str = "", allowed: dict[str, list[str]] | None = None) ->
     review_fits = F.when(bound, F.coalesce(review["translation_sha256"] == meta["review_input_sha256"], F.lit(False))).otherwise(_among(review["translation_sha256"], review_text))
     origin = F.coalesce(meta["input_hash"], meta["review_input_sha256"])
     expected = F.col("expected_input")
-    own, other = quality.headings(F.col("source"), quality.SOURCE_HEADING), quality.headings(target, quality.TARGET_HEADING)
+    ours, theirs, own, other = (F.col(c) for c in ("source_paragraphs", "target_paragraphs", "source_headings", "target_headings"))
     checked = has & ~F.coalesce(F.col("skip_headings"), F.lit(False))
-    first = lambda c: F.get(paragraphs(c), F.lit(0))
+    first = lambda c: F.get(c, F.lit(0))
     out = {
         "build_source_hash_mismatch": (~_among(F.col("source_sha256"), F.col("source")), F.col("source_sha256")),
         "translation_missing": (~has, none),
@@ -90,10 +97,10 @@ def rules(simplified: str = "", allowed: dict[str, list[str]] | None = None) ->
         "reviewed_input_hash_missing": (has & reviewed & origin.isNull(), none),
         "reviewed_input_hash_mismatch": (has & reviewed & expected.isNotNull() & (origin != expected), origin),
         "meta_input_hash_mismatch": (has & ~reviewed & expected.isNotNull() & ~meta["input_hash"].eqNullSafe(expected), meta["input_hash"]),
-        "paragraph_count_mismatch": (has & quality.paragraph_mismatch(F.col("source"), target, F.col("paragraphs")), F.concat_ws(",", F.size(paragraphs(F.col("source"))), F.size(paragraphs(target)))),
+        "paragraph_count_mismatch": (has & quality.counts_mismatch(F.size(ours), F.size(theirs), F.col("paragraphs")), F.concat_ws(",", F.size(ours), F.size(theirs))),
         "chapter_heading_count_mismatch": (checked & (F.size(own) != F.size(other)), F.concat_ws(",", F.size(own), F.size(other))),
-        "source_heading_position": (checked & (F.size(own) > 0) & ~first(F.col("source")).eqNullSafe(F.get(own, F.lit(0))), none),
-        "target_heading_position": (checked & (F.size(other) > 0) & ~first(target).eqNullSafe(F.get(other, F.lit(0))), none),
+        "source_heading_position": (checked & (F.size(own) > 0) & ~first(ours).eqNullSafe(first(own)), none),
+        "target_heading_position": (checked & (F.size(other) > 0) & ~first(theirs).eqNullSafe(first(other)), none),
     }
     return out | {code: (None, F.when(has, details)) for code, (_, details) in quality.text_rules(target, simplified, allowed).items()}
 
@@ -168,7 +175,7 @@ def run_gate(
 ) -> DataFrame:
     """All issues of all books: (``code``, ``key``, ``details``)."""
     rows = joined(chunks, artifacts, meta, reviews, options)
-    found = quality.issues(rows, _key(), rules(simplified, allowed)).unionByName(term_issues(rows, glossary))
+    found = quality.issues(measured(rows), _key(), rules(simplified, allowed)).unionByName(term_issues(rows, glossary))
     return found if books is None else found.unionByName(book_issues(rows, books))
 
 

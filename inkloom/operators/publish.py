@@ -198,6 +198,11 @@ def publish(expected: DataFrame, store: BlockStore, by: str, fail_at: int | None
             raise ConnectionError("the service went away")
         store.write(row[by], row["batch_no"], row["block_count"], row["batch_hash"])
         sent += 1
+    if sent:
+        there = spark.createDataFrame(store.rows(), f"{by} long, batch_no long, block_count long, batch_hash string")
+        left = merge_batches(expected, there, by).filter("state <> 'done'").limit(1).collect()
+        if left:
+            raise ValueError(f"batch {left[0]['batch_no']} of {left[0][by]} was not kept as it was sent")
     return sent
 
 

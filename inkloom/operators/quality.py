@@ -104,7 +104,11 @@ def paragraph_mismatch(source: Column, target: Column, exception: Column | None
     target count without more, or if it gives a reason and every count it names is
     the one found.
     """
-    s, t = F.size(paragraphs(source)), F.size(paragraphs(target))
+    return counts_mismatch(F.size(paragraphs(source)), F.size(paragraphs(target)), exception)
+
+
+def counts_mismatch(s: Column, t: Column, exception: Column | None = None) -> Column:
+    """The same for paragraphs that are counted already."""
     if exception is None:
         return s != t
     named = lambda field, found: F.coalesce(exception[field] == found, F.lit(True))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import unicodedata
 
+from inkloom.operators.packed import DELIMITERS, QUOTES
 from inkloom.operators.provenance import DEPENDENCIES, STAGES
 from inkloom.operators.publish import BATCH_MARK, CALLOUT, ICON
 from inkloom.operators.quality import BRACKETS, COMMON_ENGLISH, NUMBER_WORD, simplified_only
@@ -240,7 +241,39 @@ def _counted(value: str) -> str:
         FROM (SELECT book_id, term_key, {value} AS v, count(*) AS n, min((coalesce(scanned_at, TIMESTAMP '0001-01-01'), scan_id)) AS seen FROM scans WHERE {value} <> '' GROUP BY ALL) GROUP BY ALL"""
 
 
+
+# A value: in quotation marks that close before a delimiter or the end, doubled or lone marks being part of it, or whatever stands before a delimiter.
+_DELIMITER = DELIMITERS.replace("\n", r"\n").replace("\t", r"\t").replace("\r", r"\r")
+_BLANK = r"[ \p{Z}\x{0085}\x{000b}\x{000c}]"
+_VALUE_END = rf"{_BLANK}*(?:[{_DELIMITER}]|$)"
+
+
+def _quoted(a: str, b: str) -> str:
+    doubled = f"{a}{a}|" if a == b else ""
+    return (rf"{a}(?:{doubled}[^{b}]|{b}{_BLANK}*[^{b if a == b else ''}{_DELIMITER}\p{{Z}}])*?{b}{_VALUE_END}").replace("'", "''")
+
+
+def _unquoted(match: str) -> str:
+    """The bare value of what was matched."""
+    body = _strip(f"regexp_replace({match}, '[{_DELIMITER}]$', '')")
+    out = "CASE"
+    for a, b in QUOTES.items():
+        sa, sb = a.replace("'", "''"), b.replace("'", "''")
+        rest = f"substring({body}, 2, length({body}) - 2)"
+        rest = f"replace({rest}, '{sa}{sa}', '{sa}')" if a == b else rest
+        out += f" WHEN length({body}) >= 2 AND left({body}, 1) = '{sa}' AND right({body}, 1) = '{sb}' AND regexp_matches({match}, '(?s)^{_BLANK}*(?:{_quoted(a, b)})$') THEN {rest}"
+    return _strip(f"{out} ELSE {body} END")
+
+
+_PACKED = rf"""
+    WITH c AS (SELECT entry_id, aliases, {_strip("aliases")} AS t FROM characters WHERE {_strip("aliases")} <> ''),
+    l AS (SELECT entry_id, CASE WHEN t LIKE '[%]' AND json_valid(t) THEN list_transform(CAST(json_extract_string(t, '$[*]') AS VARCHAR[]), lambda x: {_strip("x")})
+        ELSE list_transform(regexp_extract_all(aliases, '(?s){_BLANK}*(?:{"|".join(_quoted(a, b) for a, b in QUOTES.items())}|[^{_DELIMITER}]*(?:[{_DELIMITER}]|$))'), lambda m: {_unquoted("m")}) END AS v FROM c),
+    f AS (SELECT entry_id, list_filter(v, lambda x: x <> '') AS v FROM l)
+    SELECT entry_id, CAST(unnest(range(1, len(v) + 1)) AS INTEGER) AS pos, unnest(v) AS alias FROM f"""
+
 SQL: dict[str, str] = {
+    "p6_found": _PACKED,
     "word_stats": f"SELECT chunk_key, {_words('source')} AS words, length(source) AS chars FROM chunks",
     "source_inspection": """
         SELECT book_id, count(*) AS pages, CAST(sum(c) AS BIGINT) AS characters, list_sort(list(c))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS median_characters,

@@ -76,6 +76,10 @@ def test_publication_resumes_and_refuses(spark):
         publish.publish(rows, store, "b", fail_at=1)
     assert len(store.kept) == 1
     assert publish.publish(rows, store, "b") == 2 and publish.publish(rows, store, "b") == 0
+    lossy = publish.BlockStore()
+    lossy.write = lambda *args: publish.BlockStore.write(lossy, *args[:3], "garbled") if args[1] == 2 else publish.BlockStore.write(lossy, *args)
+    with pytest.raises(ValueError, match="not kept"):
+        publish.publish(rows, lossy, "b")
     store.kept[(1, 2)] = (100, "altered")
     with pytest.raises(ValueError, match="changed"):
         publish.publish(rows, store, "b")
