@@ -25,7 +25,7 @@ _FIELD_CUT = r"(?U)\s*[|;,\n\t]\s*(?=\w[\w \-]{0,60}?\s*[:=])"
 
 def letters_and_digits(text: Column, keep: str = "") -> Column:
     """Lower case, nothing but letters, digits, the accents on them and the characters to ``keep``; empty for null."""
-    return F.coalesce(F.regexp_replace(F.lower(text), rf"[^\p{{L}}\p{{M}}\p{{N}}{keep}]+", ""), F.lit(""))
+    return F.coalesce(F.regexp_replace(F.lower(text), rf"[^a-z0-9{keep}\p{{L}}\p{{M}}\p{{N}}]+", ""), F.lit(""))
 
 
 @F.pandas_udf(T.StringType())
