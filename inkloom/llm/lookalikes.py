@@ -2,6 +2,12 @@
 
 Confusables skeleton: decompose, replace every character by its prototype from
 a look-alike table, decompose again.  Texts of equal skeleton look the same.
+
+The table covers letters that look like Latin ones (Greek, Cyrillic, Armenian,
+Cherokee and phonetic letters), dots, hyphens and blanks; forms of width, font
+and size come from the character database.  Letters of other scripts that look
+like one another, digits that look like letters (O and 0, l and 1), and
+simplified and traditional forms are kept apart.
 """
 
 from __future__ import annotations
@@ -13,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkloom.session import cut_lineage
+
 # Letters of other scripts that look like a Latin letter, as
 # "prototype: look-alikes". Letter case is kept apart.
 LETTERS = """
@@ -81,19 +89,18 @@ def consistent(text: str | None) -> str | None:
     return None if text is None else unicodedata.normalize("NFC", skeleton(text))
 
 
-@F.pandas_udf(T.StringType())
-def skeleton_udf(text: pd.Series) -> pd.Series:
-    return text.map(skeleton)
+FORMS = T.StructType([T.StructField("skeleton", T.StringType()), T.StructField("consistent", T.StringType())])
 
 
-@F.pandas_udf(T.StringType())
-def consistent_udf(text: pd.Series) -> pd.Series:
-    return text.map(consistent)
+@F.pandas_udf(FORMS)
+def forms_udf(text: pd.Series) -> pd.DataFrame:
+    seen = text.map(skeleton)
+    return pd.DataFrame({"skeleton": seen, "consistent": seen.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))})
 
 
-def with_skeleton(df: DataFrame, text: str, out: str = "skeleton") -> DataFrame:
-    """``df`` with the skeleton of a column; null for null, empty for what shows nothing."""
-    return df.withColumn(out, skeleton_udf(F.col(text)))
+def with_forms(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with the columns ``skeleton`` and ``consistent`` of a text, both from one visit to Python; null for null, empty for what shows nothing."""
+    return df.withColumn("_forms", forms_udf(F.col(text))).withColumns({"skeleton": F.col("_forms.skeleton"), "consistent": F.col("_forms.consistent")}).drop("_forms")
 
 
 def look_alikes(df: DataFrame, key: str, group: str, text: str) -> DataFrame:
@@ -102,9 +109,9 @@ def look_alikes(df: DataFrame, key: str, group: str, text: str) -> DataFrame:
     Columns: ``key``, ``group``, ``text``, ``skeleton``, ``consistent``,
     ``class_id`` (smallest key of the equal-looking rows of a group) and
     ``forms`` (how many different strings the class has).  Null and empty texts
-    keep their row with a null class.
+    keep their row with a null class.  Forms are worked out once and written.
     """
-    rows = with_skeleton(df.select(key, group, text), text).withColumn("consistent", consistent_udf(F.col(text)))
+    rows = cut_lineage(with_forms(df.select(key, group, text), text))
     shown = F.length("skeleton") > 0
     classes = rows.filter(shown).groupBy(group, "skeleton").agg(F.min(key).alias("class_id"), F.count_distinct(text).alias("forms"))
     return rows.join(classes, [group, "skeleton"], "left").select(key, group, text, "skeleton", "consistent", "class_id", "forms")
@@ -114,13 +121,13 @@ def look_alike_pairs(df: DataFrame, key: str, group: str, text: str) -> DataFram
     """Pairs of keys (``first``, ``second``) whose texts look the same and are not the same string.
 
     Both are of one group; rows with a null group, or a null or empty text, are
-    in no pair, nor are texts that show nothing at all.  Classes with a single
-    spelling are left out by a map-side aggregate before anything is joined, and
-    the pairs of a class come from an equi-join on (group, skeleton), which AQE
-    can split where one class is large.
+    in no pair, nor are texts that show nothing at all.  Skeletons are worked out
+    once and written.  Classes with a single spelling are left out by a map-side
+    aggregate before anything is joined, and the pairs of a class come from an
+    equi-join on (group, skeleton), which AQE can split where one class is large.
     """
-    rows = with_skeleton(df.select(F.col(key).alias("k"), F.col(group).alias("g"), F.col(text).alias("t")).filter(F.col("g").isNotNull() & (F.length("t") > 0)), "t", "s")
-    rows = rows.filter(F.length("s") > 0)
+    rows = df.select(F.col(key).alias("k"), F.col(group).alias("g"), F.col(text).alias("t")).filter(F.col("g").isNotNull() & (F.length("t") > 0))
+    rows = cut_lineage(with_forms(rows, "t").select("k", "g", "t", F.col("skeleton").alias("s")).filter(F.length("s") > 0))
     mixed = rows.groupBy("g", "s").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo <> hi").select("g", "s")
     several = rows.join(mixed, ["g", "s"], "left_semi")
     a, b = several.alias("a"), several.alias("b")

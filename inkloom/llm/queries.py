@@ -27,7 +27,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_forms(spark: SparkSession, folder: str) -> DataFrame:
     """Every target in its consistent form, with its class."""
-    return lookalikes.look_alikes(_targets(spark, folder), "entry_id", "book_id", "target")
+    return lookalikes.look_alikes(_targets(spark, folder), "entry_id", "book_id", "target").drop("skeleton")
 
 
 _SPLIT = ("chunk_key", "source")
