@@ -65,7 +65,10 @@ def mix(sizes: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
     The mean rate of a source is the one at which its granted copies add up to
     its target; with ``max_repeats`` in force, that is more than target by size.
     It is read off the sums of tokens by rate, so the noise of the draw does not
-    move the share. Where even ``max_repeats`` copies of every document do not
+    move the share.  Rates are told apart in ``STEPS`` steps a source, and within
+    the step in which the target is reached copies are granted by a hash; the
+    share is met but for the noise of that one step, about the size of a document
+    for small sources and less than a thousandth for large ones. Where even ``max_repeats`` copies of every document do not
     reach the target, all are drawn. Documents without a source, null or negative
     shares, sources without documents and documents without tokens draw nothing;
     a null ``max_repeats`` counts as 1. A target named twice in a mix counts once,
@@ -89,8 +92,9 @@ def mix(sizes: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
     bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "mix_name", "source", "doc_id"), 11)
     drawn = drawn.withColumn("u", (bits + F.lit(0.5)) / F.lit(float(1 << 53)))
     copies = drawn.select("mix_name", "source", "doc_id", "tokens", "cap", "u").mapInPandas(_thresholds, "mix_name string, source string, doc_id long, tokens long, cap int, copy_no int, rate double")
-    # Rates on a fixed grid: at most STEPS sums for each source and mix.
+    # Rates on a fixed grid: at most STEPS sums for each source and mix. Worked out once, and read for the sums and for the draw.
     copies = copies.withColumn("step", F.floor(F.lit(float(STEPS)) * F.col("rate") / (F.col("rate") + F.col("cap"))).cast("int"))
+    copies = cut_lineage(copies.select("mix_name", "source", "doc_id", "tokens", "copy_no", "step"))
     sums = copies.groupBy("mix_name", "source", "step").agg(F.sum("tokens").alias("added"))
     upto = Window.partitionBy("mix_name", "source").orderBy("step")
     sums = sums.withColumn("after", F.sum("added").over(upto)).join(wanted.select("mix_name", "source", "target"), ["mix_name", "source"])
