@@ -1,9 +1,10 @@
 """Noise in text from scanned pages.
 
 One pass over the texts finds page furniture, broken words and the words they
-are made of. Words are then counted, correction candidates are retrieved by
-joins over an inverted list of character q-grams, and boosted trees rank them;
-boosted trees over line pairs decide which hyphens at line ends break a word.
+are made of. Boosted trees over a line and the one after it decide which lines
+are running headers and page numbers, and which hyphens at line ends break a
+word. Words are counted, correction candidates are retrieved by joins over an
+inverted list of character q-grams, and boosted trees rank them.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,8 +31,11 @@ CONFUSIONS = [
         "l i,i l,1 i,li h,h li,nn m,ni m,m ni,q g,g q,y v,v y,u v,v u,n h,h n,n u,u n,i !,tl d,fi h,iii m,ln m,k lc,j i,i j"
     ).split(",")
 ]
-#: Rows whose words are looked at to find words so common that they need no check.
-SAMPLE_ROWS = 2_000
+#: Texts from which the labelled lines of the furniture classifier are taken, and candidates for the words counted without their book.
+SAMPLE_ROWS = 8_000
+#: A word is common that occurs once in so many texts, in lower case at least one time in five; how much more often than
+#: that it must occur in the sample to be counted without its book.
+COMMON_TEXTS, COMMON_SMALL, COMMON_MARGIN = 100, 0.2, 1.5
 #: Labelled pairs the rankers are fitted on.
 SAMPLE_PAIRS = 6_000
 #: How much more often the right word must occur than the wrong one, in the corpus and in one book.
@@ -48,7 +53,8 @@ _DECOR = r"[^A-Za-z0-9.,;:!?\n]{0,8}"
 _NUMBER_LINE = re.compile(rf"{_DECOR}(?:(?:page|p\.|pg\.?)\s*)?({_DIGITS}|{_ROMAN}){_DECOR}", re.I)
 _NUMBER_BESIDE = re.compile(rf"\s*(?:({_DIGITS}|{_ROMAN})\s{{2,}}(?P<after>\S.*)|(?P<before>\S.*?)\s{{2,}}({_DIGITS}|{_ROMAN}))\s*")
 
-_CAPITALS = re.compile(r"\s*(?:\d+\s{2,})?[^\W\da-z_]{2,}(?:['’.-]?[^\W\da-z_]+)*(?: [^\W\da-z_]{2,}(?:['’.-]?[^\W\da-z_]+)*)+(?:\s{2,}\d+)?\s*")
+_NAME_PART = r"[^\W\da-z_]{2,}+(?:['’.-][^\W\da-z_]++)*+"
+_CAPITALS = re.compile(rf"\s*(?:\d+\s{{2,}})?{_NAME_PART}(?: {_NAME_PART})+(?:\s{{2,}}\d+)?\s*")
 _HEADING = re.compile(r"\s*(?:chapter|part|book)\b", re.I)
 
 _KEEP = bytes(range(ord("a"), ord("z") + 1)) + bytes(range(ord("0"), ord("9") + 1))
@@ -67,52 +73,130 @@ def scan_skeleton(text: str) -> bytes:
     return out.translate(_CLASSES)
 
 
-def _header_cores(names: list[str | None]) -> list[bytes]:
+@lru_cache(maxsize=4096)
+def _cores_of(names: tuple[str | None, ...]) -> tuple[bytes, ...]:
     """Skeletons to look for, without the ends, which what stands beside them may have changed."""
-    return [core for name in names if name and len(core := scan_skeleton(name)[1:-1]) >= 5]
-
-
-def _furniture(text: str, names: list[str | None]) -> tuple[bool, bool, str]:
-    """Whether a text holds a running header and a printed page number, and the text without such lines."""
-    cores = _header_cores(names)
-    header, number = False, False
-    nameless = len(names) < 2 or not names[0] or not names[1]
-    if cores:
-        whole = scan_skeleton(text)
-        header = any(core in whole for core in cores)
-    kept = []
-    for line in text.split("\n"):
-        short = len(line) <= 160
-        if short and line.strip():
-            if len(line) <= 24 and _NUMBER_LINE.fullmatch(line):
-                number = True
-                continue
-            if nameless and _CAPITALS.fullmatch(line) and not _HEADING.match(line):
-                # The book's author isn't known: a line of capitals can only be the name.
-                header = True
-                number = number or any(c.isdigit() for c in line)
-                continue
-            if not header and cores and line.upper() == line and " " in line.strip():
-                part = scan_skeleton(line)[1:-1]
-                header = len(part) >= 8 and any(part in core for core in cores)
-            if header:
-                beside = _NUMBER_BESIDE.fullmatch(line)
-                name = line
-                if beside:
-                    rest = beside["after"] or beside["before"]
-                    if _is_header(rest, cores):
-                        number = True
-                        continue
-                if _is_header(name, cores):
-                    continue
-        kept.append(line)
-    clean = "\n".join(kept)
-    if header:
-        clean = _without_inline(clean, names)
-    return header, number, clean
-
-
-def _is_header(line: str, cores: list[bytes]) -> bool:
+    return tuple(core for name in names if name and len(core := scan_skeleton(name)[1:-1]) >= 5)
+
+
+#: One short token with any ornaments: what a page number may look like.
+_MAYBE_NUMBER = re.compile(r"^[^A-Za-z0-9\n]*(?:(?:page|p\.|pg\.?)[^A-Za-z0-9\n]*)?[A-Za-z0-9]{1,8}[^A-Za-z0-9\n]*$", re.I | re.M)
+#: A line without small letters.
+_MAYBE_CAPITALS = re.compile(r"^(?=.*[^\W\d_])[^a-z\n]+$", re.M)
+_TITLED = re.compile(r"\s*(?:chapter|part|book|prologue|epilogue|\w+ \W|\d)", re.I)
+
+
+class _Lines:
+    """A text as lines, with what tells furniture from prose: a line that may be furniture, and the line after it.
+
+    ``found`` has the number and features of each such line.  Lines are looked
+    for in the text as a whole; a text without any isn't taken apart.
+    """
+
+    def __init__(self, text: str, names: list[str | None]) -> None:
+        self.cores = _cores_of(tuple(names))
+        self.nameless = len(names) < 2 or not names[0] or not names[1]
+        whole = scan_skeleton(text) if self.cores else b""
+        self.has_core = any(core in whole for core in self.cores)
+        self.found: list[tuple[int, list[float]]] = []
+        self.capital = {text.count("\n", 0, m.start()) for m in _MAYBE_CAPITALS.finditer(text) if m[0].isupper()}
+        short = {text.count("\n", 0, m.start()) for m in _MAYBE_NUMBER.finditer(text)}
+        if not (self.has_core or self.capital or short):
+            self.lines = [text]
+            return
+        self.lines = lines = text.split("\n")
+        skeletons = {i: scan_skeleton(lines[i]) for i in self.capital} if self.cores else {}
+        self.parts = {i: s for i, s in skeletons.items() if " " in lines[i].strip() and len(s) >= 5 and any(s[1:-1] in core for core in self.cores)}
+        self.hint = self.has_core or any(len(p) >= 10 for p in self.parts.values())
+        shown = [i for i, line in enumerate(lines) if line.strip()]
+        self.edges = {i: k for k, pair in enumerate(zip(shown[:3], reversed(shown[-3:]))) for i in pair}
+        own = {i: scan_skeleton(lines[i]) for i in shown} if self.hint else {}
+        holds = {i for i, s in own.items() if any(c in s for c in self.cores)}
+        pairs = set()
+        if self.has_core and not holds:
+            # A name wrapped over two lines, or over more, where the first line stands for it.
+            pairs = {i for i in shown if i + 1 < len(lines) and lines[i + 1] and any(c in scan_skeleton(lines[i] + lines[i + 1]) for c in self.cores)} or set(shown[:1])
+        beside = {i for i in own if _NUMBER_BESIDE.fullmatch(lines[i])}
+        for i in sorted(short | self.capital | holds | pairs | beside):
+            if lines[i].strip():
+                self.found.append((i, self._features(i, own.get(i, b""), i in holds, i in pairs)))
+
+    def _features(self, i: int, own: bytes, core: bool, pair: bool) -> list[float]:
+        line = self.lines[i]
+        after = self.lines[i + 1] if i + 1 < len(self.lines) else ""
+        number = _NUMBER_LINE.fullmatch(line) is not None
+        beside = _NUMBER_BESIDE.fullmatch(line) if self.hint else None
+        rest = _is_header((beside["after"] or beside["before"]), self.cores) if beside else False
+        left = own
+        for c in self.cores:
+            left = left.replace(c, b"")
+        return [
+            float(number), float(i in self.capital), float(self.nameless and _CAPITALS.fullmatch(line) is not None and not _HEADING.match(line)), float(core), float(pair),
+            float(len(self.parts.get(i, b""))), float(len(left)) if core else 99.0, float(beside is not None), float(rest), float(self.nameless), float(self.hint),
+            float(_TITLED.match(line) is not None), float(sum(c.isalnum() for c in line)), float(sum(c.isdigit() for c in line)), float(self.edges.get(i, 3)),
+            float(not after.strip()), float(after[:1].islower()), float(i > 0 and not self.lines[i - 1].strip()),
+        ]
+
+
+#: What the classifiers tell of a line: it holds a header, it holds a page number, it is nothing but furniture.
+_KINDS = ("header", "number", "furniture")
+
+
+def _labels(x: list[float]) -> tuple[bool, bool, bool]:
+    """Labels of a line from its features, by rule; for fitting only."""
+    number, capital, capitals, core, pair, part, left, beside, rest, nameless, hint, titled, _, digits = x[:14]
+    if number:
+        return False, True, True
+    if nameless and capitals:
+        return True, digits > 0, True
+    if hint and rest:
+        return True, True, True
+    alone = bool(hint and ((core and (left <= 4 or (left <= 24 and titled))) or (not core and part >= 5)))
+    return bool(core or pair or part >= 10 or alone), False, alone
+
+
+def fit_furniture(lines: list[list[float]], names: list[str], seed: int = 5) -> dict[str, Boosted]:
+    """Boosted trees over line pairs, one for each of ``_KINDS``.
+
+    Fitted on labelled lines: ``lines``, a bounded sample of those of the texts,
+    and as many made from names, numbers and words, so that every shape is known
+    however few texts there are.
+    """
+    rng = np.random.default_rng(seed)
+    made, words = [], "a lantern stood by the wall and nobody moved until morning came over the river again".split()
+    titles = [n for n in names if n and len(n) > 6] or ["The Lantern by the River", "Morning over the Wall"]
+    for _ in range(1_500):
+        title, other = (titles[rng.integers(len(titles))] for _ in range(2))
+        n = int(rng.integers(1, 900))
+        prose = " ".join(words[rng.integers(len(words))] for _ in range(12))
+        line = (
+            f"{other.upper()} ORLA", f"{n}  {other.upper()} ORLA", f"ORLA {other.upper()}    {n}", title.upper(), f"{title.upper()}    {n}", f"{n}   {title}", f"PART TWO · {title}", title, f"{prose} {title} {prose}", str(n), f"- {n} -", f"Page {n}", "xii", "THREE", f"Chapter {n}", f"{n}.",
+            "mix", prose, prose.upper(), f"It took {n} days", other.split()[0], " ".join(title.upper()), other.upper()[: len(other) // 2],
+        )[rng.integers(23)]
+        for named in ([title, None], [title, other]):
+            made += [x for _, x in _Lines(f"{prose}\n{line}\n{prose}", named).found]
+    x = np.array(lines + made)
+    y = np.array([_labels(row) for row in lines + made], float)
+    return {kind: Boosted(trees=40, depth=3).fit(x, y[:, k]) for k, kind in enumerate(_KINDS)}
+
+
+def _furniture_of(texts: list[tuple[str, list[str | None]]], models: dict[str, Boosted]) -> list[tuple[bool, bool, str]]:
+    """For each text whether it holds a running header and a printed page number, and the text without such lines; one scoring for all."""
+    parsed = [_Lines(text, names) for text, names in texts]
+    x = np.array([f for p in parsed for _, f in p.found]).reshape(-1, 18)
+    verdicts = np.column_stack([models[kind].score(x) >= 0.5 for kind in _KINDS]) if len(x) else np.zeros((0, 3), bool)
+    out, at = [], 0
+    for p, (_, names) in zip(parsed, texts):
+        own = verdicts[at : at + len(p.found)]
+        at += len(p.found)
+        gone = {i for (i, _), v in zip(p.found, own) if v[2]}
+        header = bool(own[:, 0].any()) if len(own) else False
+        clean = "\n".join(line for i, line in enumerate(p.lines) if i not in gone) if gone else "\n".join(p.lines)
+        out.append((header, bool(own[:, 1].any()) if len(own) else False, _without_inline(clean, names) if header else clean))
+    return out
+
+
+def _is_header(line: str, cores: tuple[bytes, ...]) -> bool:
     """Whether a line is hardly more than a name, with a chapter or a second name beside it."""
     have = scan_skeleton(line)
     left = have
@@ -120,8 +204,8 @@ def _is_header(line: str, cores: list[bytes]) -> bool:
         left = left.replace(core, b"")
     if len(left) == len(have):
         # A header wrapped over two lines leaves parts of the name on each.
-        return len(have) >= 5 and line.upper() == line and any(have[1:-1] in core for core in cores)
-    return len(left) <= 4 or (len(left) <= 24 and re.match(r"\s*(?:chapter|part|book|prologue|epilogue|\w+ \W|\d)", line, re.I) is not None)
+        return len(have) >= 5 and line.isupper() and any(have[1:-1] in core for core in cores)
+    return len(left) <= 4 or (len(left) <= 24 and _TITLED.match(line) is not None)
 
 
 def _without_inline(text: str, names: list[str | None]) -> str:
@@ -140,20 +224,28 @@ def _breaks(text: str) -> list[tuple[int, int, str, str]]:
     out = []
     for found in _BREAK.finditer(text):
         start, end = found.span()
-        if text[end].islower() and (left := _LEFT.search(text, max(0, start - 60), start)):
+        if text[end].islower() and (left := _LEFT.search(text, _word_start(text, start), start)):
             out.append((start, end, left[0].lower(), _TOKEN.match(text, end)[0].rstrip("|").partition("-")[0].lower()))
     return out
 
 
-def _first_pass(common: set[str]):
-    """Rows and word counts of a batch; ``common`` are words that are no misreadings."""
+def _word_start(text: str, end: int) -> int:
+    """Where the run of letters, digits and marks that ends at ``end`` begins."""
+    at = end
+    while at and (text[at - 1].isalnum() or text[at - 1] in "!|"):
+        at -= 1
+    return at
+
+
+def _first_pass(common: set[str], models: dict[str, Boosted]):
+    """Rows and word counts of a batch; ``common`` are words that are no misreadings and are counted without their book."""
     forms = common | {w.capitalize() for w in common} | {w.upper() for w in common}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows, by_book = [], defaultdict(Counter)
-            for table, key, book, text, book_name, author in batch.itertuples(index=False, name=None):
-                header, number, clean = _furniture(text, [book_name, author])
+            plain = _furniture_of([(t, [b, a]) for t, b, a in zip(batch["text"], batch["book_name"], batch["author"])], models)
+            for (table, key, book), (header, number, clean) in zip(batch[["table_name", "key", "book"]].itertuples(index=False, name=None), plain):
                 breaks = _breaks(clean)
                 for start, end, _, _ in reversed(breaks):
                     clean = clean[:start] + clean[end:]
@@ -162,17 +254,19 @@ def _first_pass(common: set[str]):
                 odd = {w.lower() for w in set(tokens) - forms if len(w) > 2 and not (len(w) > 3 and w.isupper())}
                 rare = sorted(w for w in odd if not w.isdigit() and w not in common)
                 rows.append((0, table, key, book, header, number, ["\t".join(x[2:]) for x in breaks], rare, None, 0, 0))
-            general, own, capitals = Counter(), Counter(), Counter()
+            general, shown, own, capitals = Counter(), Counter(), Counter(), Counter()
             for book, counts in by_book.items():
                 for form, n in counts.items():
                     word = form.lower()
                     if word in common:
                         general[word] += n
+                        if form[0].isupper():
+                            shown[word] += n
                     elif not word.isdigit():
                         own[(book, word)] += n
                         if form[0].isupper():
                             capitals[(book, word)] += n
-            rows += [(1, None, 0, None, False, False, None, None, w, n, 0) for w, n in general.items()]
+            rows += [(1, None, 0, None, False, False, None, None, w, n, shown[w]) for w, n in general.items()]
             rows += [(1, None, 0, b, False, False, None, None, w, n, capitals[(b, w)]) for (b, w), n in own.items()]
             out = pd.DataFrame(rows, columns=["kind", "table_name", "key", "book", "header", "page_number", "breaks", "rare", "word", "n", "capitals"])
             out["book"] = out["book"].astype("Int64")
@@ -318,25 +412,47 @@ def correction_candidates(suspects: DataFrame, words: DataFrame, within: bool) -
     few = F.when(F.length("wrong") <= 5, F.lit(99)).otherwise(F.lit(7))
     asked = asked.withColumn("rank", rank).filter((F.col("rank") <= few) & F.col("size").isNotNull()).drop("size", "rank")
     ratio = F.lit(BOOK_RATIO if within else RATIO)
-    pairs = asked.join(listed if within else broadcast_if_small(listed), on).filter(
-        (F.col("wrong") != F.col("right")) & (F.col("n_right") >= ratio * F.col("n_wrong")) & (F.abs(F.length("wrong") - F.length("right")) <= 2)
-    )
+    fits = (F.col("wrong") != F.col("right")) & (F.col("n_right") >= ratio * F.col("n_wrong"))
+    if within:
+        pairs = asked.join(listed, on).filter(fits & (F.abs(F.length("wrong") - F.length("right")) <= 2))
+    else:
+        # The length is part of the key, so a frequent gram meets only words of a fitting length.
+        asked = asked.withColumn("size", F.explode(F.transform(F.array(*map(F.lit, range(-2, 3))), lambda d: F.length("wrong") + d)))
+        pairs = asked.join(broadcast_if_small(listed.withColumn("size", F.length("right"))), [*on, "size"]).filter(fits)
     edits = F.when(F.length("right") >= 6, F.lit(3)).otherwise(F.lit(2))
     near = pairs.filter(F.levenshtein("wrong", "right", 3).between(0, edits))
     return near.select("book", "wrong", "right", "n_wrong", "n_right").distinct()
 
 
 def _sample(df: DataFrame, rows: int, *keys: str) -> pd.DataFrame:
-    """About ``rows`` rows, by hash and so the same each time; what the driver gets doesn't grow with the table."""
-    share = max(1, df.select(*keys).count() // rows)
-    return df.filter(F.pmod(F.xxhash64(*keys), F.lit(share)) == 0).limit(2 * rows).toPandas()
+    """About ``rows`` rows of a small table, by hash and so the same each time; what the driver gets doesn't grow with it."""
+    return _part(df, rows, df.count(), *keys).limit(2 * rows).toPandas()
+
+
+def _part(df: DataFrame, rows: int, of: int, *keys: str) -> DataFrame:
+    """About ``rows`` of ``of`` rows, by hash."""
+    return df.filter(F.pmod(F.xxhash64(*keys), F.lit(max(1, of // rows))) == 0)
+
+
+def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Word counts, features of lines and names of a batch."""
+    for batch in batches:
+        counts, capitals, rows, names = Counter(), Counter(), [], set()
+        for text, book_name, author in batch[["text", "book_name", "author"]].itertuples(index=False, name=None):
+            for form in _TOKEN.findall(text):
+                counts[form.lower()] += 1
+                capitals[form.lower()] += form[0].isupper()
+            rows += [(1, None, 0, 0, x) for _, x in _Lines(text, [book_name, author]).found]
+            names |= {n for n in (book_name, author) if n}
+        rows += [(0, w, n, capitals[w], None) for w, n in counts.items()] + [(2, n, 0, 0, None) for n in names]
+        yield pd.DataFrame(rows, columns=["kind", "word", "n", "capitals", "x"])
 
 
 class ScanFaults:
     """What the first pass and the counts tell of the texts."""
 
-    def __init__(self, rows: DataFrame, fixes: DataFrame, joins: DataFrame) -> None:
-        self.rows, self.fixes, self.joins = rows, fixes, joins
+    def __init__(self, rows: DataFrame, fixes: DataFrame, joins: DataFrame, models: dict[str, Boosted]) -> None:
+        self.rows, self.fixes, self.joins, self.models = rows, fixes, joins, models
 
 
 def find_faults(texts: DataFrame) -> ScanFaults:
@@ -349,21 +465,36 @@ def find_faults(texts: DataFrame) -> ScanFaults:
     """
     spark = texts.sparkSession
     texts = texts.filter(F.length("text") > 0).select("table_name", "key", "book", "text", "book_name", "author")
-    # Very common words, from a bounded sample; they only spare look-ups, counts cover all texts.
-    sample = _sample(texts.select("table_name", "key", "text"), SAMPLE_ROWS, "table_name", "key")
-    # Words mostly written with a capital are left out: a book's names must be counted by book, and its misread ones looked up.
-    forms = [set(_TOKEN.findall(t)) for t in sample["text"]]
-    seen = Counter(w for f in forms for w in {x.lower() for x in f})
-    small = Counter(w for f in forms for w in f if w[0].islower())
-    common = {w for w, n in seen.items() if n >= max(8, len(sample) // 100) and w.isalpha() and small[w] >= 0.2 * n}
-    first = cut_lineage(texts.mapInPandas(_first_pass(common), _PASS))
+    total = texts.count()
+    least = max(8, total / COMMON_TEXTS)
+    sample = cut_lineage(_part(texts, SAMPLE_ROWS, total, "table_name", "key").mapInPandas(_sampled, "kind int, word string, n long, capitals long, x array<double>"))
+    texts_seen = sample.filter("kind = 0").groupBy("word").agg(F.sum("n").alias("n"), F.sum("capitals").alias("capitals"))
+    # Words clearly more frequent in the sample than a common one must be: their number is bounded by the words of a text.
+    near = texts_seen.filter(
+        (F.col("n") >= COMMON_MARGIN * max(8, min(total, SAMPLE_ROWS) / COMMON_TEXTS)) & (F.col("n") - F.col("capitals") >= COMMON_MARGIN * COMMON_SMALL * F.col("n")) & F.col("word").rlike(r"^\p{L}{2,}$")
+    )  # single letters also come from headers set with blanks between the letters
+    skip = {r["word"] for r in near.select("word").collect()}
+    labelled = sample.filter("kind = 1").withColumn("h", F.xxhash64("x", "word")).orderBy("h").limit(SAMPLE_PAIRS).select("x").toPandas()["x"]
+    titles = sorted(r["word"] for r in sample.filter("kind = 2").select("word").distinct().orderBy(F.xxhash64("word")).limit(SAMPLE_ROWS).collect())
+    models = fit_furniture([list(map(float, x)) for x in labelled], titles)
+    while True:
+        first = cut_lineage(texts.mapInPandas(_first_pass(skip, models), _PASS))
+        by_book = first.filter("kind = 1").groupBy("book", "word").agg(F.sum("n").alias("n"), F.sum("capitals").alias("capitals"))
+        by_book = cut_lineage(by_book)
+        totals = by_book.groupBy("word").agg(F.sum("n").alias("n"), F.sum("capitals").alias("capitals"), F.count(F.lit(1)).alias("books"))
+        # What is common is told by the counts of all texts; the sample only spared counting some words by book.
+        exact = (F.col("n") >= least) & (F.col("n") - F.col("capitals") >= COMMON_SMALL * F.col("n")) & F.col("word").rlike(r"^\p{L}+$")
+        totals = totals.withColumn("common", exact)
+        wrong = {r["word"] for r in by_book.filter("book is null").groupBy("word").agg(F.sum("n").alias("n"), F.sum("capitals").alias("capitals")).filter(~exact).select("word").collect()} & skip
+        if not wrong:
+            break
+        skip -= wrong
     rows = first.filter("kind = 0")
-    by_book = first.filter("kind = 1").groupBy("book", "word").agg(F.sum("n").alias("n"), F.sum("capitals").alias("capitals"))
-    by_book = cut_lineage(by_book)
-    totals = by_book.groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("books"), F.max(F.col("book").isNull()).alias("common"))
     plain = F.col("word").rlike(r"^\p{L}+(-\p{L}+)*$")
     general = totals.filter(plain & (F.length("word") >= 3) & (F.col("common") | ((F.col("n") >= RATIO) & (F.col("books") >= 4)))).select(F.lit(-1).cast("long").alias("book"), "word", "n")
-    names = by_book.filter(plain & F.col("book").isNotNull() & (F.length("word") >= 3) & (F.col("n") >= BOOK_RATIO))
+    usual = broadcast_if_small(totals.filter("common").select("word"))
+    own_words = by_book.filter(F.col("book").isNotNull() & (F.length("word") >= 3)).join(usual, "word", "left_anti")
+    names = own_words.filter(plain & (F.col("n") >= BOOK_RATIO))
     odd_word = F.length("word") >= 3
     words = _sample(general, SAMPLE_PAIRS // 3, "word").sort_values("word")
     ranker = _ranked(fit_ranker(list(zip(words["word"], words["n"].astype(int)))))
@@ -371,13 +502,12 @@ def find_faults(texts: DataFrame) -> ScanFaults:
     odd = F.col("wrong").rlike(r"[0-9!|]")
     # Short words are too alike for anything but a foreign character, or the book's own names, to tell.
     sure = (F.col("score") >= 0.5) & (odd | (F.length("right") >= 4) | (F.col("n_right") >= 200 * F.col("n_wrong")))
-    rare = by_book.filter(F.col("book").isNotNull() & odd_word)
-    in_book = cut_lineage(correction_candidates(rare, names, True).mapInPandas(ranker, pair).filter(sure))
+    in_book = cut_lineage(correction_candidates(own_words, names, True).mapInPandas(ranker, pair).filter(sure))
     # A word that a book writes with a capital, again and again, is a name of its own, unless it holds a
     # foreign character or the same book has its right form far more often.
     is_name = F.col("book").isNotNull() & (F.col("capitals") >= 0.8 * F.col("n")) & (F.col("n") >= NAME_TIMES) & ~F.col("word").rlike(r"[0-9!|]")
     misread = in_book.select("book", F.col("wrong").alias("word")).distinct()
-    own = by_book.filter(is_name).join(misread, ["book", "word"], "left_anti")
+    own = own_words.filter(is_name).join(misread, ["book", "word"], "left_anti")
     named = own.groupBy("word").agg(F.sum("n").alias("named"))
     unnamed = F.col("n") - F.coalesce("named", F.lit(0))
     suspects = totals.filter(~F.col("common") & odd_word).join(named, "word", "left").filter(unnamed > 0).select(F.lit(-1).cast("long").alias("book"), "word", unnamed.alias("n"))
@@ -385,7 +515,7 @@ def find_faults(texts: DataFrame) -> ScanFaults:
     best = Window.partitionBy("book", "wrong").orderBy(F.desc("score"), "cost", F.desc("n_right"), "right")
     fixes = scored.withColumn("r", F.row_number().over(best)).filter("r = 1").select(F.col("book").alias("fix_book"), "wrong", "right", "cost")
     fixes = broadcast_if_small(cut_lineage(fixes))
-    tokens = rows.select("table_name", "key", "book", F.explode("rare").alias("wrong"))
+    tokens = rows.select("table_name", "key", "book", F.explode("rare").alias("wrong"))  # common words have no fixes
     own = own.select("book", F.col("word").alias("wrong")).join(fixes.select("wrong"), "wrong", "left_semi")
     found = (
         tokens.join(fixes, "wrong")
@@ -394,7 +524,7 @@ def find_faults(texts: DataFrame) -> ScanFaults:
         .groupBy("table_name", "key", "wrong")
         .agg(F.min_by("right", F.struct("cost", -F.col("fix_book"))).alias("right"))
     )
-    return ScanFaults(rows.select("table_name", "key", "book", "header", "page_number"), found, _broken_words(rows, totals))
+    return ScanFaults(rows.select("table_name", "key", "book", "header", "page_number"), found, _broken_words(rows, totals), models)
 
 
 def _broken_words(rows: DataFrame, totals: DataFrame) -> DataFrame:
@@ -447,17 +577,20 @@ def fault_kinds(texts: DataFrame) -> DataFrame:
     return out.unionByName(faults.joins.select(*key).distinct().withColumn("kind", F.lit("hyphen")))
 
 
-def _rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = []
-        for text, name, author, fixes, joins in batch[["text", "book_name", "author", "fixes", "joins"]].itertuples(index=False, name=None):
-            out.append(repaired(text, [name, author], dict(fixes or {}), {tuple(j.split("\t")) for j in (joins if joins is not None else ())}))
-        yield batch[["table_name", "key"]].assign(repaired=out)
+def _rewrite(models: dict[str, Boosted]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            plain = _furniture_of([(t, [b, a]) for t, b, a in zip(batch["text"], batch["book_name"], batch["author"])], models)
+            out = []
+            for (_, _, clean), fixes, joins in zip(plain, batch["fixes"], batch["joins"]):
+                out.append(repaired(clean, dict(fixes or {}), {tuple(j.split("\t")) for j in (joins if joins is not None else ())}))
+            yield batch[["table_name", "key"]].assign(repaired=out)
+
+    return run
 
 
-def repaired(text: str, names: list[str | None], fixes: dict[str, str], joins: set[tuple[str, str]]) -> str:
-    """A text without furniture, with broken words joined, misread words replaced and wrapped lines run on."""
-    _, _, clean = _furniture(text, names)
+def repaired(clean: str, fixes: dict[str, str], joins: set[tuple[str, str]]) -> str:
+    """A text, its furniture gone, with broken words joined, misread words replaced and wrapped lines run on."""
     for start, end, left, after in reversed(_breaks(clean)):
         clean = clean[:start] + ("" if (left, after) in joins else "-") + clean[end:]
 
@@ -481,5 +614,5 @@ def repair_scans(texts: DataFrame) -> DataFrame:
     fixes = faults.fixes.groupBy("table_name", "key").agg(F.map_from_entries(F.collect_list(F.struct("wrong", "right"))).alias("fixes"))
     joins = faults.joins.groupBy("table_name", "key").agg(F.collect_set(F.concat_ws("\t", "left", "right")).alias("joins"))
     full = texts.filter(F.length("text") > 0).join(fixes, ["table_name", "key"], "left").join(joins, ["table_name", "key"], "left")
-    done = full.select("table_name", "key", "text", "book_name", "author", "fixes", "joins").mapInPandas(_rewrite, "table_name string, key long, repaired string")
+    done = full.select("table_name", "key", "text", "book_name", "author", "fixes", "joins").mapInPandas(_rewrite(faults.models), "table_name string, key long, repaired string")
     return done.unionByName(texts.filter(F.coalesce(F.length("text"), F.lit(0)) == 0).select("table_name", "key", F.col("text").alias("repaired")))

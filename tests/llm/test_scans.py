@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from inkloom.llm.boosting import Boosted
-from inkloom.llm.scans import _TOKEN, _furniture, confusion_cost, fault_kinds, repair_scans, scan_skeleton
+from inkloom.llm.scans import _KINDS, _TOKEN, _furniture_of, _labels, _Lines, confusion_cost, fault_kinds, fit_furniture, repair_scans, scan_skeleton
 
 WORDS = "the granary lantern window morning another counted silence behind harbor bridge marble winter scholar followed between memory carried shadow kitchen river ferryman orchard patient".split()
 SCHEMA = "table_name string, key long, book long, text string, book_name string, author string, kind string, wrong string"
@@ -35,14 +35,36 @@ def test_skeletons_and_costs():
     assert confusion_cost("riever", "never")[1:] == (1, 0) and confusion_cost("lantern", "lanterns")[2] == 1
 
 
+MODELS = fit_furniture([], list(NAMES))
+
+
+def furniture(text):
+    return _furniture_of([(text, list(NAMES))], MODELS)[0]
+
+
 def test_furniture():
     for line in ("A GLASS TABLE FOR GWUBOST", "CRAEDRÉV PILMCEND    12", "13  PART TWO · A Glass Table for Gwubost", "A G L A S S   T A B L E   F O R   G W U B O S T"):
-        header, number, clean = _furniture(f"first line\n{line}\nlast line", list(NAMES))
-        assert header and clean == "first line\nlast line" and number == any(c.isdigit() for c in line)
+        header, number, clean = furniture(f"first line\n{line}\nlast line")
+        assert header and clean == "first line\nlast line" and number == any(c.isdigit() for c in line), line
     for line in ("12", "* xii *", "- 9 -", "Page l7", "[4]", "p. 30", "· 2O ·", "iv"):
-        assert _furniture(f"a\n{line}\nb", list(NAMES)) == (False, True, "a\nb"), line
+        assert furniture(f"a b c d\n{line}\nb") == (False, True, "a b c d\nb"), line
     for line in ("Chapter 2", "THREE", "It took 12 days", "23.", "mix", "A BRASS PLATE"):
-        assert _furniture(f"a\n{line}\nb", list(NAMES))[:2] == (False, False), line
+        assert furniture(f"a b c d\n{line}\nb")[:2] == (False, False), line
+    assert furniture("") == (False, False, "") and furniture("x" * 50_000)[:2] == (False, False)
+
+
+def test_classifiers_agree_with_held_out_labels():
+    rng = random.Random(11)
+    names = [f"{a} {b} of {c}" for a in ("Silent", "Copper", "Northern", "Second") for b in ("Harbors", "Windows", "Orchards") for c in ("Velmora", "Tidewater", "Ashgrove")]
+    rng.shuffle(names)
+    lines, held = [], []
+    for k, name in enumerate(names):
+        for line in (name.upper(), f"{name.upper()}   {k + 2}", f"{k + 2}  {name}", f"- {k} -", str(k), "FOUR", f"Chapter {k}", prose(rng, 9), prose(rng, 5).upper(), f"{prose(rng, 6)} {name} {prose(rng, 6)}"):
+            (held if k % 3 == 0 else lines).extend(x for _, x in _Lines(f"{prose(rng, 8)}\n{line}\n{prose(rng, 8)}", [name, "Orla Venn"]).found)
+    models = fit_furniture(lines, [])
+    want = np.array([_labels(x) for x in held])
+    got = np.column_stack([models[k].score(np.array(held)) >= 0.5 for k in _KINDS])
+    assert (want == got).mean() > 0.97
 
 
 def test_kinds_and_repair(spark):
