@@ -25,7 +25,7 @@ _FIELD_CUT = r"(?U)\s*[|;,\n\t]\s*(?=\w[\w \-]{0,60}?\s*[:=])"
 
 def letters_and_digits(text: Column, keep: str = "") -> Column:
     """Lower case, nothing but letters, digits, the accents on them and the characters to ``keep``; empty for null."""
-    return F.coalesce(F.regexp_replace(F.lower(text), rf"[^a-z0-9{keep}\p{{L}}\p{{M}}\p{{N}}]+", ""), F.lit(""))
+    return F.coalesce(F.regexp_replace(F.lower(text), rf"[^\p{{L}}\p{{M}}\p{{N}}{keep}]+", ""), F.lit(""))
 
 
 @F.pandas_udf(T.StringType())
@@ -42,7 +42,7 @@ def compose(df: DataFrame, column: str) -> DataFrame:
 
 def joined_fields(*fields: str) -> Column:
     """Several fields as one text, null as empty, with a control character between them."""
-    return F.concat_ws("\u0001", *(F.coalesce(F.translate(f, "\u0001", ""), F.lit("")) for f in fields))
+    return F.concat_ws("\u0001", *(F.coalesce(F.replace(f, F.lit("\u0001"), F.lit("")), F.lit("")) for f in fields))
 
 
 def record_key(record: Column) -> Column:
@@ -71,14 +71,15 @@ def record_key(record: Column) -> Column:
 def keyed(df: DataFrame, table: str, id_col: str, book: str, key: Column, at: str | None = None) -> DataFrame:
     """Rows as (``table_name``, ``id``, ``k1``, ``k2``, ``at``): the key is a 128-bit hash of table, book and canonical text.
 
-    Rows without a book, or whose canonical text is empty, have no copies and
-    are left out.
+    Rows without a book, or whose canonical text is empty, have no copies; their
+    key is null, and the ledger leaves them out.  (A filter here would work the
+    canonical text out a second time.)
     """
-    rows = df.filter(F.col(book).isNotNull()).select(
+    rows = df.select(
         F.lit(table).alias("table_name"), F.col(id_col).cast("long").alias("id"), F.col(book).cast("string").alias("_book"), key.alias("_key"), (F.col(at) if at else F.lit(None)).cast("timestamp").alias("at")
     )
-    rows = rows.filter(F.length(F.translate("_key", "\u0001\u0002", "")) > 0)
-    return rows.select("table_name", "id", F.xxhash64("table_name", "_book", "_key").alias("k1"), F.xxhash64(F.lit("second"), "_key", "_book", "table_name").alias("k2"), "at")
+    there = F.col("_book").isNotNull() & F.col("_key").rlike("[^\u0001\u0002]")
+    return rows.select("table_name", "id", F.when(there, F.xxhash64("table_name", "_book", "_key")).alias("k1"), F.when(there, F.xxhash64(F.lit("second"), "_key", "_book", "table_name")).alias("k2"), "at")
 
 
 def bucket_count(rows: int, tasks: int) -> int:
@@ -115,13 +116,13 @@ class Ledger:
         return F.pmod("k1", F.lit(self.buckets)).cast("int")
 
     def ingest(self, batch: DataFrame) -> None:
-        """Adds a batch of (``table_name``, ``id``, ``k1``, ``k2``) rows.
+        """Adds a batch of (``table_name``, ``id``, ``k1``, ``k2``) rows; those without a key are left out.
 
         The batch is aggregated before it is shuffled, so a key that holds a
         third of the rows arrives as one row per task.
         """
         keys = ["k1", "k2", "table_name"]
-        new = batch.groupBy(*keys).agg(F.min("id").alias("i"), F.count(F.lit(1)).alias("n"))
+        new = batch.filter("k1 is not null").groupBy(*keys).agg(F.min("id").alias("i"), F.count(F.lit(1)).alias("n"))
         touched = list(range(self.buckets))
         if self.paths:
             # Worked out once, so that neither the list of buckets nor the join reads the source again.
