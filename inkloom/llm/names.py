@@ -1,7 +1,8 @@
 """Variant spellings of names typed by people.
 
 Rows are blocked by phonetic codes of their sorted name tokens, compared with
-Jaro-Winkler and nickname rules, and accepted pairs are clustered by connected
+Jaro-Winkler and a table of nicknames, to which nicknames given by the book and
+pet forms of a name are added, and accepted pairs are clustered by connected
 components.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,25 +30,64 @@ KINDS = "company brotherhood society association guild order house council leagu
 KIND_SHORT = {"co": "company", "cpy": "company", "soc": "society", "assn": "association", "assoc": "association", "bhd": "brotherhood", "bros": "brotherhood", "gld": "guild", "ord": "order", "corp": "corporation", "inst": "institute"}
 PET_ENDINGS = ("ix", "ie", "y", "o", "i", "us")
 ELDER = {"elder": "elder", "senior": "elder", "sr": "elder", "younger": "younger", "junior": "younger", "jr": "younger"}
+# Common nicknames, as "name: nicknames".
+NICKNAMES = """
+Albert: Al Bert   Alexander: Alec Sandy Sasha   Andrew: Andy Drew   Ann: Nan Nancy Annie   Anthony: Tony   Catherine: Cathy Kate Kitty
+Charles: Charlie Chuck   Christopher: Chris Kit   Daniel: Dan Danny   Dorothy: Dolly Dot   Edward: Eddie Ned Ted   Eleanor: Ellie Nell Nora
+Elizabeth: Bess Beth Betty Eliza Liz Lizzie   Francis: Frank   Gilbert: Bert Gil   Helen: Nell Nellie   Henry: Hal Hank Harry   Isabella: Bella Izzy
+James: Jem Jim Jimmy   John: Jack Johnny   Joseph: Joe   Katherine: Kate Kathy Kitty   Lawrence: Larry   Margaret: Greta Maggie Meg Peggy
+Martha: Patty   Mary: Molly Polly   Matilda: Tilly   Michael: Mick Mike   Nicholas: Nick   Patrick: Paddy Pat   Philip: Pip
+Rebecca: Becky   Richard: Dick Rich Rick   Robert: Bob Bobby Rob Robin   Samuel: Sam   Sarah: Sally   Stephen: Steve   Susan: Sue
+Theodore: Ted Theo   Thomas: Tom Tommy   Walter: Walt Wat   William: Bill Billy Will Willie
+"""
 _FILL = {"the", "of", "and", "&"}
-_NODE = "book long, node long, kind string, first string, last string, nick string, epithet string, rest string, short boolean, role string, noun string, pronoun string, target string, codes array<string>"
+#: Letters of a phonetic code, as codes have a length; names that are alike so far share a block whatever follows.
+CODE_LENGTH = 6
+#: Jaro-Winkler similarity from which two words are looked at, and from which two edits may part them.  The first is
+#: below what one edit leaves of words of three letters or more, even where it makes letters match others than their own.
+SIMILAR, VERY_SIMILAR = 0.7, 0.88
+#: Edges of a book up to which one task finds its components; those of larger books are found by rounds over all tasks.
+BOOK_EDGES = 2_000_000
+
+
+def _nicknames() -> set[tuple[str, str]]:
+    """(name, nickname) pairs of the table, in lower case."""
+    out, name = set(), ""
+    for word in NICKNAMES.casefold().split():
+        if word.endswith(":"):
+            name = word[:-1]
+        else:
+            out.add((name, word))
+    return out
+
+
+KNOWN = _nicknames()
+_NAMES_OF: dict[str, list[str]] = {}
+for _name, _nick in sorted(KNOWN):
+    _NAMES_OF.setdefault(_nick, []).append(_name)
+    _NAMES_OF.setdefault(_name, [_name])
+_NODE = "book long, node long, mark string, name string, kind string, first string, last string, nick string, epithet string, rest string, short boolean, role string, noun string, pronoun string, target string, codes array<string>"
 
 
 def plain(text: str) -> str:
     """Lower case without accents; apostrophes and hyphens within words dropped."""
-    text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-    return re.sub(r"(?<=\w)['’‘`‐‑-](?=\w)", "", text).casefold()
+    if not text.isascii():
+        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    return _INNER.sub("", text).casefold()
+
+
+_INNER = re.compile(r"(?<=\w)['’‘`‐‑-](?=\w)")
 
 
 def phonetic(token: str) -> str:
-    """First letter class and consonant classes of a token, doubles and vowels left out."""
+    """First letter class and consonant classes of a token, doubles and vowels left out, to the length of a code."""
     out, last = [], ""
     for c in token:
         code = _CLASS.get(c, "")
         if code and code != last:
             out.append(code)
         last = code if code else ("" if c in "aeiouy" else last)
-    return (_FIRST.get(token[0], token[0]) if token else "") + "".join(out[1:] if out and _CLASS.get(token[0]) else out)[:6]
+    return (_FIRST.get(token[0], token[0]) if token else "") + "".join(out[1:] if out and _CLASS.get(token[0]) else out)[:CODE_LENGTH]
 
 
 _CLASS = {c: k for k, cs in {"1": "bpfv", "2": "cgjkqsxz", "3": "dt", "4": "l", "5": "mn", "6": "r"}.items() for c in cs}
@@ -54,20 +95,24 @@ _FIRST = {"c": "k", "q": "k", "z": "s", "x": "s", "g": "j", "f": "v", "p": "b",
 
 
 def codes(tokens: list[str]) -> list[str]:
-    """Block keys of a name: of each sorted token its phonetic code, its sorted consonant classes and its beginning."""
-    out = set()
-    for t in sorted(tokens):
-        if len(t) >= 2:
-            out |= {"p" + phonetic(t), "s" + "".join(sorted(set(_CLASS.get(c, "") for c in t))) + str(len(t) // 4), "b" + t[:3]}
-    return sorted(out)
+    """Block keys of a name: of each sorted token its phonetic code, its sorted consonant classes, its beginning, and the names of which it is a nickname."""
+    return sorted(set().union(*(_codes_of(t) for t in tokens if len(t) >= 2)))
+
+
+@lru_cache(maxsize=100_000)
+def _codes_of(token: str) -> frozenset[str]:
+    classes = "".join(sorted({_CLASS.get(c, "") for c in token}))
+    return frozenset({"p" + phonetic(token), f"s{classes}{len(token) // 4}", "b" + token[:3], *("n" + name for name in _NAMES_OF.get(token, ()))})
 
 
+@lru_cache(maxsize=200_000)
 def jaro_winkler(a: str, b: str) -> float:
+    """Jaro-Winkler similarity; letters may lie one place apart even in the shortest words, as swapped ones do."""
     if a == b:
         return 1.0
     if not a or not b:
         return 0.0
-    reach = max(len(a), len(b)) // 2 - 1
+    reach = max(1, max(len(a), len(b)) // 2 - 1)
     used, hits = [False] * len(b), []
     for i, c in enumerate(a):
         for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
@@ -101,14 +146,18 @@ def edits(a: str, b: str) -> int:
     return now[-1]
 
 
+@lru_cache(maxsize=200_000)
 def alike(a: str, b: str) -> bool:
-    """One word up to a typo: by Jaro-Winkler, and by edits in long words."""
+    """One word up to a typo: similar by Jaro-Winkler, and then, exactly, at most one edit apart, or two in long words that are very similar."""
     if a == b:
         return True
-    if min(len(a), len(b)) < 3:
+    short = min(len(a), len(b))
+    if short < 3 or abs(len(a) - len(b)) > 2:
         return False
-    e = edits(a, b)
-    return e <= 1 or (e == 2 and min(len(a), len(b)) >= 6 and jaro_winkler(a, b) >= 0.88)
+    similar = jaro_winkler(a, b)
+    if similar < SIMILAR:
+        return False
+    return edits(a, b) <= (2 if short >= 6 and similar >= VERY_SIMILAR else 1)
 
 
 def parse(name: str) -> dict:
@@ -224,7 +273,7 @@ def compare(a: dict, b: dict, pets: set[tuple[str, str]]) -> int:
         return (2 if role is not None or target or word == other["last"] else 1) if fits else 0
     if alike(word, other["last"]) or (other["short"] and word.startswith(other["last"])):
         return 2 if sure else 1
-    if alike(word, other["first"]) or word == other["nick"] or (other["first"], word) in pets:
+    if alike(word, other["first"]) or word == other["nick"] or (other["first"], word) in pets or (other["first"], word) in KNOWN:
         return 2 if sure else 1
     return 0
 
@@ -247,7 +296,7 @@ def _first_fits(a: dict, b: dict, pets: set[tuple[str, str]]) -> str:
         return "full"
     for one, other in ((a, b), (b, a)):
         nick, name = one["first"], other["first"]
-        if other["nick"] == nick or (name, nick) in pets or is_pet_name(nick, name):
+        if other["nick"] == nick or (name, nick) in pets or (name, nick) in KNOWN or is_pet_name(nick, name):
             return "nick"
         if one["nick"] and one["nick"] == other["nick"]:
             return "nick"
@@ -282,7 +331,7 @@ def _compare_groups(a: dict, b: dict, role: bool | None, target: bool) -> int:
 def _parse_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for book, node, name, role, pronoun, target in batch[["book", "node", "name", "role", "pronoun", "target"]].itertuples(index=False, name=None):
+        for book, node, mark, name, role, pronoun, target in batch[["book", "node", "mark", "name", "role", "pronoun", "target"]].itertuples(index=False, name=None):
             p = parse(name)
             role = " ".join((role or "").split()).casefold()
             keys = codes(p["tokens"])
@@ -290,7 +339,7 @@ def _parse_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 keys.append("l" + p["first"][:1] + p["last"][:1] + p["epithet"][:1])
             elif p["kind"] == "letters":
                 keys.append("l" + p["last"])
-            rows.append((book, node, p["kind"], p["first"], p["last"], p["nick"], p["epithet"], p["rest"], p["short"], role, _noun(role), (pronoun or "").strip().casefold(), skeleton(target) or "", keys))
+            rows.append((book, node, mark, name, p["kind"], p["first"], p["last"], p["nick"], p["epithet"], p["rest"], p["short"], role, _noun(role), (pronoun or "").strip().casefold(), skeleton(target) or "", keys))
         yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in _NODE.split(", ")])
 
 
@@ -320,25 +369,55 @@ def _compare_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["book", "a", "b", "grade", "weak"])
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(``node``, ``root``) for every node of an edge list (``a``, ``b``): the smallest node that is connected with it.
+def _union(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Components of the edges of one book after the other; a book's edges come together, perhaps over several batches."""
+    book, parent = None, {}
+
+    def top(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
 
-    Each round every node takes the least label around it and then that node's
-    own label, so rounds grow with the logarithm of the longest chain.  Each
-    round is written to the shared folder; nothing is collected.
+    def closed() -> pd.DataFrame:
+        return pd.DataFrame([(x, top(x)) for x in list(parent)], columns=["node", "root"])
+
+    for batch in batches:
+        for own, a, b in batch[["book", "a", "b"]].itertuples(index=False, name=None):
+            if own != book:
+                if parent:
+                    yield closed()
+                book, parent = own, {}
+            x, y = top(a), top(b)
+            parent[max(x, y)] = min(x, y)
+    if parent:
+        yield closed()
+
+
+def components(edges: DataFrame, book_edges: int = BOOK_EDGES) -> DataFrame:
+    """(``node``, ``root``) for every node of an edge list (``book``, ``a``, ``b``): the smallest node that is connected with it.
+
+    No edge leaves its book.  A book of at most ``book_edges`` edges is one task's
+    work.  In larger ones every node takes the least label around it and then that
+    node's own label, round by round until nothing changes, so rounds grow with the
+    logarithm of the longest chain; each round is written to the shared folder.
+    Both ways give the same; nothing is collected.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = cut_lineage(both)
+    edges = cut_lineage(edges.select("book", "a", "b"))
+    large = cut_lineage(edges.groupBy("book").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > book_edges).select("book"))
+    if large.isEmpty():
+        return edges.repartition("book").sortWithinPartitions("book").mapInPandas(_union, "node long, root long")
+    small = edges.join(large, "book", "left_anti").repartition("book").sortWithinPartitions("book").mapInPandas(_union, "node long, root long")
+    rest = edges.join(large, "book", "left_semi")
+    both = cut_lineage(rest.select("a", "b").unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut_lineage(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "node"))
-    for _ in range(most_rounds):
+    while True:
         around = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("least"))
         step = labels.join(around, labels["node"] == around["a"]).select("node", "root", F.least("root", "least").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("root").alias("far"))
         moved = cut_lineage(step.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("new"), "root"))
         labels = moved.select("node", F.col("new").alias("root"))
         if moved.filter("new <> root").isEmpty():
-            return labels
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+            return small.unionByName(labels)
 
 
 def same_names(df: DataFrame, key: str, group: str, name: str, aliases: str, role: str, pronoun: str, target: str) -> DataFrame:
@@ -354,15 +433,15 @@ def same_names(df: DataFrame, key: str, group: str, name: str, aliases: str, rol
     named = rows.filter(F.col("book").isNotNull() & F.col("name").rlike(r"(?U)\w"))
     mark = F.sha2(F.to_json(F.struct("book", "name", "role", "pronoun", "target")), 256)
     named = named.withColumn("mark", mark)
-    nodes = named.groupBy("mark").agg(F.min("key").alias("node"), *(F.first(c).alias(c) for c in ("book", "name", "role", "pronoun", "target")))
-    nodes = cut_lineage(nodes)
-    parsed = cut_lineage(nodes.select("book", "node", "name", "role", "pronoun", "target").mapInPandas(_parse_rows, _NODE))
-    packed = split_packed(df.select(F.struct(F.col(group).alias("g"), F.col(key).alias("k")).alias("_g"), F.col(aliases).alias("_a")), "_g", "_a", "text")
+    fields = ["book", "name", "role", "pronoun", "target"]
+    nodes = named.groupBy("mark", *fields).agg(F.min("key").alias("node"))
+    nodes = cut_lineage(nodes.select("node", "mark", *fields).mapInPandas(_parse_rows, _NODE))
+    packed = split_packed(df.filter(F.col(aliases).rlike("[“\"「]")).select(F.struct(F.col(group).alias("g"), F.col(key).alias("k")).alias("_g"), F.col(aliases).alias("_a")), "_g", "_a", "text")
     quoted = packed.select(F.col("_g.g").alias("book"), "text").unionByName(nodes.select("book", F.col("name").alias("text")))
     quoted = quoted.filter(F.col("text").rlike("[“\"「]") & F.col("book").isNotNull()).distinct()
     pets = quoted.mapInPandas(_pets, "book long, first string, nick string").distinct()
     pets = pets.groupBy("book", "first").agg(F.collect_set(F.concat_ws("\t", "first", "nick")).alias("pets"))
-    parsed = parsed.join(pets, ["book", "first"], "left")
+    parsed = nodes.drop("mark", "name").join(pets, ["book", "first"], "left")
     keyed = parsed.select("book", "node", F.explode("codes").alias("code"))
     close = (
         keyed.alias("a")
@@ -376,13 +455,13 @@ def same_names(df: DataFrame, key: str, group: str, name: str, aliases: str, rol
     empty = F.array().cast("array<string>")
     pairs = close.join(left, "node_a").join(right, "node_b").withColumn("pets", F.array_union(F.coalesce("pets_a", empty), F.coalesce("pets_b", empty))).drop("pets_a", "pets_b")
     graded = cut_lineage(pairs.mapInPandas(_compare_rows, "book long, a long, b long, grade int, weak int"))
-    roots = components(graded.filter("grade = 2"))
+    roots = cut_lineage(components(graded.filter("grade = 2")))
     roots = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     # Uncertain pairs, from the uncertain name's side: taken where all that it fits is one component.
-    doubt = graded.filter("grade = 1").select(F.when(F.col("weak") == 1, F.col("b")).otherwise(F.col("a")).alias("node"), F.when(F.col("weak") == 1, F.col("a")).otherwise(F.col("b")).alias("other"))
+    doubt = graded.filter("grade = 1").select("book", F.when(F.col("weak") == 1, F.col("b")).otherwise(F.col("a")).alias("node"), F.when(F.col("weak") == 1, F.col("a")).otherwise(F.col("b")).alias("other"))
     fits = doubt.join(roots, "node").withColumnRenamed("root", "own").join(roots.select(F.col("node").alias("other"), "root"), "other").filter("own <> root")
     # A component of uncertain names moves as one.
-    only = fits.groupBy("own").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo = hi").select(F.col("own").alias("a"), F.col("lo").alias("b"))
+    only = fits.groupBy("book", "own").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo = hi").select("book", F.col("own").alias("a"), F.col("lo").alias("b"))
     merged = components(only)
     final = roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("entity"))
     linked = named.select("key", "mark").join(nodes.select("mark", "node"), "mark").join(final, "node")

@@ -1,6 +1,7 @@
 import itertools
+import random
 
-from inkloom.llm.names import compare, components, edits, jaro_winkler, parse, same_name_pairs, same_names
+from inkloom.llm.names import alike, compare, components, edits, jaro_winkler, parse, same_name_pairs, same_names
 
 SCHEMA = "id long, book long, name string, aliases string, role string, pronoun string, target string, key string, entity string"
 ARGS = ("id", "book", "name", "aliases", "role", "pronoun", "target")
@@ -66,9 +67,28 @@ def test_pairs_are_all_of_a_group(spark):
 
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 100), (7, 7)]
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert set(got) == {*range(1, 61), 100, 101} and {got[i] for i in range(1, 61)} == {1} and got[101] == 100
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    # Book 1 is one task's work or more than that; both ways give the same, and books stay apart.
+    df = spark.createDataFrame([(1, a, b) for a, b in edges] + [(2, 205, 201), (2, 203, 205)], "book long, a long, b long")
+    for most in (1000, 10):
+        got = {r["node"]: r["root"] for r in components(df, most).collect()}
+        assert set(got) == {*range(1, 61), 100, 101, 201, 203, 205} and {got[i] for i in range(1, 61)} == {1} and got[101] == 100 and got[205] == got[203] == 201
+    assert components(df.limit(0)).count() == 0
+
+
+def test_one_edit_is_always_looked_at():
+    rng = random.Random(3)
+    for _ in range(20_000):
+        a = "".join(rng.choice("aeilnorst") for _ in range(rng.randint(3, 12)))
+        at, c = rng.randrange(len(a)), rng.choice("aeilnorst")
+        b = rng.choice((a[:at] + c + a[at + 1 :], a[:at] + a[at + 1 :], a[:at] + c + a[at:], a[:at] + a[at + 1 : at + 2] + a[at : at + 1] + a[at + 2 :]))
+        if len(b) >= 3:
+            assert alike(a, b) and alike(b, a), (a, b)
+
+
+def test_nicknames(spark):
+    rows = [person(1, "Margaret Orr", "cook"), person(1, "Peggy Orr", "cook"), person(1, "Peggy Vane", "cook"), person(2, "William Orr"), person(2, "Bill Orr"), person(2, "Bob Orr")]
+    got = entities(spark, rows)
+    assert [got[i] for i in range(6)] == [0, 0, 2, 3, 3, 5]
 
 
 def test_compare_vetoes_roles():
