@@ -44,6 +44,8 @@ RATIO, BOOK_RATIO = 20, 4
 NAME_TIMES = 6
 #: A word, with hyphens and with marks that stand for letters inside it, at its start, or (a bar) at its end.
 _TOKEN = re.compile(r"(?:[!|](?<![^\s\"“”‘’'(\[][!|])(?=[^\W\d_]))?[^\W_]+(?:[!|][^\W\d_]+|-[^\W\d_]+)*(?:\|(?<=[^\W\d_]\|)(?=[\"”’'.,;:!?)\]]*(?:\s|\Z)))?")
+#: The same where no mark stands before a letter and there is no bar.
+_PLAIN_TOKEN, _JOINED_MARK = re.compile(r"[^\W_]+(?:-[^\W\d_]+)*"), re.compile(r"[!|][^\W\d_]|\|")
 #: A hyphen at what is or was a line end, and the ends of the words beside it.
 _BREAK = re.compile(r"-(?:[ \t]*\n\s*|[ \t]+)(?=[^\W\d_])")
 _LEFT = re.compile(r"[^\W_]+(?:[!|][^\W_]+)*$")
@@ -65,9 +67,15 @@ _DROP = bytes(b for b in range(256) if b not in _KEEP and b not in _FROM)
 _GROUPS = ((b"vv", b"w"), (b"ii", b"u"), (b"rn", b"m"), (b"in", b"m"), (b"ri", b"n"), (b"cl", b"d"))
 
 
+_DROP_WITHIN = _DROP.replace(b"\n", b"")
+
+
 def scan_skeleton(text: str) -> bytes:
     """A text with all that a scanner confuses made equal, without blanks, marks and accented letters."""
-    out = text.encode("ascii", "ignore").translate(_FOLD, _DROP)
+    return _grouped(text.encode("ascii", "ignore").translate(_FOLD, _DROP))
+
+
+def _grouped(out: bytes) -> bytes:
     for read, printed in _GROUPS:
         out = out.replace(read, printed)
     return out.translate(_CLASSES)
@@ -96,7 +104,8 @@ class _Lines:
     def __init__(self, text: str, names: list[str | None]) -> None:
         self.cores = _cores_of(tuple(names))
         self.nameless = len(names) < 2 or not names[0] or not names[1]
-        whole = scan_skeleton(text) if self.cores else b""
+        folded = text.encode("ascii", "ignore").translate(_FOLD, _DROP_WITHIN) if self.cores else b""
+        whole = _grouped(folded.replace(b"\n", b""))
         self.has_core = any(core in whole for core in self.cores)
         self.found: list[tuple[int, list[float]]] = []
         self.capital = {text.count("\n", 0, m.start()) for m in _MAYBE_CAPITALS.finditer(text) if m[0].isupper()}
@@ -105,12 +114,13 @@ class _Lines:
             self.lines = [text]
             return
         self.lines = lines = text.split("\n")
-        skeletons = {i: scan_skeleton(lines[i]) for i in self.capital} if self.cores else {}
+        by_line = _grouped(folded).split(b"\n") if self.cores and (self.has_core or self.capital) else []
+        skeletons = {i: by_line[i] for i in self.capital} if by_line else {}
         self.parts = {i: s for i, s in skeletons.items() if " " in lines[i].strip() and len(s) >= 5 and any(s[1:-1] in core for core in self.cores)}
         self.hint = self.has_core or any(len(p) >= 10 for p in self.parts.values())
         shown = [i for i, line in enumerate(lines) if line.strip()]
         self.edges = {i: k for k, pair in enumerate(zip(shown[:3], reversed(shown[-3:]))) for i in pair}
-        own = {i: scan_skeleton(lines[i]) for i in shown} if self.hint else {}
+        own = {i: by_line[i] for i in shown} if self.hint else {}
         holds = {i for i, s in own.items() if any(c in s for c in self.cores)}
         pairs = set()
         if self.has_core and not holds:
@@ -208,15 +218,28 @@ def _is_header(line: str, cores: tuple[bytes, ...]) -> bool:
     return len(left) <= 4 or (len(left) <= 24 and _TITLED.match(line) is not None)
 
 
+@lru_cache(maxsize=4096)
+def _inline_patterns(names: tuple[str | None, ...]) -> list[tuple[str, re.Pattern]]:
+    """What to look for in a text in lower case, and the pattern of a name in the middle of a line; a dash joins book and author."""
+    book, author = (re.escape(n) if n else None for n in ((*names, None, None))[:2])
+    parts = [(names[0], rf"{book}(?:\s+—\s+{author})?" if author else book)] if book else []
+    parts += [(names[1], author)] if author else []
+    return [(name.lower(), re.compile(rf"(?:(?:chapter|part)\s+\w+\s+·\s+|\b[A-Z]+\s+·\s+)?{part}", re.I)) for name, part in parts]
+
+
 def _without_inline(text: str, names: list[str | None]) -> str:
-    """Without names that stand in the middle of a line; a dash joins book and author."""
-    book, author = (re.escape(n) if n else None for n in (names + [None, None])[:2])
-    parts = [p for p in (rf"{book}(?:\s+—\s+{author})?" if book and author else book, author) if p]
-    for part in parts:
-        text = re.sub(rf"(?:(?:chapter|part)\s+\w+\s+·\s+|\b[A-Z]+\s+·\s+)?{part}", " ", text, flags=re.I)
+    """Without names that stand in the middle of a line."""
+    for name, pattern in _inline_patterns(tuple(names)):
+        if name in text.lower():
+            text = pattern.sub(" ", text)
     return text
 
 
+def _tokens(text: str) -> list[str]:
+    """All words of a text."""
+    return (_TOKEN if _JOINED_MARK.search(text) else _PLAIN_TOKEN).findall(text)
+
+
 def _breaks(text: str) -> list[tuple[int, int, str, str]]:
     """Words broken at a line end: where the hyphen and what follows it begin and end, and both parts in lower case."""
     if "-\n" not in text and "- " not in text and "-\t" not in text:
@@ -243,39 +266,48 @@ def _first_pass(common: set[str], models: dict[str, Boosted]):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows, by_book = [], defaultdict(Counter)
+            rows, by_book, usual = [], defaultdict(Counter), Counter()
             plain = _furniture_of([(t, [b, a]) for t, b, a in zip(batch["text"], batch["book_name"], batch["author"])], models)
             for (table, key, book), (header, number, clean) in zip(batch[["table_name", "key", "book"]].itertuples(index=False, name=None), plain):
                 breaks = _breaks(clean)
                 for start, end, _, _ in reversed(breaks):
                     clean = clean[:start] + clean[end:]
-                tokens = _TOKEN.findall(clean)
-                by_book[book].update(tokens)
-                odd = {w.lower() for w in set(tokens) - forms if len(w) > 2 and not (len(w) > 3 and w.isupper())}
-                rare = sorted(w for w in odd if not w.isdigit() and w not in common)
-                rows.append((0, table, key, book, header, number, ["\t".join(x[2:]) for x in breaks], rare, None, 0, 0))
-            general, shown, own, capitals = Counter(), Counter(), Counter(), Counter()
+                tokens = _tokens(clean)
+                others = [w for w in tokens if w not in forms]
+                usual.update(tokens)
+                by_book[book].update(others)
+                rare = sorted({w.lower() for w in set(others) if len(w) > 2 and not (len(w) > 3 and w.isupper()) and not w.isdigit()} - common)
+                rows.append((0, table, key, book, header, number, ["\t".join(x[2:]) for x in breaks], rare, None, None, None))
+            # One row of words and counts a book, and one for the common words of all.
+            general, shown = Counter(), Counter()
+            for form in forms:
+                if n := usual.get(form, 0):
+                    general[form.lower()] += n
+                    shown[form.lower()] += n if form[0].isupper() else 0
             for book, counts in by_book.items():
+                own: dict[str, list[int]] = {}
                 for form, n in counts.items():
                     word = form.lower()
+                    capital = n if form[0].isupper() else 0
                     if word in common:
                         general[word] += n
-                        if form[0].isupper():
-                            shown[word] += n
+                        shown[word] += capital
                     elif not word.isdigit():
-                        own[(book, word)] += n
-                        if form[0].isupper():
-                            capitals[(book, word)] += n
-            rows += [(1, None, 0, None, False, False, None, None, w, n, shown[w]) for w, n in general.items()]
-            rows += [(1, None, 0, b, False, False, None, None, w, n, capitals[(b, w)]) for (b, w), n in own.items()]
-            out = pd.DataFrame(rows, columns=["kind", "table_name", "key", "book", "header", "page_number", "breaks", "rare", "word", "n", "capitals"])
+                        have = own.setdefault(word, [0, 0])
+                        have[0] += n
+                        have[1] += capital
+                if own:
+                    rows.append((1, None, 0, book, False, False, None, None, list(own), [n for n, _ in own.values()], [c for _, c in own.values()]))
+            if general:
+                rows.append((1, None, 0, None, False, False, None, None, list(general), list(general.values()), [shown[w] for w in general]))
+            out = pd.DataFrame(rows, columns=["kind", "table_name", "key", "book", "header", "page_number", "breaks", "rare", "words", "n", "capitals"])
             out["book"] = out["book"].astype("Int64")
             yield out
 
     return run
 
 
-_PASS = "kind int, table_name string, key long, book long, header boolean, page_number boolean, breaks array<string>, rare array<string>, word string, n long, capitals long"
+_PASS = "kind int, table_name string, key long, book long, header boolean, page_number boolean, breaks array<string>, rare array<string>, words array<string>, n array<long>, capitals array<long>"
 
 
 def _grams(word: Column) -> Column:
@@ -439,7 +471,7 @@ def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         counts, capitals, rows, names = Counter(), Counter(), [], set()
         for text, book_name, author in batch[["text", "book_name", "author"]].itertuples(index=False, name=None):
-            for form in _TOKEN.findall(text):
+            for form in _tokens(text):
                 counts[form.lower()] += 1
                 capitals[form.lower()] += form[0].isupper()
             rows += [(1, None, 0, 0, x) for _, x in _Lines(text, [book_name, author]).found]
@@ -479,7 +511,8 @@ def find_faults(texts: DataFrame) -> ScanFaults:
     models = fit_furniture([list(map(float, x)) for x in labelled], titles)
     while True:
         first = cut_lineage(texts.mapInPandas(_first_pass(skip, models), _PASS))
-        by_book = first.filter("kind = 1").groupBy("book", "word").agg(F.sum("n").alias("n"), F.sum("capitals").alias("capitals"))
+        counted = first.filter("kind = 1").select("book", F.explode(F.arrays_zip("words", "n", "capitals")).alias("c")).select("book", F.col("c.words").alias("word"), "c.n", "c.capitals")
+        by_book = counted.groupBy("book", "word").agg(F.sum("n").alias("n"), F.sum("capitals").alias("capitals"))
         by_book = cut_lineage(by_book)
         totals = by_book.groupBy("word").agg(F.sum("n").alias("n"), F.sum("capitals").alias("capitals"), F.count(F.lit(1)).alias("books"))
         # What is common is told by the counts of all texts; the sample only spared counting some words by book.
@@ -514,7 +547,7 @@ def find_faults(texts: DataFrame) -> ScanFaults:
     scored = correction_candidates(suspects, general, False).mapInPandas(ranker, pair).filter(sure).unionByName(in_book)
     best = Window.partitionBy("book", "wrong").orderBy(F.desc("score"), "cost", F.desc("n_right"), "right")
     fixes = scored.withColumn("r", F.row_number().over(best)).filter("r = 1").select(F.col("book").alias("fix_book"), "wrong", "right", "cost")
-    fixes = broadcast_if_small(cut_lineage(fixes))
+    fixes = broadcast_if_small(fixes)
     tokens = rows.select("table_name", "key", "book", F.explode("rare").alias("wrong"))  # common words have no fixes
     own = own.select("book", F.col("word").alias("wrong")).join(fixes.select("wrong"), "wrong", "left_semi")
     found = (
