@@ -14,14 +14,15 @@ from pyspark.sql import types as T
 
 from inkloom.functions.text import paragraphs
 
-# Most characters of a run and most blocks of a batch, inline emphasis, lines that are markers, the
-# opening callout, and what a marker block of a batch begins with.
+# Most characters of a run and most blocks of a batch, inline emphasis, lines that are markers, and the
+# opening callout.
 RUN_LENGTH, BATCH_SIZE = 2000, 100
 INLINE = r"\*\*(?P<bold>.+?)\*\*|\*(?P<italic>[^*\n]+?)\*"
 MARKER_LINE = r"^<!--\s*chunk-\d{4};.*-->$"
 HEADING_LINE = r"^#{1,6}\s+(.+)$"
 CALLOUT, ICON = "Traditional Chinese translation of %s by %s.", "📖"
-BATCH_MARK = "book-translation-pipeline:batch:"
+#: What a marker block of a batch begins with.
+BATCH_MARK = "inkloom:batch:"
 
 RUN = T.StructType([T.StructField("content", T.StringType()), T.StructField("bold", T.BooleanType()), T.StructField("italic", T.BooleanType())])
 _INLINE = re.compile(INLINE)
