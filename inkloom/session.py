@@ -77,7 +77,6 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BR
     larger side is left to a shuffled join, which gives the same rows.
     """
     kept = cut_lineage(df)
-    if kept.count() > rows:
-        return kept
-    measured = kept.select(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*kept.columns)))), F.lit(0)).alias("b")).first()["b"]
-    return F.broadcast(kept) if measured <= size else kept
+    json = F.octet_length(F.to_json(F.struct(*kept.columns)))
+    found = kept.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(json), F.lit(0)).alias("b")).first()
+    return F.broadcast(kept) if found["n"] <= rows and found["b"] <= size else kept
